@@ -183,8 +183,8 @@ def _closers(text: str, end: int, limit: int) -> int:
 
 def found(documents: DataFrame, sample: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """End of every sentence unit of the documents named in ``sample``, one row per unit."""
-    chosen = documents.select(key, text).join(sample.select(key).distinct(), key, "left_semi")
-    return map_rows(spread(chosen), [key, text], lambda k, t: ((k, b) for _, b in spans(t)), "doc_id bigint, end_char int").distinct()
+    chosen = spread(documents.select(key, text)).join(sample.select(key).distinct(), key, "left_semi")
+    return map_rows(chosen, [key, text], lambda k, t: ((k, b) for _, b in spans(t)), "doc_id bigint, end_char int").distinct()
 
 
 def sentences(df: DataFrame, key: str, text: str) -> DataFrame:

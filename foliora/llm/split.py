@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from foliora.functions.rows import map_rows, spread
+from foliora.functions.rows import map_rows
 
 WINDOW = 16  #: letters and digits under the rolling hash
 LEAST = 0.4  #: least size of a piece's new part, as a share of the greatest
@@ -113,7 +113,7 @@ def split(df: DataFrame, key: str, text: str, max_size: str = "max_size", overla
     kind = df.schema[key].dataType.simpleString()
     # a text has at most as many letters and digits as characters, so this drops no oversized one
     large = df.select(key, text, max_size, overlap).where((F.length(text) > F.col(max_size)) & F.col(overlap).isNotNull()).dropDuplicates([key])
-    return map_rows(spread(large), [key, text, max_size, overlap], _rows, f"`{key}` {kind}, piece_no int, pieces int, start_char int, end_char int, piece string")
+    return map_rows(large, [key, text, max_size, overlap], _rows, f"`{key}` {kind}, piece_no int, pieces int, start_char int, end_char int, piece string")
 
 
 def limited(df: DataFrame, limits: DataFrame, item_table: str) -> DataFrame:
