@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
@@ -15,12 +16,18 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Physical operators behind which the number of partitions is only known once stages have run.
+_SHUFFLES = re.compile(r"Join|Aggregate|Window|Exchange|Repartition|Limit|Offset|Sort\b")
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Redistribute ``df`` when it has fewer partitions than there are cores.
+    """Redistribute a scan that has fewer partitions than there are cores.
 
     Such an input is small by construction (each scan partition is at most
-    ``spark.sql.files.maxPartitionBytes``), so the exchange is cheap; larger inputs are left
-    alone and keep their scan partitions."""
+    ``spark.sql.files.maxPartitionBytes``), so the exchange is cheap; larger inputs keep their scan
+    partitions, and anything behind a shuffle keeps the partitions that adaptive execution gives it."""
+    if _SHUFFLES.search(df._jdf.queryExecution().sparkPlan().toString()):
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 

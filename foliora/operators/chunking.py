@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from foliora.errors import ConfigurationError
-from foliora.functions.rows import map_rows, schema_of
+from foliora.functions.lineage import cut
+from foliora.functions.rows import map_rows, schema_of, spread
 from foliora.functions.text import WORD, chars, has_content, let
 
 SIZE, OVERLAP, LEAST, MAX_UNITS, BREAK, PAGE_MERGE = 800, 120, 120, 12, 0.35, 0.55
@@ -67,9 +68,9 @@ def character_chunks(df: DataFrame, key: str, content: str, size: int = SIZE, ov
     """Character windows of every text: key, chunk_index from 1, start_char, end_char, content.
 
     Null and empty texts give no rows; a text without letters and digits gives one window if it isn't blank."""
-    cut = df.where(F.col(content).isNotNull()).select(key, F.col(content).alias("_c"), F.posexplode(windows(F.col(content), size, overlap)).alias("_i", "w"))
+    placed = spread(df.where(F.col(content).isNotNull()).select(key, content)).select(key, F.col(content).alias("_c"), F.posexplode(windows(F.col(content), size, overlap)).alias("_i", "w"))
     text = F.expr("substring(_c, w.start_char + 1, w.end_char - w.start_char)")
-    rows = cut.select(key, "_i", "w.start_char", "w.end_char", text.alias("content")).where(has_content(F.col("content")))
+    rows = placed.select(key, "_i", "w.start_char", "w.end_char", text.alias("content")).where(has_content(F.col("content")))
     return rows.withColumn("chunk_index", F.row_number().over(W.partitionBy(key).orderBy("_i"))).select(key, "chunk_index", "start_char", "end_char", "content")
 
 
@@ -89,8 +90,8 @@ def units(bs: Column, size: int = SIZE) -> Column:
             )
 
         whole = F.array(F.struct(b["content"].alias("content"), b["start_char"].alias("start_char"), b["end_char"].alias("end_char"), k.alias("block_index")))
-        cut = F.filter(F.transform(windows(b["content"], size, 0), piece), lambda u: u["content"] != "")
-        return F.when(b["words"] <= size, whole).otherwise(cut)
+        parts = F.filter(F.transform(windows(b["content"], size, 0), piece), lambda u: u["content"] != "")
+        return F.when(b["words"] <= size, whole).otherwise(parts)
 
     return F.flatten(F.transform(bs, of))
 
@@ -282,7 +283,11 @@ def merge_pages(d: DataFrame, size: int = SIZE, least_score: float = PAGE_MERGE,
     sizes = d.select("source", "page_number", "section_no", "draft_no", F.length(F.regexp_replace("content", f"[^{WORD}]", "")).alias("w"))
     follows = (F.lag("page_number").over(order) + 1 == F.col("page_number")) & (F.lag("w").over(order) + F.col("w") <= size)
     runs = sizes.withColumn("_c", (~F.coalesce(follows, F.lit(False))).cast("bigint")).withColumn("run", F.sum("_c").over(order)).select("source", "page_number", "section_no", "draft_no", "run")
-    keyed = d.join(runs, ["source", "page_number", "section_no", "draft_no"])
+    counted = runs.withColumn("of", F.count("*").over(W.partitionBy("source", "run")))
+    keyed = d.join(counted, ["source", "page_number", "section_no", "draft_no"])
+    alone = keyed.where("of = 1").select(
+        "source", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "hard_break_key", F.col("score").alias("semantic_score"), "start_char", "end_char", "content"
+    )
 
     schema = schema_of(MERGED)
 
@@ -305,7 +310,8 @@ def merge_pages(d: DataFrame, size: int = SIZE, least_score: float = PAGE_MERGE,
                 out.append(new)
         return pa.Table.from_pylist(out, schema=to_arrow_schema(schema))
 
-    return keyed.select("source", "run", "page_number", "section_no", "draft_no", "hard_break_key", "content", "start_char", "end_char", "score").groupBy("source", "run").applyInArrow(fold, schema)
+    folded = keyed.where("of > 1").select("source", "run", "page_number", "section_no", "draft_no", "hard_break_key", "content", "start_char", "end_char", "score").groupBy("source", "run").applyInArrow(fold, schema)
+    return alone.unionByName(folded)
 
 
 def page_chunks(pages: DataFrame, **parameters) -> DataFrame:
@@ -318,7 +324,7 @@ def page_chunks(pages: DataFrame, **parameters) -> DataFrame:
     built = sections.build(cleaned, "page_doc_id", "cleaned", least=least, most=size)
     # the narrow columns of the pages come back by key
     where = cleaned.select("page_doc_id", "source", "page_number")
-    merged = merge_pages(drafts(built, "page_doc_id", **parameters).join(where, "page_doc_id"), size=size)
+    merged = merge_pages(cut(drafts(built, "page_doc_id", **parameters).join(where, "page_doc_id")), size=size)
     order = W.partitionBy("source").orderBy("page_start", "start_char")
     numbered = merged.withColumn("chunk_index", F.row_number().over(order)).withColumn("chunk_count", F.count("*").over(W.partitionBy("source")).cast("int"))
     return numbered.withColumn("chunk_id", F.format_string("%s:chunk:%04d", "source", "chunk_index"))

@@ -15,10 +15,13 @@ CANDIDATES, LEAST_CANDIDATES = 8, 50
 DEFAULT_TOP_K = 5
 
 
+def _distinct(chunks: DataFrame) -> DataFrame:
+    return chunks.select("collection_id", "chunk_id", "content").dropDuplicates(["chunk_id"])
+
+
 def index_chunks(chunks: DataFrame) -> DataFrame:
     """Each distinct chunk with its index terms and their number; a null or blank content has none."""
-    one = chunks.select("collection_id", "chunk_id", "content").dropDuplicates(["chunk_id"])
-    return one.select("collection_id", "chunk_id", T.index_terms(F.col("content")).alias("terms")).withColumn("doc_len", F.size("terms"))
+    return _distinct(chunks).select("collection_id", "chunk_id", T.index_terms(F.col("content")).alias("terms")).withColumn("doc_len", F.size("terms"))
 
 
 def postings(chunks: DataFrame) -> DataFrame:
@@ -43,9 +46,10 @@ def write_postings(chunks: DataFrame, path: str) -> None:
     new.write.mode("append").partitionBy("collection_id").parquet(path)
 
 
-def stats(indexed: DataFrame) -> DataFrame:
-    """Number and mean length of the chunks of each collection."""
-    return indexed.groupBy("collection_id").agg(F.count("*").alias("n_chunks"), (F.sum("doc_len") / F.count("*")).alias("avg_len"))
+def stats(chunks: DataFrame) -> DataFrame:
+    """Number and mean length in terms of the chunks of each collection."""
+    sized = _distinct(chunks).select("collection_id", T.term_count(F.col("content")).alias("doc_len"))
+    return sized.groupBy("collection_id").agg(F.count("*").alias("n_chunks"), (F.sum("doc_len") / F.count("*")).alias("avg_len"))
 
 
 def _phrases(queries: DataFrame) -> DataFrame:
@@ -66,10 +70,10 @@ def _occurrences(phrases: DataFrame, indexed: DataFrame) -> DataFrame:
     parts = wanted.select("collection_id", "token", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "term"))
     exploded = indexed.select("collection_id", "chunk_id", "doc_len", F.posexplode("terms").alias("pos", "term"))
     hits = exploded.join(parts, ["collection_id", "term"])
-    single = hits.where("n_parts = 1").groupBy("collection_id", "token", "chunk_id").agg(F.count("*").alias("f"), F.first("doc_len").alias("doc_len"))
-    lined = hits.where("n_parts > 1").groupBy("collection_id", "token", "n_parts", "chunk_id", (F.col("pos") - F.col("part")).alias("start")).agg(F.count("*").alias("k"), F.first("doc_len").alias("doc_len"))
-    several = lined.where("k = n_parts").groupBy("collection_id", "token", "chunk_id").agg(F.count("*").alias("f"), F.first("doc_len").alias("doc_len"))
-    return single.unionByName(several)
+    start = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("part"))  # null for single terms, whose count is all that matters
+    lined = hits.groupBy("collection_id", "token", "n_parts", "chunk_id", start.alias("start")).agg(F.count("*").alias("k"), F.first("doc_len").alias("doc_len"))
+    times = F.when(F.col("n_parts") == 1, F.col("k")).otherwise((F.col("k") == F.col("n_parts")).cast("bigint"))
+    return lined.groupBy("collection_id", "token", "chunk_id").agg(F.sum(times).alias("f"), F.first("doc_len").alias("doc_len")).where("f > 0")
 
 
 def _weight() -> Column:
@@ -88,10 +92,9 @@ def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:
     usable tokens have no rows."""
     analysed = T.analyze(queries.withColumn("top_k", F.coalesce("top_k", F.lit(DEFAULT_TOP_K))))
     phrases = _phrases(analysed)
-    indexed = index_chunks(chunks)
-    found = _occurrences(phrases, indexed)
+    found = _occurrences(phrases, index_chunks(chunks))
     df = found.groupBy("collection_id", "token").agg(F.count("*").alias("df"))
-    weighted = found.join(df, ["collection_id", "token"]).join(stats(indexed), "collection_id").select("collection_id", "token", "chunk_id", _weight().alias("w"))
+    weighted = found.join(df, ["collection_id", "token"]).join(stats(chunks), "collection_id").select("collection_id", "token", "chunk_id", _weight().alias("w"))
     per_chunk = (
         phrases.join(weighted, ["collection_id", "token"])
         .groupBy("query_id", "chunk_id")

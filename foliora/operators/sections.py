@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliora.functions.text import HAN, SPACE, clean_line, let, lstrip, rstrip, strip, unix_lines, word_chars
+from foliora.functions.rows import spread
+from foliora.functions.text import HAN, SPACE, clean_line, has_content, let, lstrip, rstrip, strip, unix_lines, word_chars
 from foliora.operators.clean import NUMBER, S
 
 # Patterns of headings and of the space between blocks.
@@ -74,9 +75,10 @@ def clean_block(raw: Column, is_pdf: Column) -> Column:
 
 def blocks(text: Column, start_char: Column, is_pdf: Column) -> Column:
     """Blocks of a section as (content, start_char, end_char, words), by blank lines."""
-    gaps = F.regexp_extract_all(text, F.lit(BLANK), F.lit(0))
 
-    def of(parts: Column) -> Column:
+    def of(both: Column) -> Column:
+        parts, gaps = both["parts"], both["gaps"]
+
         def build(starts: Column) -> Column:
             made = F.transform(
                 parts,
@@ -91,7 +93,7 @@ def blocks(text: Column, start_char: Column, is_pdf: Column) -> Column:
 
         return let(_offsets(parts, gaps), build)
 
-    return let(F.split(text, BLANK, -1), of)
+    return let(F.struct(F.split(text, BLANK, -1).alias("parts"), F.regexp_extract_all(text, F.lit(BLANK), F.lit(0)).alias("gaps")), of)
 
 
 def merge_blocks(bs: Column, least: int = 120, most: int = 800) -> Column:
@@ -131,8 +133,9 @@ def build(df: DataFrame, key: str, content: str, merge: bool = True, least: int
     """Sections of every text with their blocks: key, section_no, start_char, end_char, hard_break_key, blocks.
 
     Sections without blocks are left out, so null and blank texts have no rows."""
-    cut = df.select(key, "file_type", F.posexplode(sections(F.col(content))).alias("section_no", "s"))
-    made = cut.withColumn("blocks", blocks(F.col("s.text"), F.col("s.start_char"), F.coalesce(F.col("file_type") == ".pdf", F.lit(False))))
+    cut = spread(df.select(key, content, "file_type")).select(key, "file_type", F.posexplode(sections(F.col(content))).alias("section_no", "s"))
+    # a section has a block just if it has anything but white space
+    made = cut.where(has_content(F.col("s.text"))).withColumn("blocks", blocks(F.col("s.text"), F.col("s.start_char"), F.coalesce(F.col("file_type") == ".pdf", F.lit(False))))
     if merge:
         made = made.withColumn("blocks", merge_blocks(F.col("blocks"), least, most))
-    return made.where(F.size("blocks") > 0).select(key, "section_no", "s.start_char", "s.end_char", "s.hard_break_key", "blocks")
+    return made.select(key, "section_no", "s.start_char", "s.end_char", "s.hard_break_key", "blocks")

@@ -76,6 +76,13 @@ def index_terms(c: Column) -> Column:
     return F.filter(F.flatten(F.transform(all_tokens(c), lambda t: F.split(t, "_"))), lambda t: t != "")
 
 
+def term_count(c: Column) -> Column:
+    """Number of ``index_terms``, without making them: a Chinese run of n characters has 2n - 3, if that is above 0."""
+    special = F.size(F.filter(F.flatten(F.transform(special_tokens(c), lambda t: F.split(t, "_"))), lambda t: t != ""))
+    of_run = lambda r: F.when(r.rlike("^[A-Za-z0-9]"), 1).otherwise(F.greatest(2 * F.length(r) - 3, F.lit(0)))
+    return special + F.aggregate(_all(c, RUN), F.lit(0), lambda n, r: n + of_run(r))
+
+
 def is_required(t: Column) -> Column:
     return t.rlike(IS_QUESTION) | t.rlike(IS_VERSION) | t.rlike(IS_ASCII)
 

@@ -268,7 +268,7 @@ def pdf_edges(p):
 
 @query("chunks")
 def bm25_stats(c):
-    s = keyword.stats(keyword.index_chunks(c))
+    s = keyword.stats(c)
     return s.select("collection_id", "n_chunks", _r("avg_len").alias("avg_len"))
 
 
