@@ -21,6 +21,8 @@ TAGS = frozenset(
     "h1 h2 h3 h4 h5 h6 head header hr html i iframe img input ins kbd label legend li link main map mark meta nav noscript object ol optgroup option p param picture pre q s samp script section "
     "select small source span strike strong style sub summary sup svg table tbody td template textarea tfoot th thead time title tr tt u ul var video wbr ref nowiki references".split()
 )
+#: Names that after a letter more likely belong to a type parameter than to an element.
+TYPES = frozenset("object time input select option map var data form table link source title button label".split())
 BLOCKS = frozenset("address article aside blockquote body center dd div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main nav ol p pre section summary table ul math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 HIDDEN = frozenset("script style head template title noscript iframe object svg select".split())
@@ -71,7 +73,7 @@ INLINE = r"""
 |\\\((?P<dp>.+?)\\\)
 |\$(?P<dm>(?=\S)[^$\n]*?[\\=^_][^$\n]*?)(?<=\S)\$(?!\d)
 |\\(?P<env>begin|end)\{(?P<ename>[A-Za-z]+\*?)\}(?:\{[^{}\n]*\})?
-|\\href\{(?P<url>[^{}\n]*)\}(?=\{)
+|\\href\{(?P<url>[^{}\n]*)\}\{
 |\\(?P<cmd>[A-Za-z]+)\*?(?P<cend>[ \t]*\{|(?![A-Za-z])[ \t]?)
 |\\(?P<esc>[%&_\#\\${}])
 |(?P<open>\{)(?=\\[a-z])
@@ -230,7 +232,8 @@ def _scan(tree: Tree, kinds: set[str], text: str, wlist: bool) -> None:
                 tree.leaf("pre", html.unescape(re.sub(r"</?code[^<>]*>", "", g["rbody"])).strip("\n"))
         elif g["tag"] is not None:
             name = g["tag"].lower()
-            if name not in TAGS or (at and text[at - 1].isalnum() and text[at - 1].isascii() and not g["close"] and not g["attr"] and name not in ("br", "b", "i", "a", "sup", "sub", "p")):
+            typed = not g["close"] and not g["attr"] and name in TYPES and text[at - 1 : at].isalnum() and text[at - 1].isascii()
+            if name not in TAGS or typed:
                 tree.text(m.group())
             else:
                 kinds.add("html")
@@ -256,6 +259,7 @@ def _scan(tree: Tree, kinds: set[str], text: str, wlist: bool) -> None:
             _environment(tree, g["env"] == "begin", g["ename"].rstrip("*"))
         elif g["url"] is not None:
             kinds.add("latex")
+            braces.append("")
         elif g["cmd"] is not None:
             nxt = _command(tree, kinds, text, m, braces)
         elif g["esc"] is not None:

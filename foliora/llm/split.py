@@ -74,7 +74,8 @@ def pieces(text: str, max_size: int, overlap: int) -> list[tuple[int, int]]:
     ends_at: list[tuple[int, int]] = []  # ordinal and place of each cut
     done = 0
     while n - done > (max_size if not ends_at else core):
-        lo, hi = done + least, done + (max_size if not ends_at else core)
+        # the first piece has no overlap before it, but must reach beyond that of the next
+        lo, hi = done + least + (0 if ends_at else overlap), done + (core if ends_at else max_size)
         k = np.searchsorted(marks, lo)
         aim = int(marks[k]) if k < len(marks) and marks[k] <= hi else hi
         a, b = np.searchsorted(naturals, [lo, hi + 1])
