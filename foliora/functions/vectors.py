@@ -27,7 +27,7 @@ def cosine_score(a: Column, b: Column) -> Column:
 
 def distance_score(d: Column) -> Column:
     """1 / (1 + distance) within [0, 1]; null without a distance."""
-    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.lit(1.0), 1.0 + d)))
+    return F.when(d.isNotNull(), F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.try_divide(F.lit(1.0), 1.0 + d))))
 
 
 def mean(vectors: Column) -> Column:
