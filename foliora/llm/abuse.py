@@ -56,7 +56,7 @@ SWAPPED = re.compile(r"[^\W\d_][0-9@$!]|[@$][^\W\d_]")
 AROUND = re.compile(r"[\w@$!]+")
 THRICE = re.compile(r"(.)\1\1")
 MASKED = re.compile(r"[^\W\d_](?:\*{3,}|\*(?=[^\W\d_]))[^\W\d_]*")
-EVIDENCE = 0.3  #: weight from which a feature is evidence
+EVIDENCE = 0.08  #: weight from which a feature is evidence
 LETTER = re.compile(r"[^\W\d_]")
 TOKEN = re.compile(rf"(?P<c>[{CJK}]+)|(?P<w>(?:[^\W\d_]|[̀-ͯऀ-ॣً-ْ])+)")
 
@@ -216,6 +216,8 @@ def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, fl
     prior = np.array([_PRIOR if f in STRONG_FEATURES else -_PRIOR / 2 if f in MENTION_FEATURES else 0.0 for f in names])
     # what isn't over-represented in unsafe documents can only speak against
     most = np.array([np.inf if f in cand else 0.0 for f in names])
+    # words found everywhere say little against a sentence
+    least = np.array([-0.1 if docs_with[f] > 0.05 * n_all else -2.0 for f in names])
     rare = np.array([1.0 / np.sqrt(docs_with[f]) for f in names])
     doc = np.array([d for d, _ in kept])
     row = np.repeat(np.arange(len(kept)), [len(x) for _, x in kept])
@@ -237,7 +239,7 @@ def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, fl
         m = 0.9 * m + 0.1 * grad
         v = 0.99 * v + 0.01 * grad**2
         step = rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
-        w = np.minimum(w + step[:-1], most)
+        w = np.maximum(np.minimum(w + step[:-1], most), least)
         b = min(-0.5, b + step[-1])
     weights = {f: float(x) for f, x in zip(names, w) if abs(x) > 0.02}
     weights |= {f: _PRIOR for f in STRONG_FEATURES if f not in seen} | {f: -_PRIOR / 2 for f in MENTION_FEATURES if f not in seen}
