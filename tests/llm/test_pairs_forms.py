@@ -34,7 +34,7 @@ GOOD = "The margin desk reviews the collateral ratio each day. It sends a notice
         ("请用英文回答：如何办理？", GOOD, []),
         ("Wer?", "8080", []),
         ("如何？", "top_k=8", []),
-        ("如何？", "`rag ingest <file_id>`", []),
+        ("如何？", "`kb ingest <file_id>`", []),
         ("如何？", "1. col_a\n2. col_b", []),
         (None, GOOD, []),
         ("Is it so?", "Yes.", []),
