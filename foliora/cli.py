@@ -7,6 +7,7 @@ import dataclasses
 import json
 import sys
 
+from foliora import formatting
 from foliora.errors import FolioraError
 from foliora.settings import Settings
 
@@ -36,7 +37,7 @@ def parser() -> argparse.ArgumentParser:
     add("de-ingest", "file_id", "collection_id")
     add("job-list")
     add("search", "query", "collection_id", top_k=number, strategy={"choices": ["vector", "keyword", "hybrid"]}, debug=flag)
-    add("ask", "query", "collection_id", top_k=number, agentic=flag)
+    add("ask", "query", "collection_id", top_k=number, careful=flag)
     add("inspect")
     add("ready")
     add("evaluate", "cases", "collection_id", top_k=number, output={"default": "storage/eval/report.json"})
@@ -68,7 +69,7 @@ def run(engine, a: argparse.Namespace):
         case "search":
             return engine.search(a.query, a.collection_id, a.top_k, a.strategy, a.debug)
         case "ask":
-            return engine.ask(a.query, a.collection_id, a.top_k, a.agentic)
+            return engine.ask(a.query, a.collection_id, a.top_k, a.careful)
         case "inspect":
             state = engine.inspect()
             return {**state, "settings": dataclasses.asdict(state["settings"])}
@@ -82,6 +83,16 @@ def run(engine, a: argparse.Namespace):
             return report.first().asDict()
 
 
+def as_text(a: argparse.Namespace, out) -> str:
+    if a.command == "search":
+        return formatting.results(a.query, out)
+    if a.command == "ask":
+        return formatting.answer(out)
+    if isinstance(out, list):
+        return formatting.records(out)
+    return formatting.records([out]) if isinstance(out, dict) else "done"
+
+
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     from pyspark.sql import SparkSession
@@ -97,7 +108,7 @@ def main(argv: list[str] | None = None) -> int:
     except FolioraError as e:
         print(f"error: {e}", file=sys.stderr)
         return 1
-    print(json.dumps(out, ensure_ascii=False, default=str, **({"separators": (",", ":")} if a.json else {"indent": 2})))
+    print(json.dumps(out, ensure_ascii=False, default=str, separators=(",", ":")) if a.json else as_text(a, out))
     return 0
 
 

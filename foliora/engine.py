@@ -294,10 +294,10 @@ class Engine:
 
     # --- answers -------------------------------------------------------------------------------
 
-    def ask(self, query: str, collection_id: str, top_k: int | None = None, agentic: bool = False) -> dict:
-        """An answer from the collection with its sources and confidence; ``agentic`` adds rewriting, several queries and a judge of the context."""
+    def ask(self, query: str, collection_id: str, top_k: int | None = None, careful: bool = False) -> dict:
+        """An answer from the collection with its sources and confidence; ``careful`` adds rewriting, several queries and a judge of the context."""
         asked = [query]
-        if agentic:
+        if careful:
             asked = self._queries(query)
         k = top_k or self.settings.top_k
         qs = self.spark.createDataFrame([(str(i), q) for i, q in enumerate(asked)], "query_id string, query string")
@@ -312,7 +312,7 @@ class Engine:
         one = self.spark.createDataFrame([("q",)], "query_id string")
         verdict = answer.judge(one, typed, self.settings.context_min_score, self.settings.context_min_chars).first()
         best = answer.confidence(one, typed).first()["confidence"]
-        sufficient, reason = (verdict["context_sufficient"], verdict["fallback_reason"]) if agentic else (bool(rows), None if rows else "no_results")
+        sufficient, reason = (verdict["context_sufficient"], verdict["fallback_reason"]) if careful else (bool(rows), None if rows else "no_results")
         text, failed = answer.FALLBACK, False
         if sufficient:
             packed = answer.pack(typed, self.settings.context_max_chars).first()
@@ -320,7 +320,7 @@ class Engine:
                 text = self.chat([{"role": "user", "content": f"{query}\n\nContext:\n{packed['context'] if packed else ''}"}]).strip() or answer.FALLBACK
             except Exception:
                 failed, text, reason = True, answer.FALLBACK, "generation_failed"
-        if agentic and not failed and sufficient and any(p in text.lower() for p in answer.UNSUPPORTED):
+        if careful and not failed and sufficient and any(p in text.lower() for p in answer.UNSUPPORTED):
             sufficient, reason = False, "answer_not_supported"
         found.unpersist()
         shown = rows if sufficient and not failed else []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from foliora.functions.text import HAN, SPACE, WORD
-from foliora.operators import answer, tokens
+from foliora.operators import answer, cases, tokens
 from foliora.operators.clean import BARE_NUMBER, CHINESE_PAGE, DECORATIVE, ENGLISH_PAGE, MARKER, SEPARATORS, NUMBER, S
 from foliora.operators.sections import BLANK
 from foliora.sources.loaders import MIME, OTHER_MIME
@@ -149,6 +149,25 @@ SELECT id, collection_id, CAST(coalesce(len(expected_sources), 0) AS INTEGER) AS
   CASE WHEN coalesce(id, '') = '' THEN 'missing id' WHEN coalesce(query, '') = '' THEN 'missing query' WHEN coalesce(collection_id, '') = '' THEN 'missing collection_id' WHEN top_k <= 0 THEN 'top_k must be above 0' END AS error FROM {CASES}"""
 SQL["case_rows"] = f"SELECT chunk_id, source, chunk_index, {strip(f'regexp_replace(content, {q(f'[{SPACE}]+')}, {q(' ')}, {q('g')})')} AS content FROM {CHUNKS} WHERE length(trim(content)) >= 80"
 
+_TRIM = f"regexp_replace({{0}}, {q('^' + cases.EDGES + '|' + cases.EDGES + '$')}, '', 'g')"
+_STOP = ", ".join(map(q, cases.STOPWORDS))
+
+
+def _first(lists: str, test: str) -> str:
+    return f"list_filter(list_transform({lists}, lambda x: {_TRIM.format('x')}), lambda x: {test} AND x NOT IN ({_STOP}))[1]"
+
+
+SQL["case_topic"] = f"""
+WITH r AS ({SQL['case_rows']}), a AS (SELECT *, regexp_replace(source, '^.*/', '') AS name, regexp_extract(content, {q(cases.FAQ)}, 1) AS fq, regexp_extract(content, {q(cases.FAQ)}, 2) AS fa FROM r),
+b AS (SELECT *, CASE WHEN fq <> '' THEN {strip('fq')} || '？' END AS asked FROM a), b2 AS (SELECT *, coalesce(asked, content) AS src FROM b),
+c AS (SELECT *, coalesce({_first(f"list_concat(list_concat(regexp_extract_all(src, {q(cases.TITLE)}, 1), regexp_extract_all(src, {q(cases.TERM)}, 1)), regexp_extract_all(name, {q(cases.TERM)}, 1))", 'length(x) BETWEEN 4 AND 28')},
+  substr(regexp_replace(name, '(.)\\.[^.]*$', '\\1'), 1, 24)) AS topic FROM b2),
+d AS (SELECT *, coalesce(asked, topic || [{', '.join(map(q, cases.QUESTIONS))}][((chunk_index - 1) % 8 + 8) % 8 + 1]) AS question, regexp_extract_all(content, {q(cases.SENTENCE)}) AS parts FROM c),
+e AS (SELECT *, {strip(f"array_to_string(list_transform(parts[1:3], lambda p, i: CASE WHEN i = 1 THEN p ELSE {lstrip('p')} END), '')")} AS three FROM d),
+f AS (SELECT *, CASE WHEN asked IS NOT NULL THEN substr({strip(f"regexp_replace(fa, {q(cases.NEXT_FAQ.replace(chr(92) + 'z', '$'))}, '')")}, 1, 420)
+  ELSE substr(CASE WHEN length(three) < 80 THEN {strip('substr(content, 1, 260)')} ELSE three END, 1, 420) END AS answer FROM e)
+SELECT chunk_id, topic, question, answer, {_first("flatten(list_transform([question, topic, answer], lambda t: list_concat(regexp_extract_all(t, '《[^》]{4,40}》'), regexp_extract_all(t, '[" + HAN + "A-Za-z0-9]{2,12}'))))", "x <> ''")} AS keyword FROM f"""
+
 # --- projections -------------------------------------------------------------------------------
 
 SQL["public_projection"] = f"""

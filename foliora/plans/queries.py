@@ -11,7 +11,7 @@ from pyspark.sql.window import Window as W
 from foliora.functions import text as X
 from foliora.functions import vectors as V
 from foliora.functions.rows import table
-from foliora.operators import answer, catalog, chunking, clean, evaluate, hybrid, keyword, sections, tokens, vector
+from foliora.operators import answer, cases, catalog, chunking, clean, evaluate, hybrid, keyword, sections, tokens, vector
 from foliora.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -115,6 +115,12 @@ def case_rows(c):
     return one.select("chunk_id", "source", "chunk_index", X.strip(F.regexp_replace("content", f"[{X.SPACE}]+", " ")).alias("content"))
 
 
+@query("chunks")
+def case_topic(c):
+    """Topic, question, answer and keyword of a case made of each chunk that is long enough."""
+    return cases.make(QUERIES_RAW["case_rows"](c))
+
+
 # --- projections -------------------------------------------------------------------------------
 
 

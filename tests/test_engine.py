@@ -36,7 +36,7 @@ def test_ingest_search_ask_and_remove(engine, tmp_path):
     assert "keyword_score" in engine.search("margin call notice", col, 1, debug=True)[0]
     said = engine.ask("margin call notice", col)
     assert "margin" in said["answer"].lower() and said["sources"]
-    assert engine.ask("margin call notice", col, agentic=True)["retrieval_queries"][0] == "margin call notice"
+    assert engine.ask("margin call notice", col, careful=True)["retrieval_queries"][0] == "margin call notice"
     assert engine.ask("zzz", engine.create_collection("empty")["collection_id"])["fallback_reason"] == "no_results"
     case = tmp_path / "cases.jsonl"
     case.write_text(json.dumps({"id": "1", "query": "margin call notice", "collection_id": col, "expected_sources": ["a.md"]}) + "\n{}\n\nnot json\n")
@@ -97,3 +97,46 @@ def test_settings():
     for bad in ({"FOLIORA_TOP_K": "x"}, {"FOLIORA_TOP_K": "0"}, {"FOLIORA_RETRIEVAL_STRATEGY": "none"}, {"FOLIORA_CHUNK_SIZE": "-1"}):
         with pytest.raises(ConfigurationError):
             Settings.from_environment(bad)
+
+
+def test_uploads_and_formatting(tmp_path):
+    import io
+
+    from foliora import formatting
+    from foliora.sources import uploads
+
+    p = uploads.stage("../a.md", io.BytesIO(b"x" * 100), str(tmp_path), limit=100)
+    assert p.parent == tmp_path and p.read_bytes() == b"x" * 100
+    for name, size in (("b.md", 101), ("", 1)):
+        with pytest.raises(uploads.UploadError):
+            uploads.stage(name, io.BytesIO(b"x" * size), str(tmp_path), limit=100)
+    assert len(list(tmp_path.iterdir())) == 1
+    row = {"source": None, "score": 0.5, "content": "x" * 200, "page_start": 1, "page_end": 2}
+    assert "1. n/a, page 1-2, score 0.500" in formatting.results("q", [row]) and formatting.preview("abc", 2) == "ab..."
+    said = {"query": "q", "confidence": "low", "answer": "a", "fallback_reason": "no_results", "sources": []}
+    assert "Fallback: no_results" in formatting.answer(said) and formatting.records([]) == "none"
+
+
+def test_skips_kinds_and_vision(spark):
+    from pyspark.sql import functions as F
+
+    df = spark.createDataFrame([("a.MD", "text", ".md"), ("b.pdf", " ", ".pdf"), ("c.exe", "x", ".exe"), (None, None, ".txt")], "name string, content string, file_type string")
+    assert loaders.loaded(df, "content").count() == 2
+    assert {r["message"] for r in loaders.skipped(df, F.col("name"), "content").collect()} == {"empty document: b.pdf", "unsupported file type: c.exe", "empty document: ?"}
+    rows = df.select(loaders.suffix(F.col("name")).alias("s"), loaders.mime_type(F.col("name")).alias("m"), loaders.needs_vision(F.col("content"), "auto", 3).alias("v")).collect()
+    assert [(r["s"], r["m"], r["v"]) for r in rows[:3]] == [(".md", "text/markdown", False), (".pdf", "application/pdf", True), (".exe", "application/octet-stream", True)]
+    with pytest.raises(ConfigurationError):
+        loaders.load_strategy("other")
+
+
+def test_cases_from_chunks(spark):
+    from foliora.operators import cases
+
+    df = spark.createDataFrame(
+        [("1", "f/文件_1.md", 1, "请参阅《业务细则总览》第1条。甲。乙；丙。" + "丁" * 90), ("2", "f/a.md", 2, "问题 1：如何办理展期呢请说明？回答：" + "先提交申请再复核。" * 4 + " 问题 2：余下"), ("3", "f/plain_name.txt", 3, "no topic here at all")],
+        "chunk_id string, source string, chunk_index int, content string",
+    )
+    rows = {r["chunk_id"]: r for r in cases.make(df).collect()}
+    assert rows["1"]["topic"] == "业务细则总览" and rows["1"]["question"] == "业务细则总览有哪些要求？"
+    assert rows["2"]["question"] == "如何办理展期呢请说明？" and rows["2"]["answer"] == "先提交申请再复核。" * 4
+    assert rows["3"]["topic"] == "plain_name"
