@@ -27,7 +27,9 @@ def _small(df: DataFrame, names: list[str]) -> DataFrame:
     """Mean rank of each loss within its group: ties share the mean of their places, nulls are last."""
     for k in names:
         order = W.partitionBy("_g").orderBy(F.col(k).asc_nulls_last())
-        df = df.withColumn(f"{k}_r", F.rank().over(order) + (F.count("*").over(W.partitionBy("_g", k)) - 1) / F.lit(2.0))
+        # rows equal to this one, counted in the same order, so that each score is sorted once
+        equal = order.rangeBetween(W.currentRow, W.currentRow)
+        df = df.withColumn(f"{k}_r", F.rank().over(order) + (F.count("*").over(equal) - 1) / F.lit(2.0))
     return df
 
 
