@@ -35,11 +35,11 @@ def targets(tokens: DataFrame, recipes: DataFrame) -> DataFrame:
     A recipe's size is its ``mix_factor`` times the tokens of all documents. A source without documents
     can give nothing; a null share or cap makes the row's numbers null and not ``unreachable``."""
     totals = tokens.groupBy("source").agg(F.sum("n_tokens").alias("source_tokens"))
-    totals = totals.withColumn("corpus_tokens", F.sum("source_tokens").over(W.partitionBy()))
-    whole = totals.agg(F.max("corpus_tokens").alias("corpus_tokens"))
+    totals = totals.withColumn("all_tokens", F.sum("source_tokens").over(W.partitionBy()))
     rows = recipes.select("recipe_id", "source", "target_share", "max_repeats", "mix_factor").distinct()
-    # one row for each source on this side: a few dozen, whatever the size of the corpus
-    joined = rows.join(totals.select("source", "source_tokens"), "source", "left").crossJoin(F.broadcast(whole))
+    # one row for each source or row of the recipes on either side, whatever the size of the corpus; the outer
+    # join keeps the total even where no recipe names a source
+    joined = totals.join(rows, "source", "full_outer").withColumn("corpus_tokens", F.max("all_tokens").over(W.partitionBy())).where("recipe_id is not null")
     return joined.select(
         "recipe_id", "source", "target_share", "max_repeats", "mix_factor", F.coalesce("source_tokens", F.lit(0)).alias("source_tokens"),
         (F.col("target_share") * F.col("mix_factor") * F.coalesce("corpus_tokens", F.lit(0))).alias("target_tokens"),

@@ -118,13 +118,20 @@ def split(df: DataFrame, key: str, text: str, max_size: str = "max_size", overla
 
 
 def limited(df: DataFrame, limits: DataFrame, item_table: str) -> DataFrame:
-    """Rows of ``df`` with their limit: that of their file type, or the table's row for all types.
+    """Rows of ``df`` with their limit: that of their file type, or else the table's row for all types; rows without either are left out.
 
     ``limits`` has a row for each table and file type, a handful whatever the size of the data."""
-    mine = limits.where(F.col("item_table") == item_table).select(F.col("file_type").alias("_type"), "max_size", "overlap_size")
-    if "file_type" in df.columns:
-        return df.join(F.broadcast(mine), (F.lower("file_type") == F.col("_type")) | (F.col("_type") == "*"))
-    return df.join(F.broadcast(mine.where("_type = '*'")), F.lit(True))
+    mine = limits.where(F.col("item_table") == item_table).select("file_type", "max_size", "overlap_size").dropDuplicates(["file_type"])
+
+    def by(name: str) -> DataFrame:
+        return F.broadcast(mine.select(F.col("file_type").alias(f"_{name}"), F.col("max_size").alias(f"_m_{name}"), F.col("overlap_size").alias(f"_o_{name}")))
+
+    kind = F.lower("file_type") if "file_type" in df.columns else F.lit(None).cast("string")
+    keyed = df.drop("max_size", "overlap_size").withColumn("_own", kind).withColumn("_any", F.lit("*"))
+    both = keyed.join(by("own"), "_own", "left").join(by("any"), "_any", "left")
+    own = F.col("_m_own").isNotNull()
+    found = both.withColumn("max_size", F.when(own, F.col("_m_own")).otherwise(F.col("_m_any"))).withColumn("overlap_size", F.when(own, F.col("_o_own")).otherwise(F.col("_o_any")))
+    return found.where("max_size is not null").select(*[c for c in df.columns if c not in ("max_size", "overlap_size")], "max_size", "overlap_size")
 
 
 def all_pieces(documents: DataFrame, chunks: DataFrame, limits: DataFrame) -> DataFrame:
