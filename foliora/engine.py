@@ -277,14 +277,8 @@ class Engine:
         none = "query_id string, id string, vector_score double, raw_distance double, vector_rank int"
         if vectors is None:
             return self.spark.createDataFrame([], none)
-        from foliora.functions.vectors import distance_score, squared_distance
-        from pyspark.sql.window import Window as W
-
-        # one row a query here, so all are held beside each partition of the vectors
-        asked = F.broadcast(vector.embed(q, "query_id", "query", self.embed).withColumnRenamed("embedding", "q"))
-        d = vectors.join(asked, F.size("q") == F.size("embedding")).select("query_id", F.col("chunk_id").alias("id"), squared_distance(F.col("q"), F.col("embedding")).alias("raw_distance"))
-        order = W.partitionBy("query_id").orderBy("raw_distance", "id")
-        return d.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= k).withColumn("vector_score", distance_score(F.col("raw_distance")))
+        near = vector.search(vector.embed(q, "query_id", "query", self.embed), vectors, k, vec_id="chunk_id")
+        return near.select("query_id", F.col("vec_id").alias("id"), "vector_score", F.col("distance").alias("raw_distance"), "vector_rank")
 
     def search(self, query: str, collection_id: str, top_k: int | None = None, strategy: str | None = None, debug: bool = False) -> list[dict]:
         """Results of one query, best first; with the evidence of both branches if ``debug``."""

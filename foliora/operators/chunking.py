@@ -122,22 +122,54 @@ def words(s: str) -> int:
     return sum(map(str.isalnum, s))
 
 
-def tfidf(texts: Sequence[str]) -> np.ndarray:
-    """Rows of unit length: sequences of two to four characters weighted by smoothed inverse frequency; no columns if there are none."""
-    bags = []
-    for t in texts:
-        s = re.sub(r"\s\s+", " ", t.lower())
-        bags.append(Counter(s[i : i + n] for n in (2, 3, 4) for i in range(len(s) - n + 1)))
-    names = {g: j for j, g in enumerate(sorted(set().union(*bags)))}
-    m = np.zeros((len(texts), len(names)))
-    for i, bag in enumerate(bags):
-        for g, n in bag.items():
-            m[i, names[g]] = n
-    if names:
-        m *= np.log((1 + len(texts)) / (1 + (m > 0).sum(0))) + 1
-        norms = np.linalg.norm(m, axis=1, keepdims=True)
-        m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
-    return m
+class GramRows:
+    """Texts as rows of unit length: sequences of two to four characters weighted by smoothed inverse frequency.
+
+    Rows are kept sparse, as sorted ids and weights, so that a section of any length fits; sequences are
+    told apart by a 64-bit hash."""
+
+    def __init__(self, texts: Sequence[str]):
+        keys = [self._grams(t) for t in texts]
+        self.empty = not any(len(k) for k, _ in keys)
+        seen, where = np.unique(np.concatenate([k for k, _ in keys]), return_inverse=True) if not self.empty else (np.empty(0), np.empty(0, int))
+        idf = np.log((1 + len(texts)) / (1 + np.bincount(where, minlength=len(seen)))) + 1
+        self.rows, at = [], 0
+        for k, n in keys:
+            ids = where[at : at + len(k)]
+            at += len(k)
+            w = n * idf[ids]
+            norm = math.sqrt(float(w @ w))
+            self.rows.append((ids, w / norm if norm else w))
+        self._dots: dict[tuple[int, int], float] = {}
+
+    @staticmethod
+    def _grams(text: str) -> tuple[np.ndarray, np.ndarray]:
+        c = np.frombuffer(re.sub(r"\s\s+", " ", text.lower()).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+        parts = []
+        with np.errstate(over="ignore"):
+            for n in (2, 3, 4):
+                h = np.full(max(0, len(c) - n + 1), n, np.uint64)
+                for k in range(n):
+                    h = (h ^ (c[k : len(c) - n + 1 + k] + np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xBF58476D1CE4E5B9)
+                    h ^= h >> np.uint64(29)
+                parts.append(h)
+        return np.unique(np.concatenate(parts), return_counts=True)
+
+    def dot(self, i: int, j: int) -> float:
+        key = (min(i, j), max(i, j))
+        if key not in self._dots:
+            (a, x), (b, y) = self.rows[key[0]], self.rows[key[1]]
+            at = np.searchsorted(b, a)
+            at[at == len(b)] = 0
+            same = b[at] == a if len(b) else np.zeros(len(a), bool)
+            self._dots[key] = float(x[same] @ y[at[same]])
+        return self._dots[key]
+
+    def likeness(self, left: Sequence[int], right: Sequence[int]) -> float:
+        """Cosine of the mean rows of two sets, within [0, 1]."""
+        total = lambda a, b: sum(self.dot(i, j) for i in a for j in b)
+        norm = math.sqrt(total(left, left)) * math.sqrt(total(right, right))
+        return min(1.0, max(0.0, total(left, right) / norm)) if norm else 0.0
 
 
 def cosine(a: Sequence[float], b: Sequence[float]) -> float:
@@ -158,10 +190,14 @@ def boundary_scores(texts: Sequence[str], embed: Embedder | None = None) -> list
     """Likeness across each boundary between units: the two before it against the two after it."""
     if len(texts) < 2:
         return []
-    m = np.asarray(embed(list(texts)), float) if embed else tfidf(texts)
-    if m.shape[1] == 0:
+    n = len(texts)
+    if embed:
+        m = np.asarray(embed(list(texts)), float)
+        return [cosine(m[max(0, i - 1) : i + 1].mean(0), m[i + 1 : i + 3].mean(0)) for i in range(n - 1)]
+    rows = GramRows(texts)
+    if rows.empty:
         return [_shared_chars(a, b) for a, b in zip(texts, texts[1:])]
-    return [cosine(m[max(0, i - 1) : i + 1].mean(0), m[i + 1 : i + 3].mean(0)) for i in range(len(texts) - 1)]
+    return [rows.likeness(range(max(0, i - 1), i + 1), range(i + 1, min(n, i + 3))) for i in range(n - 1)]
 
 
 def similarity(a: str, b: str, embed: Embedder | None = None) -> float:
@@ -171,8 +207,10 @@ def similarity(a: str, b: str, embed: Embedder | None = None) -> float:
         return 0.0
     if a == b:
         return 1.0
-    m = np.asarray(embed([a, b]), float) if embed else tfidf([a, b])
-    return cosine(m[0], m[1]) if m.shape[1] else _shared_chars(a, b)
+    if embed:
+        return cosine(*embed([a, b]))
+    rows = GramRows([a, b])
+    return _shared_chars(a, b) if rows.empty else rows.likeness([0], [1])
 
 
 def break_at(scores: Sequence[float], threshold: float) -> float:

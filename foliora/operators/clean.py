@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliora.functions.rows import spread
 from foliora.functions.text import SPACE, clean_line, has_content, let, lines, strip, word_chars
 
 # Patterns of lines that carry no text.
@@ -97,7 +98,7 @@ def clean_content(content: Column, is_pdf: Column, tops: Column, bottoms: Column
 def clean_documents(df: DataFrame, content: str = "text") -> DataFrame:
     """Adds ``cleaned`` to texts that aren't pages of a source; null stays null."""
     none = F.array().cast("array<string>")
-    return df.withColumn("cleaned", clean_content(F.col(content), F.coalesce(F.col("file_type") == ".pdf", F.lit(False)), none, none))
+    return spread(df).withColumn("cleaned", clean_content(F.col(content), F.coalesce(F.col("file_type") == ".pdf", F.lit(False)), none, none))
 
 
 def clean_pages(pages: DataFrame) -> DataFrame:

@@ -76,12 +76,22 @@ def _occurrences(phrases: DataFrame, indexed: DataFrame) -> DataFrame:
     return lined.groupBy("collection_id", "token", "chunk_id").agg(F.sum(times).alias("f"), F.first("doc_len").alias("doc_len")).where("f > 0")
 
 
+def _idf() -> Column:
+    idf = F.ln((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
+
+
+def weights(queries: DataFrame, chunks: DataFrame) -> DataFrame:
+    """Number of chunks with each token of the queries, and its inverse document frequency, by collection."""
+    found = _occurrences(_phrases(T.analyze(queries)), index_chunks(chunks))
+    n = _distinct(chunks).groupBy("collection_id").agg(F.count("*").alias("n_chunks"))
+    return found.groupBy("collection_id", "token").agg(F.count("*").alias("df")).join(n, "collection_id").withColumn("idf", _idf())
+
+
 def _weight() -> Column:
     """The share of one phrase in the (negative) score of a chunk."""
-    idf = F.ln((F.col("n_chunks") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(F.lit(LEAST_IDF))
     f = F.col("f").cast("double")
-    return -idf * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
+    return -_idf() * f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("doc_len") / F.col("avg_len")))
 
 
 def candidates(queries: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -31,44 +31,39 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return np.array(lists, float) if lists else np.empty((0, 0))
 
 
-def _nearest(ids: np.ndarray, vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
-    """Squared distances by matrix product pick the nearest; those are then computed exactly."""
-    if not len(ids):
-        return
+def _nearest(ids: list, vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, list]]:
+    """The ``k`` nearest of some vectors to each query, as (distance, id), ties by id.
+
+    A matrix product picks all that can be among them; their distances are then computed exactly."""
     rough = (vectors**2).sum(1) - 2 * queries @ vectors.T
-    take = min(len(ids), k + 8)
+    margin = 1e-9 * (1 + (vectors**2).sum(1).max() + (queries**2).sum(1).max())
     for q in range(len(queries)):
-        near = np.argpartition(rough[q], take - 1)[:take] if take < len(ids) else np.arange(len(ids))
+        if len(ids) > k:
+            near = np.flatnonzero(rough[q] <= np.partition(rough[q], k - 1)[k - 1] + margin)
+        else:
+            near = np.arange(len(ids))
         exact = ((vectors[near] - queries[q]) ** 2).sum(1)
-        order = np.lexsort((ids[near], exact))[:k]
-        yield q, ids[near][order], exact[order]
-
+        yield q, sorted(zip(exact.tolist(), (ids[i] for i in near)))[:k]
 
-OUT = "query_id bigint, vec_id bigint, distance double"
 
-
-def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> DataFrame:
+def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id") -> DataFrame:
     """The ``top_k`` vectors nearest each query by squared distance, against all vectors.
 
-    ``queries`` has query_id and embedding, ``vectors`` vec_id and embedding; rows with null or other
-    lengths than the first query's are left out. Queries go in blocks of ``BLOCK``; each partition of
-    the vectors returns its nearest few of each query, so what is shuffled is partitions x queries x top_k."""
+    Both sides have a key (``query_id``, ``vec_id``) and an embedding; rows with null key or embedding
+    or another length than the first query's are left out. Queries go in blocks of ``BLOCK``; each partition
+    of the vectors returns its nearest few of each query, so what is shuffled is partitions x queries x top_k."""
     if top_k <= 0:
         raise VectorStoreError("top_k must be above 0.")
-    asked = queries.select(F.col("query_id").cast("bigint"), "embedding").where("embedding is not null")
-    rounds = []
-    rows = asked.orderBy("query_id")
-    offset = 0
-    while True:
-        block = rows.offset(offset).limit(BLOCK).collect()
-        if not block:
-            break
-        rounds.append(_round(block, vectors, top_k))
+    kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, vec_id {vectors.schema[vec_id].dataType.simpleString()}, distance double"
+    rows = queries.select(F.col(query_id).alias("query_id"), "embedding").where("embedding is not null and query_id is not null").orderBy("query_id")
+    rounds, offset = [], 0
+    while block := rows.offset(offset).limit(BLOCK).collect():
+        rounds.append(_round(block, vectors.select(F.col(vec_id).alias("vec_id"), "embedding"), top_k, schema_of(kinds)))
         offset += BLOCK
         if len(block) < BLOCK:
             break
     if not rounds:
-        return vectors.sparkSession.createDataFrame([], schema_of(OUT + ", vector_rank int, vector_score double"))
+        return vectors.sparkSession.createDataFrame([], schema_of(kinds + ", vector_rank int, vector_score double"))
     near = rounds[0]
     for r in rounds[1:]:
         near = near.unionByName(r)
@@ -76,26 +71,25 @@ def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5) -> DataFrame:
     return near.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= top_k).withColumn("vector_score", distance_score(F.col("distance")))
 
 
-def _round(block, vectors: DataFrame, k: int) -> DataFrame:
+def _round(block, vectors: DataFrame, k: int, schema) -> DataFrame:
     width = len(block[0]["embedding"])
     ids = [r["query_id"] for r in block if len(r["embedding"]) == width]
     matrix = np.array([r["embedding"] for r in block if len(r["embedding"]) == width], float)
     held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))  # at most BLOCK queries
-    schema = schema_of(OUT)
 
     def run(batches):
         arrow = to_arrow_schema(schema)
         qids, q = held.value
-        best: dict[int, list[tuple[float, int]]] = {}
+        best: dict[int, list] = {}
         for b in batches:
-            vid, v = b.column(0).to_numpy(zero_copy_only=False), _matrix(b.column(1))
-            for i, near, d in _nearest(vid, v, q, k):
-                best[i] = sorted([*best.get(i, []), *zip(d.tolist(), near.tolist())])[:k]
+            if b.num_rows:
+                for i, found in _nearest(b.column(0).to_pylist(), _matrix(b.column(1)), q, k):
+                    best[i] = sorted([*best.get(i, []), *found])[:k]
         rows = [(qids[i], v, d) for i, found in best.items() for d, v in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    sound = vectors.where(F.size("embedding") == width).select(F.col("vec_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("embedding"))
+    sound = vectors.where((F.size("embedding") == width) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     return sound.mapInArrow(run, schema)
 
 

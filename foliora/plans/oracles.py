@@ -270,6 +270,8 @@ pc AS (SELECT query_id, chunk_id, count(*) FILTER (is_req) AS n, any_value(n_req
 fl AS (SELECT *, n = n_req AND n_req > 0 AS is_strict, max(CAST(n = n_req AND n_req > 0 AS INTEGER)) OVER (PARTITION BY query_id) AS any_strict FROM pc),
 cand AS (SELECT query_id, chunk_id, CASE WHEN any_strict = 1 THEN strict ELSE relaxed END AS raw_bm25 FROM fl WHERE is_strict OR any_strict = 0),
 best AS (SELECT c.*, top_k, CAST(row_number() OVER (PARTITION BY c.query_id ORDER BY round(raw_bm25, 9), chunk_id) AS INTEGER) AS bm25_rank FROM cand c JOIN asked USING (query_id) QUALIFY bm25_rank <= greatest(8 * top_k, 50))"""
+SQL["bm25"] = f"""
+WITH {_CANDIDATES} SELECT collection_id, token, df, round(CASE WHEN ln((n_chunks - df + 0.5) / (df + 0.5)) > 0 THEN ln((n_chunks - df + 0.5) / (df + 0.5)) ELSE CAST(0.000001 AS DOUBLE) END, 6) AS idf FROM df JOIN st USING (collection_id)"""
 SQL["keyword_candidates"] = f"WITH {_CANDIDATES} SELECT query_id, bm25_rank, chunk_id, round(raw_bm25, 6) AS raw_bm25 FROM best"
 
 

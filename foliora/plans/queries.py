@@ -67,6 +67,9 @@ def load_pages(p):
     return loaders.loaded(one, "content").join(n, "source").select("page_doc_id", "source", "page_number", "pages", F.length("content").alias("chars"))
 
 
+QUERIES["scan_dir"] = lambda spark, sf: loaders.scan(spark, sf).groupBy("file_type").agg(F.count("*").alias("files"), F.sum("size_bytes").alias("size_bytes"))
+
+
 @query("documents")
 def load_skipped(d):
     return loaders.skipped(d, F.col("file_name"), "text").select("doc_id", "message")
@@ -278,6 +281,12 @@ def bm25_stats(c):
     return s.select("collection_id", "n_chunks", _r("avg_len").alias("avg_len"))
 
 
+@query("eval_cases", "chunks")
+def bm25(q, c):
+    """How many chunks of its collection hold each token of the searches, and what that makes it weigh."""
+    return keyword.weights(_searches(q), c).select("collection_id", "token", "df", _r("idf").alias("idf"))
+
+
 @query("eval_cases", "chunks")
 def keyword_candidates(q, c):
     return keyword.candidates(_searches(q), c).select("query_id", "bm25_rank", "chunk_id", _r("raw_bm25").alias("raw_bm25"))

@@ -60,6 +60,13 @@ def skipped(df: DataFrame, name: Column, content: str) -> DataFrame:
     return df.where(~has_content(F.col(content)) | ~F.col("file_type").isin(*TEXT, PDF)).withColumn("message", F.concat(kind, F.coalesce(name, F.lit("?"))))
 
 
+def scan(spark: SparkSession, path: str) -> DataFrame:
+    """The files under a path: place below it, name, suffix and size; contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
+    name = F.regexp_replace("path", r"\A.*/", "")
+    return files.select("path", name.alias("file_name"), suffix(name).alias("file_type"), F.col("length").alias("size_bytes"))
+
+
 def read_texts(spark: SparkSession, path: str) -> DataFrame:
     """Text files under a path, each as one document; bytes that aren't UTF-8 become replacement characters."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)

@@ -157,3 +157,22 @@ def test_parameters_are_checked():
     assert chunking.strategy(" Semantic ") == "semantic"
     with pytest.raises(ConfigurationError):
         chunking.strategy("other")
+
+
+def test_likeness_against_dense_rows():
+    import numpy as np
+
+    texts = ["The margin desk  records the ratio.", "the margin desk rebuilds the form", "文本检索 margin", "x", "", "The margin desk  records the ratio."]
+    bags = []
+    for t in texts:
+        t = __import__("re").sub(r"\s\s+", " ", t.lower())
+        bags.append([t[i : i + n] for n in (2, 3, 4) for i in range(len(t) - n + 1)])
+    names = sorted({g for b in bags for g in b})
+    m = np.array([[b.count(g) for g in names] for b in bags], float)
+    m *= np.log((1 + len(texts)) / (1 + (m > 0).sum(0))) + 1
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    m = np.divide(m, norms, out=np.zeros_like(m), where=norms > 0)
+    want = [chunking.cosine(m[max(0, i - 1) : i + 1].mean(0), m[i + 1 : i + 3].mean(0)) for i in range(len(texts) - 1)]
+    assert chunking.boundary_scores(texts) == pytest.approx(want, abs=1e-12)
+    assert chunking.similarity("ab", "ab ") == 1.0 and chunking.similarity("", "x") == 0.0 and chunking.similarity("a", "b") == 0.0
+    assert chunking.boundary_scores(["a", "b"], lambda ts: [[1.0, 0.0], [1.0, 0.0]]) == [1.0]
