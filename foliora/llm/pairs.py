@@ -33,10 +33,10 @@ no puedo responder|no puedo contestar|no puedo ayudar|no dispongo de informació
 """
 # Frequent function words by language, and words of assent that alone make an answer.
 STOPWORDS = {
-    "en": "the a an of and to in is for with on by that this each every before after under if when once all per at as it be are was or not yes no from",
-    "de": "der die das den dem des und in zu ist für mit auf bei nach vor ohne gemäß jede jeden jeder einmal pro alle ein eine einen nicht ja nein im am von wie wer wann wird während innerhalb",
-    "fr": "le la les l un une des de du d et à en est pour avec sur par que qui chaque sans après avant pendant selon dès fois oui non au aux ce cette quand comment s sous deux",
-    "es": "el la los las un una de del y a en es para con por que cada sin tras antes durante según vez al sí no se cuándo cómo quién ocupa superar",
+    "en": "the a an of and to in is for with on by that this each every before after under if when once all per at as it be are was or not yes no from which what who how why where does do did has have will would can should its their there these those into over about than",
+    "de": "der die das den dem des und in zu ist für mit auf bei nach vor ohne gemäß jede jeden jeder einmal pro alle ein eine einen nicht ja nein im am von wie wer wann wird während innerhalb welche welcher welches was warum wo sind hat haben kann soll werden durch über unter gegen",
+    "fr": "le la les l un une des de du d et à en est pour avec sur par que qui chaque sans après avant pendant selon dès fois oui non au aux ce cette quand comment s sous deux quel quelle quels quelles où pourquoi sont ont peut doit dans ne pas se",
+    "es": "el la los las un una de del y a en es para con por que cada sin tras antes durante según vez al sí no se cuándo cómo quién ocupa superar qué cuál dónde son tiene puede debe su sus lo más",
 }
 STOPS = {w: [k for k, v in STOPWORDS.items() if w in v.split()] for k in STOPWORDS for w in STOPWORDS[k].split()}
 SCRIPTS = [("kana", "぀-ヿ"), ("han", "㐀-鿿"), ("ru", "Ѐ-ӿ"), ("ar", "؀-ۿ"), ("th", "฀-๿"), ("hi", "ऀ-ॿ"), ("ko", "가-힯")]
