@@ -127,15 +127,18 @@ def slots(tokens: DataFrame, recipes: DataFrame, block: int = BLOCK, shard: int
 
 
 def shares(documents: DataFrame, recipes: DataFrame, folder: str = TOKENIZERS, block: int = BLOCK) -> DataFrame:
-    """Target and actual share of each source of each recipe, and how often its most used block is used."""
+    """Target and actual share of each source of each recipe, what part of its target it reached, and how often its most used block is used."""
     tokens = cut(document_tokens(documents, folder))
     t = targets(tokens, recipes)
-    plan = slots(tokens, recipes, block).groupBy("recipe_id", "source").agg(F.count("*").alias("blocks_used"), (F.max("round") + 1).alias("rounds"))
-    done = t.join(plan, ["recipe_id", "source"], "left").withColumn("actual_tokens", F.coalesce("blocks_used", F.lit(0)) * block)
-    asked = F.sum("target_tokens").over(W.partitionBy("recipe_id"))
+    sizes = t.select("recipe_id", "source", "source_tokens")
+    # a source's last block holds what is left
+    held = F.least(F.lit(block), F.col("source_tokens") - F.col("block") * block)
+    plan = slots(tokens, recipes, block).join(sizes, ["recipe_id", "source"]).groupBy("recipe_id", "source").agg(F.sum(held).alias("actual"), (F.max("round") + 1).alias("rounds"))
+    done = t.join(plan, ["recipe_id", "source"], "left").withColumn("actual_tokens", F.coalesce("actual", F.lit(0)).cast("bigint"))
+    per_recipe = W.partitionBy("recipe_id")
     return done.select(
-        "recipe_id", "source", "target_share", F.col("source_tokens").cast("bigint").alias("source_tokens"), "target_tokens", F.col("actual_tokens").cast("bigint").alias("actual_tokens"),
-        (F.col("actual_tokens") / F.nullif(asked, F.lit(0.0))).alias("actual_share"), F.coalesce("rounds", F.lit(0)).alias("rounds"), "max_repeats", "unreachable",
+        "recipe_id", "source", "target_share", F.try_divide("actual_tokens", F.sum("actual_tokens").over(per_recipe)).alias("actual_share"), F.col("source_tokens").cast("bigint").alias("source_tokens"), "target_tokens", "actual_tokens",
+        F.try_divide("actual_tokens", "target_tokens").alias("of_target"), F.coalesce("rounds", F.lit(0)).alias("rounds"), "max_repeats", "unreachable",
     )
 
 

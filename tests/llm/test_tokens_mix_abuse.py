@@ -87,7 +87,10 @@ def test_mix_of_documents(spark):
     rows = mix.mixed(docs, r, block=64).collect()
     assert rows and all(0 <= x["from_token"] < x["to_token"] for x in rows)
     s = {x["source"]: x for x in mix.shares(docs, r, block=64).collect()}
-    assert abs(s["a"]["actual_share"] - 0.5) < 0.2 and s["b"]["rounds"] <= 3
+    assert abs(s["a"]["actual_share"] - 0.5) < 0.2 and s["b"]["rounds"] <= 3 and sum(x["actual_share"] for x in s.values()) == pytest.approx(1)
+    assert all(x["actual_tokens"] <= x["max_repeats"] * x["source_tokens"] for x in s.values())
+    total = {k: sum(x["to_token"] - x["from_token"] for x in rows if x["source"] == k) for k in s}
+    assert total == {k: x["actual_tokens"] for k, x in s.items()}
     assert mix.found(docs, r).count() == 0 and mix.found(docs.limit(0), r.limit(0)).count() == 0
 
 
