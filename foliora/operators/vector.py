@@ -46,8 +46,8 @@ def _nearest(ids: list, vectors: np.ndarray, queries: np.ndarray, k: int) -> Ite
         yield q, sorted(zip(exact.tolist(), (ids[i] for i in near)))[:k]
 
 
-def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id") -> DataFrame:
-    """The ``top_k`` vectors nearest each query by squared distance, against all vectors.
+def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", group: str | None = None) -> DataFrame:
+    """The ``top_k`` vectors nearest each query by squared distance, against all vectors, or those of its ``group``.
 
     Both sides have a key (``query_id``, ``vec_id``) and an embedding; rows with null key or embedding
     or another length than the first query's are left out. Queries go in blocks of ``BLOCK``; each partition
@@ -55,10 +55,11 @@ def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_id: str
     if top_k <= 0:
         raise VectorStoreError("top_k must be above 0.")
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, vec_id {vectors.schema[vec_id].dataType.simpleString()}, distance double"
-    rows = queries.select(F.col(query_id).alias("query_id"), "embedding").where("embedding is not null and query_id is not null").orderBy("query_id")
+    part = F.col(group) if group else F.lit(None).cast("string")
+    rows = queries.select(F.col(query_id).alias("query_id"), "embedding", part.alias("part")).where("embedding is not null and query_id is not null").orderBy("query_id")
     rounds, offset = [], 0
     while block := rows.offset(offset).limit(BLOCK).collect():
-        rounds.append(_round(block, vectors.select(F.col(vec_id).alias("vec_id"), "embedding"), top_k, schema_of(kinds)))
+        rounds.append(_round(block, vectors.select(F.col(vec_id).alias("vec_id"), "embedding", part.alias("part")), top_k, schema_of(kinds)))
         offset += BLOCK
         if len(block) < BLOCK:
             break
@@ -73,23 +74,27 @@ def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_id: str
 
 def _round(block, vectors: DataFrame, k: int, schema) -> DataFrame:
     width = len(block[0]["embedding"])
-    ids = [r["query_id"] for r in block if len(r["embedding"]) == width]
-    matrix = np.array([r["embedding"] for r in block if len(r["embedding"]) == width], float)
-    held = vectors.sparkSession.sparkContext.broadcast((ids, matrix))  # at most BLOCK queries
+    parts: dict = {}
+    for r in block:
+        if len(r["embedding"]) == width:
+            parts.setdefault(r["part"], []).append(r)
+    held = vectors.sparkSession.sparkContext.broadcast({p: ([r["query_id"] for r in rs], np.array([r["embedding"] for r in rs], float)) for p, rs in parts.items()})  # at most BLOCK queries
 
     def run(batches):
         arrow = to_arrow_schema(schema)
-        qids, q = held.value
-        best: dict[int, list] = {}
+        best: dict[tuple, list] = {}
         for b in batches:
-            if b.num_rows:
-                for i, found in _nearest(b.column(0).to_pylist(), _matrix(b.column(1)), q, k):
-                    best[i] = sorted([*best.get(i, []), *found])[:k]
-        rows = [(qids[i], v, d) for i, found in best.items() for d, v in found]
+            ids, matrix, of = b.column(0).to_pylist(), _matrix(b.column(1)), np.array(b.column(2).to_pylist(), object)
+            for p, (_, q) in held.value.items():
+                here = np.flatnonzero(of == p) if p is not None else np.arange(len(ids))
+                if len(here):
+                    for i, found in _nearest([ids[x] for x in here], matrix[here], q, k):
+                        best[p, i] = sorted([*best.get((p, i), []), *found])[:k]
+        rows = [(held.value[p][0][i], v, d) for (p, i), found in best.items() for d, v in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    sound = vectors.where((F.size("embedding") == width) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    sound = vectors.where((F.size("embedding") == width) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "part")
     return sound.mapInArrow(run, schema)
 
 

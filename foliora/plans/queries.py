@@ -12,6 +12,7 @@ from foliora.functions import text as X
 from foliora.functions import vectors as V
 from foliora.functions.rows import table
 from foliora.operators import answer, cases, catalog, chunking, clean, evaluate, hybrid, keyword, sections, tokens, vector
+from foliora.providers import HashingEmbedder
 from foliora.sources import loaders
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,6 +197,21 @@ def hybrid_search(r):
     return fused.where(F.col("hybrid_rank") <= TOP_K).select("query_id", "hybrid_rank", "id", _r("hybrid_score", 9).alias("hybrid_score"), "vector_rank", "keyword_rank")
 
 
+@query("eval_cases", "chunks")
+def hybrid_chunks(q, c):
+    """Hybrid search from the texts themselves: both branches within each search's collection, fused."""
+    asked = _searches(q)
+    fetch = hybrid.candidate_k(TOP_K)
+    model = HashingEmbedder()
+    one = _chunks(c).select("chunk_id", "content", "collection_id")
+    of = lambda df, key, text: vector.embed(df, key, text, model).join(df.select(key, "collection_id"), key)
+    near = vector.search(of(asked, "query_id", "query"), of(one, "chunk_id", "content"), fetch, vec_id="chunk_id", group="collection_id")
+    v = near.select("query_id", F.col("vec_id").alias("id"), "vector_score", F.col("distance").alias("raw_distance"), "vector_rank")
+    k = keyword.search(asked.withColumn("top_k", F.lit(fetch)), c).select("query_id", F.col("chunk_id").alias("id"), "keyword_score", "raw_bm25", "keyword_rank")
+    fused = hybrid.fuse(v, k)
+    return fused.where(F.col("hybrid_rank") <= TOP_K).select("query_id", "hybrid_rank", "id", _r("hybrid_score").alias("hybrid_score"), "vector_rank", "keyword_rank")
+
+
 @query("search_results")
 def search_debug(r):
     """All candidates of both branches with their ranks, beside the final place."""

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
@@ -20,6 +21,11 @@ class VisionModel(Protocol):
     def __call__(self, image: bytes, mime_type: str) -> str: ...
 
 
+@functools.lru_cache(1 << 16)
+def _hash(s: str) -> int:
+    return int.from_bytes(hashlib.blake2b(s.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+
+
 class HashingEmbedder:
     """Unit vectors from hashed words and pairs of characters; the same for the same text everywhere."""
 
@@ -33,7 +39,7 @@ class HashingEmbedder:
         v = [0.0] * self.size
         s = text.lower()
         for w in re.findall(r"[a-z0-9]+", s) + [s[i : i + 2] for i in range(len(s) - 1) if not s[i : i + 2].isascii()]:
-            h = int.from_bytes(hashlib.blake2b(w.encode("utf-8", "replace"), digest_size=8).digest(), "big")
+            h = _hash(w)
             v[h % self.size] += 1.0 if h >> 63 else -1.0
         n = math.sqrt(sum(x * x for x in v))
         return [x / n for x in v] if n else v

@@ -40,6 +40,13 @@ def test_exact_search_against_brute_force(spark, vectors, monkeypatch):
         vector.search(asked, vectors, 0)
 
 
+def test_search_within_groups(spark):
+    v = spark.createDataFrame([("a", [0.0], "x"), ("b", [1.0], "y"), ("c", [2.0], "x"), ("d", [2.0], "x"), ("e", [9.0], None)], "vec_id string, embedding array<double>, g string")
+    q = spark.createDataFrame([("q", [1.9], "x"), ("r", [1.9], "y"), ("s", [0.0], "none")], "query_id string, embedding array<double>, g string")
+    got = [(r["query_id"], r["vec_id"]) for r in vector.search(q, v, 2, group="g").orderBy("query_id", "vector_rank").collect()]
+    assert got == [("q", "c"), ("q", "d"), ("r", "b")]
+
+
 def test_index_holds_every_vector_and_recalls(spark, vectors):
     sound = vectors.where(F.size("embedding") == 8)
     centres = vector.fit_cells(sound, cells=8)
