@@ -6,7 +6,8 @@ import re
 from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType, _parse_datatype_string
 
@@ -32,6 +33,14 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+def unnest(df: DataFrame, keep: Sequence[str], array: Column, pos: str, item: str) -> DataFrame:
+    """A row for each element of ``array`` with its place from 0; none for an empty or null array.
+
+    A plain explode lets the optimizer filter by the size of the array first, which makes a computed
+    array twice; the outer one with a filter behind it does not."""
+    return df.select(*keep, F.posexplode_outer(array).alias(pos, item)).where(F.col(pos).isNotNull())
+
+
 def schema_of(ddl: str) -> StructType:
     """The Spark schema of a DDL string."""
     return _parse_datatype_string(ddl)

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from foliora.errors import ConfigurationError
 from foliora.functions.lineage import cut
-from foliora.functions.rows import map_rows, schema_of, spread
+from foliora.functions.rows import map_rows, schema_of, spread, unnest
 from foliora.functions.text import WORD, chars, has_content, let
 
 SIZE, OVERLAP, LEAST, MAX_UNITS, BREAK, PAGE_MERGE = 800, 120, 120, 12, 0.35, 0.55
@@ -68,7 +68,8 @@ def character_chunks(df: DataFrame, key: str, content: str, size: int = SIZE, ov
     """Character windows of every text: key, chunk_index from 1, start_char, end_char, content.
 
     Null and empty texts give no rows; a text without letters and digits gives one window if it isn't blank."""
-    placed = spread(df.where(F.col(content).isNotNull()).select(key, content)).select(key, F.col(content).alias("_c"), F.posexplode(windows(F.col(content), size, overlap)).alias("_i", "w"))
+    texts = spread(df.where(F.col(content).isNotNull()).select(key, F.col(content).alias("_c")))
+    placed = unnest(texts, [key, "_c"], windows(F.col("_c"), size, overlap), "_i", "w")
     text = F.expr("substring(_c, w.start_char + 1, w.end_char - w.start_char)")
     rows = placed.select(key, "_i", "w.start_char", "w.end_char", text.alias("content")).where(has_content(F.col("content")))
     return rows.withColumn("chunk_index", F.row_number().over(W.partitionBy(key).orderBy("_i"))).select(key, "chunk_index", "start_char", "end_char", "content")

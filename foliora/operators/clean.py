@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliora.functions.rows import spread
+from foliora.functions.rows import spread, unnest
 from foliora.functions.text import SPACE, clean_line, has_content, let, lines, strip, word_chars
 
 # Patterns of lines that carry no text.
@@ -67,7 +67,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
     candidates = F.filter(F.transform(lines(F.coalesce("content", F.lit(""))), clean_line), lambda x: (x != "") & (F.length(x) <= EDGE_CHARS))
     per_page = pdf.select("page_doc_id", "source", candidates.alias("c")).dropDuplicates(["page_doc_id"])
     keys = F.concat(_side_keys("top"), _side_keys("bottom"))
-    exploded = per_page.select("source", F.explode(keys).alias("k")).select("source", "k.side", "k.key").where("key <> ''")
+    exploded = unnest(per_page, ["source"], keys, "_i", "k").select("source", "k.side", "k.key").where("key <> ''")
     counts = exploded.groupBy("source", "side", "key").agg(F.count("*").alias("pages"))
     totals = per_page.groupBy("source").agg(F.count("*").alias("n"))
     enough = (F.col("n") >= EDGE_PAGES) & (F.col("pages") >= F.greatest(F.lit(1), F.ceil(F.col("n") * EDGE_SHARE)))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from foliora.functions.rows import unnest
 from foliora.functions.text import let
 from foliora.operators import tokens as T
 
@@ -26,7 +27,7 @@ def index_chunks(chunks: DataFrame) -> DataFrame:
 
 def postings(chunks: DataFrame) -> DataFrame:
     """The inverted index: for each term of a chunk its positions (from 0), their number and the chunk's length."""
-    at = index_chunks(chunks).select("collection_id", "chunk_id", "doc_len", F.posexplode("terms").alias("pos", "token"))
+    at = unnest(index_chunks(chunks), ["collection_id", "chunk_id", "doc_len"], F.col("terms"), "pos", "token")
     grouped = at.groupBy("collection_id", "token", "chunk_id").agg(F.first("doc_len").alias("doc_len"), F.array_sort(F.collect_list("pos")).alias("positions"))
     return grouped.withColumn("tf", F.size("positions"))
 
@@ -54,10 +55,8 @@ def stats(chunks: DataFrame) -> DataFrame:
 
 def _phrases(queries: DataFrame) -> DataFrame:
     """The phrases of analysed queries: a token with underscores is a phrase of several terms."""
-    rows = queries.select(
-        "query_id", "collection_id", F.size("required").alias("n_required"),
-        F.explode(F.concat(F.transform("required", lambda t: F.struct(t.alias("token"), F.lit(True).alias("required"))), F.transform("optional", lambda t: F.struct(t.alias("token"), F.lit(False).alias("required"))))).alias("p"),
-    )
+    both = F.concat(F.transform("required", lambda t: F.struct(t.alias("token"), F.lit(True).alias("required"))), F.transform("optional", lambda t: F.struct(t.alias("token"), F.lit(False).alias("required"))))
+    rows = unnest(queries.withColumn("n_required", F.size("required")), ["query_id", "collection_id", "n_required"], both, "_i", "p")
     return rows.select("query_id", "collection_id", "n_required", "p.token", F.col("p.required").alias("is_required")).withColumn("parts", F.filter(F.split("token", "_"), lambda x: x != ""))
 
 
@@ -68,7 +67,7 @@ def _occurrences(phrases: DataFrame, indexed: DataFrame) -> DataFrame:
     exchange for single terms, and lined up by their position for phrases."""
     wanted = phrases.select("collection_id", "token", "parts").distinct()
     parts = wanted.select("collection_id", "token", F.size("parts").alias("n_parts"), F.posexplode("parts").alias("part", "term"))
-    exploded = indexed.select("collection_id", "chunk_id", "doc_len", F.posexplode("terms").alias("pos", "term"))
+    exploded = unnest(indexed, ["collection_id", "chunk_id", "doc_len"], F.col("terms"), "pos", "term")
     hits = exploded.join(parts, ["collection_id", "term"])
     start = F.when(F.col("n_parts") > 1, F.col("pos") - F.col("part"))  # null for single terms, whose count is all that matters
     lined = hits.groupBy("collection_id", "token", "n_parts", "chunk_id", start.alias("start")).agg(F.count("*").alias("k"), F.first("doc_len").alias("doc_len"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliora.functions.rows import spread
+from foliora.functions.rows import spread, unnest
 from foliora.functions.text import HAN, SPACE, clean_line, has_content, let, lstrip, rstrip, strip, unix_lines, word_chars
 from foliora.operators.clean import NUMBER, S
 
@@ -133,7 +133,7 @@ def build(df: DataFrame, key: str, content: str, merge: bool = True, least: int
     """Sections of every text with their blocks: key, section_no, start_char, end_char, hard_break_key, blocks.
 
     Sections without blocks are left out, so null and blank texts have no rows."""
-    cut = spread(df.select(key, content, "file_type")).select(key, "file_type", F.posexplode(sections(F.col(content))).alias("section_no", "s"))
+    cut = unnest(spread(df.select(key, content, "file_type")), [key, "file_type"], sections(F.col(content)), "section_no", "s")
     # a section has a block just if it has anything but white space
     made = cut.where(has_content(F.col("s.text"))).withColumn("blocks", blocks(F.col("s.text"), F.col("s.start_char"), F.coalesce(F.col("file_type") == ".pdf", F.lit(False))))
     if merge:

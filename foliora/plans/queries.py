@@ -10,7 +10,7 @@ from pyspark.sql.window import Window as W
 
 from foliora.functions import text as X
 from foliora.functions import vectors as V
-from foliora.functions.rows import table
+from foliora.functions.rows import table, unnest
 from foliora.operators import answer, cases, catalog, chunking, clean, evaluate, hybrid, keyword, sections, tokens, vector
 from foliora.providers import HashingEmbedder
 from foliora.sources import loaders
@@ -438,7 +438,7 @@ def clean_lines(d):
 
 @query("pdf_pages")
 def page_markers(p):
-    at = _pages(p).select("page_doc_id", F.posexplode(F.transform(X.lines(F.col("content")), X.clean_line)).alias("line_no", "line"))
+    at = unnest(_pages(p), ["page_doc_id"], F.transform(X.lines(F.col("content")), X.clean_line), "line_no", "line")
     return at.where(F.col("line") != "").where(clean.is_marker(F.col("line")) | clean.is_bare_number(F.col("line")) | clean.is_decorative(F.col("line"))).select("page_doc_id", "line_no", "line")
 
 
@@ -456,7 +456,7 @@ def pdf_clean(p):
 
 @query("documents")
 def hard_breaks(d):
-    cut = d.where("text is not null").select("doc_id", F.posexplode(sections.sections(F.col("text"))).alias("section_no", "s"))
+    cut = unnest(d.where("text is not null"), ["doc_id"], sections.sections(F.col("text")), "section_no", "s")
     return cut.select("doc_id", "section_no", "s.start_char", "s.end_char", "s.hard_break_key")
 
 
@@ -466,19 +466,19 @@ def _built(d, merge=False):
 
 @query("documents")
 def blocks(d):
-    at = _built(d).select("doc_id", "section_no", F.posexplode("blocks").alias("block_no", "b"))
+    at = unnest(_built(d), ["doc_id", "section_no"], F.col("blocks"), "block_no", "b")
     return at.select("doc_id", "section_no", "block_no", "b.start_char", "b.end_char")
 
 
 @query("documents")
 def block_clean(d):
-    at = _built(d).select("doc_id", "section_no", F.posexplode("blocks").alias("block_no", "b"))
+    at = unnest(_built(d), ["doc_id", "section_no"], F.col("blocks"), "block_no", "b")
     return at.select("doc_id", "section_no", "block_no", "b.content", "b.words")
 
 
 @query("documents")
 def merge_blocks(d):
-    at = _built(d, merge=True).select("doc_id", "section_no", F.posexplode("blocks").alias("block_no", "b"))
+    at = unnest(_built(d, merge=True), ["doc_id", "section_no"], F.col("blocks"), "block_no", "b")
     return at.select("doc_id", "section_no", "block_no", "b.start_char", "b.end_char", "b.words")
 
 
@@ -495,7 +495,7 @@ def char_chunks(d):
 
 @query("documents")
 def units(d):
-    at = _built(d).select("doc_id", "section_no", F.posexplode(chunking.units(F.col("blocks"))).alias("unit_no", "u"))
+    at = unnest(_built(d), ["doc_id", "section_no"], chunking.units(F.col("blocks")), "unit_no", "u")
     return at.select("doc_id", "section_no", "unit_no", "u.start_char", "u.end_char", "u.block_index", X.word_chars(F.col("u.content")).alias("words"))
 
 
@@ -537,7 +537,7 @@ def special_tokens(d, q):
 @query("chunks")
 def version_tokens(c):
     v = F.filter(tokens.special_tokens(F.col("content")), lambda t: F.contains(t, F.lit("_")))
-    return _chunks(c).select("chunk_id", F.explode(v).alias("token")).groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("chunks"))
+    return unnest(_chunks(c), ["chunk_id"], v, "_i", "token").groupBy("token").agg(F.count("*").alias("n"), F.countDistinct("chunk_id").alias("chunks"))
 
 
 @query("chunks")
@@ -553,7 +553,7 @@ def analyze_query(q):
 
 @query("eval_cases")
 def token_class(q):
-    at = _cases(q).select(F.explode(tokens.query_tokens(F.coalesce("query", F.lit("")))).alias("token"))
+    at = unnest(_cases(q), [], tokens.query_tokens(F.coalesce("query", F.lit(""))), "_i", "token")
     return at.groupBy("token").agg(F.count("*").alias("n")).withColumn("class", tokens.token_class(F.col("token")))
 
 
