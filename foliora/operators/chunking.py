@@ -361,8 +361,8 @@ def page_chunks(pages: DataFrame, **parameters) -> DataFrame:
     size, least = parameters.get("size", SIZE), parameters.get("least", LEAST)
     cleaned = clean_pages(pages).where("source is not null and page_number is not null")
     built = sections.build(cleaned, "page_doc_id", "cleaned", least=least, most=size)
-    # the narrow columns of the pages come back by key
-    where = cleaned.select("page_doc_id", "source", "page_number")
+    # the narrow columns of the pages come back by key, without cleaning them again
+    where = pages.select("page_doc_id", "source", "page_number").where("source is not null and page_number is not null").dropDuplicates(["page_doc_id"])
     merged = merge_pages(cut(drafts(built, "page_doc_id", **parameters).join(where, "page_doc_id")), size=size)
     order = W.partitionBy("source").orderBy("page_start", "start_char")
     numbered = merged.withColumn("chunk_index", F.row_number().over(order)).withColumn("chunk_count", F.count("*").over(W.partitionBy("source")).cast("int"))
