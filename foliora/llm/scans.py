@@ -8,9 +8,11 @@ a decoder that reads each page as one de-lined stream together with the top of t
 from __future__ import annotations
 
 import re
-from collections import Counter
+from bisect import bisect_left
+from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -31,6 +33,8 @@ HYPHENS = "-­‐¬"
 EDGE = 3  #: lines at the top and at the bottom of a page that may be page furniture
 EDGE_SHARE = 0.2  #: a running line stands on this share of a volume's pages at least (so at most EDGE / EDGE_SHARE keys a side)
 LEXICON = 200_000  #: entries of the language model; the most frequent ones, counted over all pages
+KNOWN = 5  #: count from which a term is a word that others are read as
+MISREAD, SPLIT, MERGE, ODD = log(12), 6.0, 9.0, 1.2  #: costs (in -log of chance) of a misread word, a blank left out, a stray blank, a letter of an unknown word
 FOLD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("ri", "n"), ("li", "h"), ("ti", "u")]
 FOLD_ONE = str.maketrans({"e": "c", "é": "c", "†": "t", "@": "a", "í": "i", "0": "o", "1": "i", "l": "i", "|": "i", "q": "g", "h": "b", "5": "s", "8": "b", "$": "s", **HAN_CONFUSIONS})
 
@@ -137,6 +141,14 @@ class Decoder:
         self.n = model
         self.memo: dict[str, str | None] = {}
         self.sound: set[str] = set()  # tokens that were read before and stay as they are
+        self.seen: dict[str, tuple] = {}
+        words = {w.casefold() for w, n in model.items() if n >= KNOWN and not HAN.search(w)}
+        self.words = sorted(words)  # asked by their beginnings
+        self.longest = max(map(len, words), default=0)
+        self.all = log(max(2, sum(n for w, n in model.items() if not HAN.search(w))))
+        self.by_first = defaultdict(list)
+        for a, b in CONFUSIONS:
+            self.by_first[a[0]].append((a, b))
 
     def count(self, w: str) -> int:
         n = self.n.get(w, 0)
@@ -180,6 +192,126 @@ class Decoder:
                     break
             front = nxt
 
+    def _begins(self, x: str) -> bool:
+        """Whether some word begins with ``x``."""
+        k = bisect_left(self.words, x)
+        return k < len(self.words) and self.words[k].startswith(x)
+
+    def _token(self, t: str) -> tuple[str, bool, bool, int, str, frozenset]:
+        """Core of a token, whether nothing stands before and behind it, its count, small form and what may follow that in a word."""
+        got = self.seen.get(t)
+        if got is None:
+            w = core(t)
+            if not w or HAN.search(t):
+                got = ("", False, False, KNOWN, "", frozenset())
+            else:
+                at, low = t.find(w), w.casefold()
+                more, k = set(), bisect_left(self.words, low)
+                while k < len(self.words) and self.words[k].startswith(low):
+                    if nxt := self.words[k][len(low) : len(low) + 1]:
+                        more.add(nxt)
+                        k = bisect_left(self.words, low + chr(ord(nxt) + 1), k)
+                    else:
+                        k += 1
+                got = (w, at == 0, at + len(w) == len(t), self.count(w) if LETTER.search(w) else KNOWN, low, frozenset(more))
+            if len(self.seen) > LEXICON:
+                self.seen.clear()
+            self.seen[t] = got
+        return got
+
+    def _arcs(self, s: str, i: int, inner: bool) -> Iterator[tuple[int, str, int, int, tuple]]:
+        """Words that ``s`` may hold from ``i`` on, with stray blanks and up to two confusions: end, word, count, blanks, places of confusions."""
+        todo = [(i, "", 0, ())]
+        while todo:
+            p, x, blanks, edits = todo.pop()
+            if x and s[p - 1] != " ":
+                n = self.n.get(x, 0) if inner else self.count(x)
+                if n >= KNOWN:
+                    yield p, x, n, blanks, edits
+            if p == len(s):
+                continue
+            if s[p] == " ":
+                if x:
+                    todo.append((p + 1, x, blanks + 1, edits))
+                continue
+            if self._begins((x + s[p]).casefold()):
+                todo.append((p + 1, x + s[p], blanks, edits))
+            if len(edits) < 2:
+                for a, b in self.by_first.get(s[p], ()):
+                    if s.startswith(a, p) and self._begins((x + b).casefold()):
+                        todo.append((p + len(a), x + b, blanks, (*edits, p)))
+
+    def stream(self, tokens: list[str]) -> list[tuple[int, int, str, list[int]]]:
+        """Where the best reading of a de-lined stream differs from its tokens: first token, token behind, text and misread tokens.
+
+        A Viterbi search over the words that the characters may hold, whatever the blanks. It is made only around
+        rare tokens and neighbours that together begin a word: elsewhere each token has one reading."""
+        known = [self._token(t) for t in tokens]
+        joint = [known[k][2] and known[k + 1][1] for k in range(len(known) - 1)] + [False]
+        spots = [k for k, x in enumerate(known) if x[3] < KNOWN or joint[k] and known[k + 1][4][0] in x[5] and self._begins(x[4] + known[k + 1][4])]
+        out, upto = [], 0
+        while spots:
+            lo = hi = spots.pop(0)
+            size = 0
+            while lo > upto and joint[lo - 1] and size < self.longest + 2:
+                lo -= 1
+                size += len(known[lo][0])
+            size = 0
+            while joint[hi] and size < self.longest + 2:
+                hi += 1
+                size = 0 if spots and spots[0] <= hi else size + len(known[hi][0])
+                if spots and spots[0] <= hi:
+                    spots.pop(0)
+            upto = hi + 1
+            out += self._search(tokens, known, lo, hi + 1)
+        return out
+
+    def _search(self, tokens: list[str], known: list[tuple], lo: int, hi: int) -> list[tuple[int, int, str, list[int]]]:
+        s = " ".join(known[k][0] for k in range(lo, hi))
+        starts, of = {}, []
+        for k in range(lo, hi):
+            starts[len(of)] = k
+            of += [k] * (len(known[k][0]) + 1)
+        best: dict[int, tuple] = {0: (0.0, 0, None, ())}
+        for p in range(len(s) + 1):
+            if p not in best:
+                continue
+            cost, k = best[p][0], starts.get(p)
+
+            def offer(end, c, word, edits):
+                end += s[end : end + 1] == " "
+                if end not in best or cost + c < best[end][0]:
+                    best[end] = (cost + c, p, word, edits)
+
+            if k is not None:
+                w, n = known[k][0], known[k][3]
+                offer(p + len(w), self.all - log(max(n, 0.4)) + (0 if n else ODD * len(w)), None, ())
+            if p < len(s):
+                for end, word, n, blanks, edits in self._arcs(s, p, k is None):
+                    if k is None or blanks or end - p != len(known[k][0]):
+                        offer(end, self.all - log(n) + (MISREAD if edits else 0) + MERGE * blanks + (SPLIT if k is None else 0), word, edits)
+        path, p = [], len(s)
+        while p:
+            _, back, word, edits = best[p]
+            path.append((back, p, word, edits))
+            p = back
+        out: list[tuple[int, int, str, list[int]]] = []
+        words: list[str] = []
+        bad: list[int] = []
+        for a, b, word, edits in reversed(path):
+            if word is None and not words:
+                continue
+            if not words:
+                first = of[a]
+            words.append(known[of[a]][0] if word is None else word)
+            bad += [of[e] for e in edits]
+            if b == len(s) or b in starts:
+                end = of[b - 1] + 1
+                head, tail = tokens[first].partition(known[first][0])[0], tokens[end - 1].rpartition(known[end - 1][0])[2]
+                out.append((first, end, head + " ".join(words) + tail, bad))
+                words, bad = [], []
+        return out
+
     def han(self, context: str) -> str | None:
         """The character meant in the middle of a context, if it was misread."""
         y = HAN_CONFUSIONS.get(context[1])
@@ -237,6 +369,7 @@ def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_
         after = next((x.strip() for j, x in enumerate(next_top) if j not in skip and not _stray(x)), "")
     misread: set[int] = set()
     rest: dict[int, int] = {}  # characters at a line's start that belong to the line before
+    read: dict[int, list[str]] = {}
     fixed: dict[int, str] = {}
     if last_bottom and body:
         # a word begun on the page before belongs there; only what was misread of it counts here
@@ -301,7 +434,17 @@ def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_
                 elif len(decoder.sound) < LEXICON:
                     decoder.sound.add(t)
             done.append(t)
-        fixed[i] = " ".join(done)
+        read[i] = done
+    flat = [(i, t) for i in body for t in read[i]]
+    for a, b, t, bad in reversed(decoder.stream([t for _, t in flat])):
+        misread.update(flat[k][0] for k in bad)
+        # a word broken by the end of a line without a hyphen
+        out += [(flat[k][0] + 1, "hyphen") for k in range(a, b - 1) if flat[k][0] != flat[k + 1][0] and flat[k][1][-1] not in HYPHENS]
+        flat[a:b] = [(flat[a][0], t)]
+    for i in body:
+        fixed[i] = ""
+    for i, t in flat:
+        fixed[i] += f" {t}" if fixed[i] else t
     stream, place = "", []
     for i in body:
         stream += text[i]
@@ -320,7 +463,7 @@ def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_
             fixed[i] = "".join(repaired[i])
     out += [(i + 1, "misread") for i in misread]
     paragraphs, goes_on = _paragraphs(lines, body, fixed) if build else ([], False)
-    return sorted(out), paragraphs, goes_on
+    return sorted(set(out)), paragraphs, goes_on
 
 
 def _stray(line: str) -> bool:

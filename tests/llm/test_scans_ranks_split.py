@@ -36,6 +36,24 @@ def test_split_words_and_hyphens_that_belong():
     assert d.word("tbe") == "the" and d.word("c0ntrac†") == "contract" and d.word("margin") is None and d.word("qqq") is None
 
 
+@pytest.mark.parametrize(
+    "page, text, noise",
+    [
+        ("the marg in desk", "the margin desk", []),
+        ("(ex ten sion) of", "(extension) of", []),
+        ("theextension form ofthe margindesk.", "the extension form of the margin desk.", []),
+        ("the co1lat eral, deskrec0rds", "the collateral, desk records", [(1, "misread")]),
+        ("the exten\nsion form", "the extension form", [(1, "hyphen")]),
+        ("the cross-\nmargin desk", "the cross-margin desk", []),
+        ("the check list of qqq", "the check list of qqq", []),
+    ],
+)
+def test_words_split_and_merged_by_blanks(page, text, noise):
+    model = {"extension": 90, "form": 600, "the": 9000, "of": 8000, "collateral": 70, "margin": 300, "cross-margin": 30, "desk": 200, "records": 100, "check": 40, "list": 50, "tension": 6}
+    got, paragraphs, _ = scans.read_page(scans.Decoder(model), page, 1, None, [], [], [])
+    assert got == noise and paragraphs == [text]
+
+
 @pytest.mark.parametrize("line, value", [("- 12 -", 12), ("Page 3 of 9", 3), ("第 7 页", 7), ("1/5", 1), ("[l2]", 12), ("p. 4", 4), ("— 3 —", 3), ("2 |", 2), ("120.82 31.04", None), ("Chapter", None), ("Total 5", None)])
 def test_page_numbers(line, value):
     assert scans.page_value(line) == value
