@@ -42,7 +42,7 @@ QUERIES: dict[str, Query] = {
     "p1_found": _on(markup.found, "documents"),
     "p1_clean": _on(markup.strip_markup, "documents"),
     "p2_found": _on(scans.found, "pdf_pages"),
-    "p2_text": _on(scans.repair, "pdf_pages"),
+    "p2_text": _on(scans.continuous, "pdf_pages"),
     "p3_found": _on(sentences.found, "documents", "sentence_sample"),
     "p3_units": _on(_units, "documents", "chunks"),
     "p4_found": _on(pairs.found, "answers"),

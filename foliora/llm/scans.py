@@ -16,6 +16,7 @@ from math import log
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
 
 from foliora.functions.lineage import cut
 from foliora.functions.rows import map_rows, spread
@@ -358,6 +359,12 @@ def furniture(lines: list[str], page: int | None, offset: int | None, tops: list
 
 def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_top, last_bottom=(), build: bool = True) -> tuple[list[tuple[int, str]], list[str], bool]:
     """Noise of a page's lines (from 1), its repaired paragraphs (if ``build``), and whether the last one goes on."""
+    return _read(decoder, content, page, offset, tops, bottoms, next_top, last_bottom, build)[:3]
+
+
+def _read(decoder: Decoder, content: str, page, offset, tops, bottoms, next_top, last_bottom, build: bool) -> tuple[list[tuple[int, str]], list[str], bool, bool, float | None, float | None]:
+    """As ``read_page``; also whether its first line begins in small letters, and what it costs to end its last
+    paragraph with the page where the next page begins so or not (None: it does not go on there)."""
     lines = content.split("\n")
     noise = furniture(lines, page, offset, tops, bottoms)
     out = [(i + 1, what) for i, what in noise.items()]
@@ -367,6 +374,7 @@ def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_
     if next_top:
         skip = furniture([*next_top, *[""]], None if page is None else page + 1, offset, tops, [])
         after = next((x.strip() for j, x in enumerate(next_top) if j not in skip and not _stray(x)), "")
+    begun = False  # a word that ends on the next page
     misread: set[int] = set()
     rest: dict[int, int] = {}  # characters at a line's start that belong to the line before
     read: dict[int, list[str]] = {}
@@ -422,6 +430,8 @@ def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_
                     done.append(t[: t.find(left)] + whole + first[first.find(right) + len(right) :])
                     if k + 1 < len(body):
                         rest[body[k + 1]] = len(first)
+                    else:
+                        begun = True
                     continue
             if w and LETTER.search(w):
                 v = decoder.word(w)
@@ -463,7 +473,11 @@ def read_page(decoder: Decoder, content: str, page, offset, tops, bottoms, next_
             fixed[i] = "".join(repaired[i])
     out += [(i + 1, "misread") for i in misread]
     paragraphs, goes_on = _paragraphs(lines, body, fixed) if build else ([], False)
-    return sorted(set(out)), paragraphs, goes_on
+    small, ends = False, [None, None]
+    if build and body:
+        small, width = text[body[0]][:1].islower(), _width(lines, body)
+        ends = [1e9, 1e9] if begun else [_end(text[body[-1]], width, False) if goes_on else None, _end(text[body[-1]], width, True)]
+    return sorted(set(out)), paragraphs, goes_on, small, *ends
 
 
 def _stray(line: str) -> bool:
@@ -474,6 +488,26 @@ def _stray(line: str) -> bool:
 ENDS = re.compile(r"[.!?。！？…:：][\"'”’»」』）)]*$")
 
 
+def _width(lines: list[str], body: list[int]) -> int:
+    return sorted(len(lines[i].rstrip()) for i in body)[len(body) * 3 // 4]
+
+
+def _end(prev: str, width: int, small: bool) -> float:
+    """Cost of ending a paragraph with the line ``prev``, less that of none; ``small`` if the next line begins in small letters."""
+    c = 1.0
+    c += -1.5 if ENDS.search(prev) else 2.5
+    c += -2.0 * (1 - len(prev) / max(width, 1)) * 2 if len(prev) < 0.8 * width else 0.6
+    return c + small
+
+
+def _glue(texts: Iterable[str]) -> str:
+    """Consecutive parts of a paragraph as one text, without blanks between Han characters."""
+    s = ""
+    for t in texts:
+        s += t if not s or not t or (HAN.match(s[-1]) or s[-1] in "，。、；：！？“”（）《》…") and (HAN.match(t) or t[0] in "，。、；：！？“”（）《》…" or HAN.search(t)) else " " + t
+    return s
+
+
 def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str]) -> tuple[list[str], bool]:
     """Paragraphs by dynamic programming over the lines: a boundary costs more where the text runs on.
 
@@ -481,16 +515,13 @@ def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str]) -> tup
     not end a sentence, is as wide as the rest or has no blank line after it, a missing one for the opposite."""
     if not body:
         return [], False
-    width = sorted(len(lines[i].rstrip()) for i in body)[len(body) * 3 // 4]
+    width = _width(lines, body)
 
     def cost(k: int) -> float:  # of a boundary between lines k-1 and k, less the cost of none
         prev, here = lines[body[k - 1]].strip(), lines[body[k]]
-        c = 1.0
-        c += -1.5 if ENDS.search(prev) else 2.5
-        c += -2.0 * (1 - len(prev) / max(width, 1)) * 2 if len(prev) < 0.8 * width else 0.6
+        c = _end(prev, width, here.strip()[:1].islower())
         if body[k] - body[k - 1] > 1 and not any(lines[x].strip() for x in range(body[k - 1] + 1, body[k])):
             c -= 2.8 if len(prev) < 0.75 * width else 0.8  # after a title, or in the midst of a text
-        c += 1.0 if here.strip()[:1].islower() else 0
         return c
 
     n = len(body)
@@ -507,10 +538,7 @@ def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str]) -> tup
         j = back[j]
     out = []
     for a, b in reversed(cuts):
-        s = ""
-        for i in body[a:b]:
-            t = fixed[i]
-            s += t if not s or not t or (HAN.match(s[-1]) or s[-1] in "，。、；：！？“”（）《》…") and (HAN.match(t) or t[0] in "，。、；：！？“”（）《》…" or HAN.search(t)) else " " + t
+        s = _glue(fixed[i] for i in body[a:b])
         if s.strip():
             out.append(s)
     return out, not ENDS.search(lines[body[-1]].strip())
@@ -561,7 +589,7 @@ def _reader(model, build: bool):
     def read(content, page, off, tops, bottoms, next_top, last_bottom):
         if not decoder:
             decoder.append(Decoder(model.value))
-        return read_page(decoder[0], content or "", page, None if off is None else int(off), tops or [], bottoms or [], next_top or [], last_bottom or [], build)
+        return _read(decoder[0], content or "", page, None if off is None else int(off), tops or [], bottoms or [], next_top or [], last_bottom or [], build)
 
     return read
 
@@ -582,8 +610,47 @@ def repair(pages: DataFrame) -> DataFrame:
     read = _reader(model, True)
 
     def rows(d, *a):
-        _, paragraphs, goes_on = read(*a)
+        _, paragraphs, goes_on, *_ = read(*a)
         for k, p in enumerate(paragraphs, 1):
             yield d, k, p, goes_on and k == len(paragraphs)
 
     return map_rows(joined, COLUMNS, rows, "page_doc_id string, paragraph_no int, text string, goes_on boolean").dropDuplicates(["page_doc_id", "paragraph_no"])
+
+
+def continuous(pages: DataFrame) -> DataFrame:
+    """Readable paragraphs of each volume, whole also where they run over pages, by the page on which they begin.
+
+    ``paragraph_no`` counts on that page. A paragraph goes on over pages without text, but not over missing
+    ones; pages without source or number stand alone. Only flags of the pages are sorted by volume, and only
+    paragraphs that run on are gathered."""
+    joined, model = _prepare(pages.dropDuplicates(["page_doc_id"]))
+    read = _reader(model, True)
+
+    def rows(d, s, *a):
+        _, paragraphs, _, *ends = read(*a)
+        yield d, s, a[1], paragraphs, *ends
+
+    of = cut(map_rows(
+        joined, ["page_doc_id", "source", *COLUMNS[1:]], rows,
+        "page_doc_id string, source string, page int, texts array<string>, small boolean, ends_before_large double, ends_before_small double",
+    ))
+    alone = F.when(F.col("source").isNull() | F.col("page").isNull(), F.col("page_doc_id"))
+    order = W.partitionBy("source", "alone").orderBy("page", "page_doc_id")
+    flags = of.select("page_doc_id", "source", "page", "small", "ends_before_large", "ends_before_small", F.size("texts").alias("m"), alone.alias("alone"))
+    flags = flags.withColumn("gap", F.coalesce(F.col("page") - F.lag("page").over(order) != 1, F.lit(True)).cast("int")).withColumn("stretch", F.sum("gap").over(order)).where("m > 0")
+    along = W.partitionBy("source", "alone", "stretch").orderBy("page", "page_doc_id")
+    end = F.when(F.col("small"), F.lag("ends_before_small").over(along)).otherwise(F.lag("ends_before_large").over(along))
+    flags = flags.withColumn("from_last", F.coalesce(end > 0, F.lit(False)))
+    anew = F.when((F.col("m") > 1) | ~F.col("from_last"), F.struct("page_doc_id", "page", F.col("m").alias("no")))
+    flags = flags.select(
+        "page_doc_id", "m", "from_last", F.coalesce(F.lead("from_last").over(along), F.lit(False)).alias("to_next"),
+        F.last(anew, ignorenulls=True).over(along.rowsBetween(W.unboundedPreceding, -1)).alias("begin"),
+    )
+    parts = of.join(flags, "page_doc_id").select("page_doc_id", "source", "page", "m", "from_last", "to_next", "begin", F.posexplode("texts").alias("at", "text")).withColumn("no", F.col("at") + 1)
+    carried, runs_on = F.col("from_last") & (F.col("no") == 1), F.col("to_next") & (F.col("no") == F.col("m"))
+    whole = parts.where(~(carried | runs_on)).select("source", "page_doc_id", F.col("no").alias("paragraph_no"), "text", F.col("page").alias("page_start"), F.col("page").alias("page_end"))
+    run = parts.where(carried | runs_on).withColumn("begin", F.when(carried, F.col("begin")).otherwise(F.struct("page_doc_id", "page", "no")))
+    runs = run.groupBy("source", "begin").agg(F.array_sort(F.collect_list(F.struct("page", "text"))).alias("texts"), F.max("page").alias("page_end"))
+    runs = runs.select("source", F.col("begin.page_doc_id").alias("page_doc_id"), F.col("begin.no").alias("paragraph_no"), "texts.text", F.col("begin.page").alias("page_start"), "page_end")
+    glued = map_rows(runs, runs.columns, lambda s, d, n, ts, a, b: [(s, d, n, _glue(ts), a, b)], "source string, page_doc_id string, paragraph_no int, text string, page_start int, page_end int")
+    return whole.unionByName(glued)

@@ -54,6 +54,20 @@ def test_words_split_and_merged_by_blanks(page, text, noise):
     assert got == noise and paragraphs == [text]
 
 
+def test_paragraphs_that_run_over_pages_come_out_whole(spark):
+    pages = [
+        ("a:1", "The desk records a ratio.\n\nThe branch archives the", "a", 1), ("a:2", "nightly batch and the signed", "a", 2), ("a:3", "", "a", 3), ("a:4", "agreement of the quarter.\n\nThe risk engine validates.", "a", 4),
+        ("a:6", "goes nowhere and the", "a", 6), ("a:8", "stands after a gap.", "a", 8), ("b:1", "保证金通知由系统", "b", 1), ("b:2", "自动发送。", "b", 2), ("c", "no volume and the", None, 1), ("d", "no volume either and the", None, 2), ("e", "no number and the", "a", None),
+    ]
+    df = spark.createDataFrame(pages, "page_doc_id string, content string, source string, page_number int")
+    got = {(r["page_doc_id"], r["text"], r["page_start"], r["page_end"]) for r in scans.continuous(df.union(df.limit(3))).collect()}
+    assert got == {
+        ("a:1", "The desk records a ratio.", 1, 1), ("a:1", "The branch archives the nightly batch and the signed agreement of the quarter.", 1, 4), ("a:4", "The risk engine validates.", 4, 4),
+        ("a:6", "goes nowhere and the", 6, 6), ("a:8", "stands after a gap.", 8, 8), ("b:1", "保证金通知由系统自动发送。", 1, 2), ("c", "no volume and the", 1, 1), ("d", "no volume either and the", 2, 2), ("e", "no number and the", None, None),
+    }
+    assert scans.continuous(df.limit(0)).count() == 0
+
+
 @pytest.mark.parametrize("line, value", [("- 12 -", 12), ("Page 3 of 9", 3), ("第 7 页", 7), ("1/5", 1), ("[l2]", 12), ("p. 4", 4), ("— 3 —", 3), ("2 |", 2), ("120.82 31.04", None), ("Chapter", None), ("Total 5", None)])
 def test_page_numbers(line, value):
     assert scans.page_value(line) == value
