@@ -95,6 +95,11 @@ INLINE = r"""
 SCAN = re.compile(rf"(?:^(?:{LINE})|(?=[<&\\$`*_~\[{{'!])(?:{INLINE}))", re.X | re.M | re.S)
 #: No event of SCAN can begin in a text in which this finds nothing.
 HINT = re.compile(r"[<&\\$`*_~\[{]|''|^(?:[=#|>+\-:;]|\d{1,3}\. )|^[=\-]{3,}", re.M)
+#: Table environments of LaTeX and the number of their arguments; what bounds cells and rows, or keeps them together; rules between rows; cells over several columns or rows.
+TEX_TABLES = {"tabular": 1, "tabular*": 2, "tabularx": 2, "longtable": 1}
+TEX_CELL = re.compile(r"(?P<row>\\\\\*?(?:\[[^\]\n]*\])?|\\tabularnewline\b)|(?P<env>\\(?:begin|end)\{[^{}\n]*\})|\\.|(?P<entity>&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,24});)|(?P<sign>[{}&])", re.S)
+TEX_RULE = re.compile(r"\s*\\(?:hline|toprule|midrule|bottomrule|endhead|endfoot|endfirsthead|endlastfoot|(?:cline|cmidrule)(?:\([a-z]*\))?\{[^{}\n]*\})(?![A-Za-z])(?:\[[^\]\n]*\])?")
+TEX_SPAN = re.compile(r"\s*\\multi(?P<kind>column|row)\{(?P<n>\d+)\}\{[^{}\n]*\}(?=\{)")
 FILE_PATH = re.compile(r"[A-Za-z]:$|[A-Za-z]:(?:\\\w+)+$")
 
 
@@ -256,7 +261,10 @@ def _scan(tree: Tree, kinds: set[str], text: str, wlist: bool) -> None:
             tree.text(f.strip())
         elif g["env"] is not None:
             kinds.add("latex")
-            _environment(tree, g["env"] == "begin", g["ename"].rstrip("*"))
+            if g["env"] == "begin" and g["ename"] in TEX_TABLES:
+                nxt = _tabular(tree, kinds, text, m)
+            else:
+                _environment(tree, g["env"] == "begin", g["ename"].rstrip("*"))
         elif g["url"] is not None:
             kinds.add("latex")
             braces.append("")
@@ -357,6 +365,83 @@ def _table(tree: Tree, rows: list[list[str]]) -> None:
     tree.end("table")
 
 
+def _tex_rows(text: str, pos: int, stop: int) -> tuple[list[list[str]], int | None]:
+    """Cells of the rows of a LaTeX table's body from ``pos``, and the place behind its end tag, if it has one before ``stop``."""
+    rows: list[list[str]] = [[""]]
+    braces = inner = 0
+    at = pos
+    for t in TEX_CELL.finditer(text, pos, stop):
+        rows[-1][-1] += text[at : t.start()]
+        at = t.end()
+        if t["env"]:
+            inner += 1 if t["env"].startswith("\\begin") else -1
+            if inner < 0:
+                return rows, at
+        elif t["sign"] in ("{", "}"):
+            braces = max(0, braces + (1 if t["sign"] == "{" else -1))
+        elif not (braces or inner):
+            if t["row"]:
+                rows.append([""])
+                continue
+            if t["sign"] == "&" or t["entity"] and html.unescape(t["entity"]) == t["entity"]:
+                rows[-1].append(t["entity"][1:] if t["entity"] else "")
+                continue
+        rows[-1][-1] += t[0]
+    rows[-1][-1] += text[at:stop]
+    return rows, None
+
+
+def _bare(cell: str) -> str:
+    """A cell without braces around the whole of it."""
+    cell = cell.strip()
+    depth = 0
+    for k, c in enumerate(cell):
+        depth += (c == "{") - (c == "}")
+        if not depth:
+            return cell[1:-1] if c == "}" and k == len(cell) - 1 else cell
+    return cell
+
+
+def _tabular(tree: Tree, kinds: set[str], text: str, m: re.Match) -> int:
+    """The table of a LaTeX environment opened by ``m``, and where it ends (without its end tag, with the paragraph)."""
+    pos = m.end()
+    for _ in range(TEX_TABLES[m["ename"]] - (text.find("}", m.start()) + 1 < pos)):
+        if opt := re.compile(r"\s*\[[^\]\n]*\]").match(text, pos):
+            pos = opt.end()
+        if text[pos : pos + 1] == "{":
+            depth = 0
+            for k in range(pos, len(text)):
+                depth += (text[k] == "{") - (text[k] == "}")
+                if not depth:
+                    pos = k + 1
+                    break
+    rows, nxt = _tex_rows(text, pos, len(text))
+    if nxt is None:
+        blank = re.compile(r"\n[^\S\n]*\n").search(text, pos)
+        nxt = blank.start() if blank else len(text)
+        rows, _ = _tex_rows(text, pos, nxt)
+    tree.open("table")
+    for row in rows:
+        while rule := TEX_RULE.match(row[0]):
+            row[0] = row[0][rule.end() :]
+        if not any(c.strip() for c in row):
+            continue
+        tree.open("tr")
+        for cell in row:
+            more = 0
+            while span := TEX_SPAN.match(cell):
+                cell = cell[span.end() :]
+                more += int(span["n"]) - 1 if span["kind"] == "column" else 0
+            cell = cell if TEX_SPAN.match(cell) or re.match(r"\s*\{\\[a-z]", cell) else _bare(cell)
+            # behind a blank nothing counts as the beginning of a line
+            _inline(tree, "td", f" {' '.join(cell.split())}", kinds)
+            for _ in range(min(more, 100)):
+                _inline(tree, "td", "", kinds)
+        tree.end("tr")
+    tree.end("table")
+    return nxt
+
+
 def _wiki_table(tree: Tree, body: str) -> None:
     rows: list[list[str]] = [[]]
     for line in body.split("\n"):
@@ -370,7 +455,7 @@ def _wiki_table(tree: Tree, body: str) -> None:
 
 
 def _environment(tree: Tree, begin: bool, name: str) -> None:
-    tag = {"itemize": "ul", "enumerate": "ol", "description": "dl", "quote": "blockquote", "tabular": "pre", "table": "div", "figure": "div"}.get(name)
+    tag = {"itemize": "ul", "enumerate": "ol", "description": "dl", "quote": "blockquote", "table": "div", "figure": "div"}.get(name)
     if tag and begin:
         tree.open(tag)
     elif tag:

@@ -40,6 +40,9 @@ def test_kinds(text, kinds):
         ("[text](http://u) and ![alt](i.png) and `code`", "text and alt and code"),
         ("== H ==\n\n*one\n*two\n\n[[A|b]] ''c''", "H\n\n- one\n- two\n\nb c"),
         ("\\subsection{H}\n\n\\emph{a} \\href{u}{b} {\\it c}\\\\\nd", "H\n\na b c\n\nd"),
+        ("a\n\n\\begin{tabular}{lrr}\nrule & 21 & 72.65 \\\\\nlong rule & 6 & 1\n\\end{tabular}\n\nb", "a\n\nrule       21  72.65\nlong rule  6   1\n\nb"),
+        ("\\begin{tabular}[t]{l@{}r}\\hline\n\\textbf{a} & R\\&D \\\\[2pt] \\hline\n\\multicolumn{2}{c}{2. c} & d\\\\\n\\end{tabular}", "a     R&D\n2. c       d"),
+        ("\\begin{tabular*}{9cm}{ll}x & {y & z}\\end{tabular*} \\begin{tabular}{l}a & b\n\nc & d", "x  y & z\n\na  b\n\nc & d"),
         ("$$\\sum_{i=1}^{n} x_i$$", "\\sum_{i=1}^{n} x_i"),
     ],
 )
