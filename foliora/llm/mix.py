@@ -91,18 +91,21 @@ def permuted(i: int, n: int, seed: int) -> int:
 def slots(tokens: DataFrame, recipes: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
     """The plan of every recipe: recipe, shard, slot, source, block of the source and round (from 0).
 
-    A slot whose source has run through its blocks as often as the cap allows stays out of the plan;
+    A source is drawn by the slots that its target fills with its mean block, since its last block, perhaps
+    its only one, holds what is left. A slot whose source has run through its blocks as often as the cap allows stays out of the plan;
     the shortfall shows in ``shares``."""
     t = targets(tokens, recipes).where("target_tokens is not null and source is not null")
+    t = t.withColumn("blocks", F.ceil(F.col("source_tokens") / block).cast("bigint"))
+    t = t.withColumn("want", F.col("target_tokens") / F.when(F.col("blocks") > 0, F.col("source_tokens") / F.col("blocks")).otherwise(F.lit(block)))
     size = t.groupBy("recipe_id").agg(
-        F.ceil(F.sum("target_tokens") / block).cast("bigint").alias("slots"),
-        F.array_sort(F.collect_list(F.struct("source", "target_tokens", F.ceil(F.col("source_tokens") / block).cast("bigint").alias("blocks"), F.col("max_repeats").alias("cap")))).alias("of"),
+        F.ceil(F.sum("want")).cast("bigint").alias("slots"),
+        F.array_sort(F.collect_list(F.struct("source", "want", "blocks", F.col("max_repeats").alias("cap")))).alias("of"),
     )
     shards = size.select("*", F.explode(F.sequence(F.lit(0), F.floor((F.col("slots") - 1) / shard).cast("int"))).alias("shard")).where("slots > 0").repartition("recipe_id", "shard")
 
     def draw(recipe, n, of, s):
         rng = np.random.default_rng(_seed(seed, recipe, s))
-        p = np.array([max(0.0, x["target_tokens"]) for x in of])
+        p = np.array([max(0.0, x["want"]) for x in of])
         if p.sum() > 0:
             counts = rng.multinomial(min(shard, n - s * shard), p / p.sum())
             for x, c in zip(of, counts):

@@ -80,6 +80,13 @@ def test_slots_follow_shares_and_caps(spark, corpus):
     assert {(x["shard"], x["slot"], x["block"]) for x in mix.slots(t, r, block=50, shard=64).where("recipe_id = 'r'").collect()} == {(x["shard"], x["slot"], x["block"]) for x in mine}
 
 
+def test_sources_smaller_than_a_block_reach_their_targets(spark):
+    t = spark.createDataFrame([(i, "big", 2000) for i in range(400)] + [(1000, "small", 300)], "doc_id bigint, source string, n_tokens bigint")
+    r = spark.createDataFrame([("r", "big", 0.9, 2, 1.0), ("r", "small", 0.1, 400, 1.0)], "recipe_id string, source string, target_share double, max_repeats int, mix_factor double")
+    used = sum(x["source"] == "small" for x in mix.slots(t, r, block=2048).collect()) * 300
+    assert abs(used / (0.1 * 800_300) - 1) < 0.2
+
+
 @needs_files
 def test_mix_of_documents(spark):
     docs = spark.createDataFrame([(i, f"text number {i} about margin loans " * 20, "a" if i % 3 else "b") for i in range(60)] + [(99, None, "a")], "doc_id bigint, text string, source string")
