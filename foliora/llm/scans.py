@@ -527,11 +527,14 @@ def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str]) -> tup
     n = len(body)
     best, back = [0.0] + [1e9] * n, [0] * (n + 1)
     gains = [0.0] + [cost(k) for k in range(1, n)]
+    least, at = 1e9, 0  # of all paragraphs that end with line j and have two lines or more
     for j in range(1, n + 1):
-        for i in range(max(0, j - 60), j):
-            c = best[i] + (gains[i] if i else 0) + (0.7 if j - i == 1 and n > 1 and i else 0)
-            if c < best[j]:
-                best[j], back[j] = c, i
+        if j > 1 and best[j - 2] + gains[j - 2] < least:
+            least, at = best[j - 2] + gains[j - 2], j - 2
+        best[j], back[j] = least, at
+        c = best[j - 1] + gains[j - 1] + (0.7 if j > 1 else 0)
+        if c < best[j]:
+            best[j], back[j] = c, j - 1
     cuts, j = [], n
     while j:
         cuts.append((back[j], j))

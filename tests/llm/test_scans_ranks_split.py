@@ -54,6 +54,11 @@ def test_words_split_and_merged_by_blanks(page, text, noise):
     assert got == noise and paragraphs == [text]
 
 
+def test_long_paragraphs_stay_whole():
+    page = "\n".join(["the margin desk records the collateral ratio of each"] * 150)
+    assert len(scans.read_page(scans.Decoder({}), page, 1, None, [], [], [])[1]) == 1
+
+
 def test_paragraphs_that_run_over_pages_come_out_whole(spark):
     pages = [
         ("a:1", "The desk records a ratio.\n\nThe branch archives the", "a", 1), ("a:2", "nightly batch and the signed", "a", 2), ("a:3", "", "a", 3), ("a:4", "agreement of the quarter.\n\nThe risk engine validates.", "a", 4),
