@@ -8,10 +8,12 @@ a decoder that reads each page as one de-lined stream together with the top of t
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 from difflib import SequenceMatcher
+from functools import lru_cache
+from itertools import accumulate
 from math import log
 
 from pyspark.sql import DataFrame
@@ -33,8 +35,9 @@ HAN_CONFUSIONS = {
 HYPHENS = "-­‐¬"
 EDGE = 3  #: lines at the top and at the bottom of a page that may be page furniture
 EDGE_SHARE = 0.2  #: a running line stands on this share of a volume's pages at least (so at most EDGE / EDGE_SHARE keys a side)
-LEXICON = 200_000  #: entries of the language model; the most frequent ones, counted over all pages
+RATE = 1e-6  #: share of all words (or contexts) that counts as one: terms below it are as good as unseen, so the model has at most 1 / RATE of each
 KNOWN = 5  #: count from which a term is a word that others are read as
+MEMO = 200_000  #: entries of a worker's memos, which are emptied when full and change no result
 MISREAD, SPLIT, MERGE, ODD = log(12), 6.0, 9.0, 1.2  #: costs (in -log of chance) of a misread word, a blank left out, a stray blank, a letter of an unknown word
 FOLD = [("rn", "m"), ("vv", "w"), ("ii", "u"), ("cl", "d"), ("ri", "n"), ("li", "h"), ("ti", "u")]
 FOLD_ONE = str.maketrans({"e": "c", "é": "c", "†": "t", "@": "a", "í": "i", "0": "o", "1": "i", "l": "i", "|": "i", "q": "g", "h": "b", "5": "s", "8": "b", "$": "s", **HAN_CONFUSIONS})
@@ -56,12 +59,14 @@ def _num(s: str) -> int | None:
     return int(d) if d.isdigit() else None
 
 
+@lru_cache(1 << 14)
 def page_value(line: str) -> int | None:
     """The number of a line that holds only a page number, in one of the usual forms."""
     m = NUMBER.match(line)
     return _num(m[1]) if m and any(c.isdigit() or c in "lO" for c in m[1]) else None
 
 
+@lru_cache(1 << 14)
 def edge_key(line: str) -> str:
     """A line's form for comparison over pages: no page number, case, spacing, signs or look-alikes."""
     s = RUN_NUMBER.sub("", line).casefold()
@@ -111,47 +116,56 @@ def contexts(text: str) -> Iterator[tuple[int, str]]:
         yield i, (text[i - 1] if i else "^") + text[i] + (text[i + 1] if i + 1 < len(text) else "$")
 
 
-def language_model(pages: DataFrame, content: str = "content", size: int = LEXICON) -> dict[str, int]:
-    """Counts of the ``size`` most frequent terms over all pages, the documented bound of the model.
+def language_model(pages: DataFrame, content: str = "content", rate: float = RATE) -> dict[str, float]:
+    """Counts of the terms that make up at least ``rate`` of all words, or of all contexts, over all pages.
 
-    Each batch is counted before the shuffle; only the final entries reach the driver."""
+    A count is in units of ``rate`` of the total (of 1 in small corpora), so that a corpus many times as
+    large, with many times as many copies of each misreading, is read alike. Each batch is counted before the
+    shuffle; only the entries kept, at most 1 / ``rate`` of either kind, reach the driver."""
     from pyspark.sql.types import LongType, StringType, StructField, StructType
 
     schema = StructType([StructField("term", StringType()), StructField("n", LongType())])
 
-    def count(batches):
+    def rows(bag: Counter):
         import pyarrow as pa
 
+        return pa.RecordBatch.from_arrays([pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int64())], names=["term", "n"])
+
+    def count(batches):
         bag: Counter = Counter()
         for b in batches:
             bag.update(count_terms(x for x in b.column(0).to_pylist() if x))
-            if len(bag) > LEXICON:
-                yield pa.RecordBatch.from_arrays([pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int64())], names=["term", "n"])
+            if len(bag) > MEMO:
+                yield rows(bag)
                 bag = Counter()
         if bag:
-            yield pa.RecordBatch.from_arrays([pa.array(list(bag), pa.string()), pa.array(list(bag.values()), pa.int64())], names=["term", "n"])
+            yield rows(bag)
 
-    terms = pages.select(content).mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n")).where("n > 1")
-    return {r["term"]: r["n"] for r in terms.orderBy(F.desc("n"), "term").limit(size).collect()}
+    terms = cut(pages.select(content).mapInArrow(count, schema).groupBy("term").agg(F.sum("n").alias("n")).withColumn("han", F.col("term").rlike(HAN.pattern)))
+    units = {r["han"]: max(1.0, rate * r["n"]) for r in terms.groupBy("han").agg(F.sum("n").alias("n")).collect()}
+    one = F.when(F.col("han"), units.get(True, 1.0)).otherwise(units.get(False, 1.0))
+    kept = terms.where((F.col("n") >= one) & (F.col("n") > 1)).select("term", (F.col("n") / one).alias("n"))
+    return {r["term"]: r["n"] for r in kept.collect()}
 
 
 class Decoder:
     """Reads words against a language model, allowing confusions, hyphens, splits and merges."""
 
-    def __init__(self, model: dict[str, int]):
+    def __init__(self, model: dict[str, float]):
         self.n = model
         self.memo: dict[str, str | None] = {}
         self.sound: set[str] = set()  # tokens that were read before and stay as they are
         self.seen: dict[str, tuple] = {}
+        self.quiet: set[tuple[str, str]] = set()  # neighbours that were looked at before and are words on their own
+        self.begun: dict[str, bool] = {}
         words = {w.casefold() for w, n in model.items() if n >= KNOWN and not HAN.search(w)}
         self.words = sorted(words)  # asked by their beginnings
-        self.longest = max(map(len, words), default=0)
         self.all = log(max(2, sum(n for w, n in model.items() if not HAN.search(w))))
         self.by_first = defaultdict(list)
         for a, b in CONFUSIONS:
             self.by_first[a[0]].append((a, b))
 
-    def count(self, w: str) -> int:
+    def count(self, w: str) -> float:
         n = self.n.get(w, 0)
         if w[:1].isupper():
             n = max(n, self.n.get(w[:1].lower() + w[1:], 0)) if w[1:].islower() else max(n, self.n.get(w.capitalize(), 0), self.n.get(w.lower(), 0)) if w.isupper() else n
@@ -160,43 +174,29 @@ class Decoder:
         return n
 
     def word(self, w: str) -> str | None:
-        """The word that ``w`` is a misreading of, or None."""
+        """The word that ``w`` is a misreading of, or None: of those with one or two confusions the most frequent, if it is far more frequent than ``w``."""
         if w in self.memo:
             return self.memo[w]
-        own, best, most = self.count(w), None, 0
+        best = None
         if len(w) >= 2 and LETTER.search(w):
-            for v in self._variants(w, 2):
-                n = self.count(v)
-                if n > most and n >= 5 and n >= 12 * max(own, 0.4):
-                    best, most = v, n
-        if len(self.memo) > LEXICON:
+            least = max(KNOWN, 12 * max(self.count(w), 0.4))
+            found = [(-n, len(edits), v) for end, v, n, blanks, edits in self._arcs(w, 0, False) if end == len(w) and edits and n >= least and v != w]
+            best = min(found)[2] if found else None
+        if len(self.memo) > MEMO:
             self.memo.clear()
         self.memo[w] = best
         return best
 
-    @staticmethod
-    def _variants(w: str, depth: int) -> Iterator[str]:
-        front, seen = [w], {w}
-        for _ in range(depth):
-            nxt = []
-            for x in front:
-                for a, b in CONFUSIONS:
-                    i = x.find(a)
-                    while i >= 0:
-                        v = x[:i] + b + x[i + len(a) :]
-                        if v not in seen:
-                            seen.add(v)
-                            nxt.append(v)
-                            yield v
-                        i = x.find(a, i + 1)
-                if len(nxt) > 400:
-                    break
-            front = nxt
-
     def _begins(self, x: str) -> bool:
         """Whether some word begins with ``x``."""
-        k = bisect_left(self.words, x)
-        return k < len(self.words) and self.words[k].startswith(x)
+        got = self.begun.get(x)
+        if got is None:
+            low = x.casefold()
+            k = bisect_left(self.words, low)
+            if len(self.begun) > MEMO:
+                self.begun.clear()
+            got = self.begun[x] = k < len(self.words) and self.words[k].startswith(low)
+        return got
 
     def _token(self, t: str) -> tuple[str, bool, bool, int, str, frozenset]:
         """Core of a token, whether nothing stands before and behind it, its count, small form and what may follow that in a word."""
@@ -215,7 +215,7 @@ class Decoder:
                     else:
                         k += 1
                 got = (w, at == 0, at + len(w) == len(t), self.count(w) if LETTER.search(w) else KNOWN, low, frozenset(more))
-            if len(self.seen) > LEXICON:
+            if len(self.seen) > MEMO:
                 self.seen.clear()
             self.seen[t] = got
         return got
@@ -235,44 +235,55 @@ class Decoder:
                 if x:
                     todo.append((p + 1, x, blanks + 1, edits))
                 continue
-            if self._begins((x + s[p]).casefold()):
+            if self._begins(x + s[p]):
                 todo.append((p + 1, x + s[p], blanks, edits))
             if len(edits) < 2:
                 for a, b in self.by_first.get(s[p], ()):
-                    if s.startswith(a, p) and self._begins((x + b).casefold()):
+                    if s.startswith(a, p) and self._begins(x + b):
                         todo.append((p + len(a), x + b, blanks, (*edits, p)))
 
     def stream(self, tokens: list[str]) -> list[tuple[int, int, str, list[int]]]:
         """Where the best reading of a de-lined stream differs from its tokens: first token, token behind, text and misread tokens.
 
         A Viterbi search over the words that the characters may hold, whatever the blanks. It is made only around
-        rare tokens and neighbours that together begin a word: elsewhere each token has one reading."""
-        known = [self._token(t) for t in tokens]
-        joint = [known[k][2] and known[k + 1][1] for k in range(len(known) - 1)] + [False]
-        spots = [k for k, x in enumerate(known) if x[3] < KNOWN or joint[k] and known[k + 1][4][0] in x[5] and self._begins(x[4] + known[k + 1][4])]
+        rare tokens and neighbours that together begin a word, with the token on either side: elsewhere each
+        token has one reading."""
+        spots = [k for k, pair in enumerate(zip(tokens, [*tokens[1:], ""])) if pair not in self.quiet and self._spot(pair)]
         out, upto = [], 0
         while spots:
-            lo = hi = spots.pop(0)
-            size = 0
-            while lo > upto and joint[lo - 1] and size < self.longest + 2:
-                lo -= 1
-                size += len(known[lo][0])
-            size = 0
-            while joint[hi] and size < self.longest + 2:
+            lo, hi = spots[0], spots.pop(0) + 1
+            lo = max(upto, lo - 1 if lo and self._joint(tokens[lo - 1], tokens[lo]) else lo)
+            while hi < len(tokens) and self._joint(tokens[hi - 1], tokens[hi]):
                 hi += 1
-                size = 0 if spots and spots[0] <= hi else size + len(known[hi][0])
-                if spots and spots[0] <= hi:
+                if not (spots and spots[0] < hi):
+                    if not (spots and spots[0] == hi):
+                        break
+                else:
                     spots.pop(0)
-            upto = hi + 1
-            out += self._search(tokens, known, lo, hi + 1)
+            upto = hi
+            out += self._search(tokens, [self._token(t) for t in tokens[lo:hi]], lo, hi)
         return out
 
+    def _joint(self, t: str, u: str) -> bool:
+        """Whether nothing but a blank stands between two tokens."""
+        return self._token(t)[2] and self._token(u)[1]
+
+    def _spot(self, pair: tuple[str, str]) -> bool:
+        """Whether a token is rare, or begins a word together with the next."""
+        x, y = self._token(pair[0]), self._token(pair[1])
+        if x[3] < KNOWN or x[2] and y[1] and y[4][0] in x[5] and self._begins(x[4] + y[4]):
+            return True
+        if len(self.quiet) > MEMO:
+            self.quiet.clear()
+        self.quiet.add(pair)
+        return False
+
     def _search(self, tokens: list[str], known: list[tuple], lo: int, hi: int) -> list[tuple[int, int, str, list[int]]]:
-        s = " ".join(known[k][0] for k in range(lo, hi))
+        s = " ".join(x[0] for x in known)
         starts, of = {}, []
-        for k in range(lo, hi):
+        for k, x in enumerate(known, lo):
             starts[len(of)] = k
-            of += [k] * (len(known[k][0]) + 1)
+            of += [k] * (len(x[0]) + 1)
         best: dict[int, tuple] = {0: (0.0, 0, None, ())}
         for p in range(len(s) + 1):
             if p not in best:
@@ -285,11 +296,11 @@ class Decoder:
                     best[end] = (cost + c, p, word, edits)
 
             if k is not None:
-                w, n = known[k][0], known[k][3]
+                w, n = known[k - lo][0], known[k - lo][3]
                 offer(p + len(w), self.all - log(max(n, 0.4)) + (0 if n else ODD * len(w)), None, ())
             if p < len(s):
                 for end, word, n, blanks, edits in self._arcs(s, p, k is None):
-                    if k is None or blanks or end - p != len(known[k][0]):
+                    if k is None or blanks or end - p != len(known[k - lo][0]):
                         offer(end, self.all - log(n) + (MISREAD if edits else 0) + MERGE * blanks + (SPLIT if k is None else 0), word, edits)
         path, p = [], len(s)
         while p:
@@ -304,11 +315,11 @@ class Decoder:
                 continue
             if not words:
                 first = of[a]
-            words.append(known[of[a]][0] if word is None else word)
+            words.append(known[of[a] - lo][0] if word is None else word)
             bad += [of[e] for e in edits]
             if b == len(s) or b in starts:
                 end = of[b - 1] + 1
-                head, tail = tokens[first].partition(known[first][0])[0], tokens[end - 1].rpartition(known[end - 1][0])[2]
+                head, tail = tokens[first].partition(known[first - lo][0])[0], tokens[end - 1].rpartition(known[end - 1 - lo][0])[2]
                 out.append((first, end, head + " ".join(words) + tail, bad))
                 words, bad = [], []
         return out
@@ -336,6 +347,17 @@ class Decoder:
         return None
 
 
+@lru_cache(1 << 14)
+def _alike(k: str, x: str) -> bool:
+    """Whether two forms of a line are the same but for what is misread."""
+    if k == x:
+        return True
+    if abs(len(k) - len(x)) > 3 or len(x) <= 3:
+        return False
+    m = SequenceMatcher(None, k, x)
+    return m.real_quick_ratio() >= 0.8 and m.quick_ratio() >= 0.8 and m.ratio() >= 0.8
+
+
 def furniture(lines: list[str], page: int | None, offset: int | None, tops: list[str], bottoms: list[str]) -> dict[int, str]:
     """Index and noise of the lines at a page's edges that are not body text."""
     full = [i for i, x in enumerate(lines) if x.strip()]
@@ -350,7 +372,7 @@ def furniture(lines: list[str], page: int | None, offset: int | None, tops: list
                     continue
                 break
             k = edge_key(lines[i])
-            if k and any(k == x or (abs(len(k) - len(x)) <= 3 and len(x) > 3 and SequenceMatcher(None, k, x).ratio() >= 0.8) for x in keys):
+            if k and any(_alike(k, x) for x in keys):
                 out[i] = side
             else:
                 break
@@ -396,6 +418,9 @@ def _read(decoder: Decoder, content: str, page, offset, tops, bottoms, next_top,
         line = text[i]
         follow = text[body[k + 1]] if k + 1 < len(body) else after
         tokens = line.split()
+        if not rest.get(i) and line[-1] not in HYPHENS and decoder.sound.issuperset(tokens):
+            read[i] = tokens
+            continue
         done = []
         for j, t in enumerate(tokens):
             if j == 0 and rest.get(i):
@@ -406,6 +431,8 @@ def _read(decoder: Decoder, content: str, page, offset, tops, bottoms, next_top,
                 continue
             if HAN.search(t):
                 done.append(t)
+                if t[-1] not in HYPHENS and len(decoder.sound) < MEMO:
+                    decoder.sound.add(t)
                 continue
             w = core(t)
             if last and t[-1] in HYPHENS and follow and len(t) > 1 and LETTER.search(t):
@@ -441,36 +468,36 @@ def _read(decoder: Decoder, content: str, page, offset, tops, bottoms, next_top,
                 if v is not None:
                     misread.add(i)
                     t = t.replace(w, v)
-                elif len(decoder.sound) < LEXICON:
+                elif len(decoder.sound) < MEMO:
                     decoder.sound.add(t)
+            elif len(decoder.sound) < MEMO:
+                decoder.sound.add(t)
             done.append(t)
         read[i] = done
     flat = [(i, t) for i in body for t in read[i]]
+    han = HAN.search(content) is not None
     for a, b, t, bad in reversed(decoder.stream([t for _, t in flat])):
         misread.update(flat[k][0] for k in bad)
         # a word broken by the end of a line without a hyphen
         out += [(flat[k][0] + 1, "hyphen") for k in range(a, b - 1) if flat[k][0] != flat[k + 1][0] and flat[k][1][-1] not in HYPHENS]
         flat[a:b] = [(flat[a][0], t)]
-    for i in body:
-        fixed[i] = ""
-    for i, t in flat:
-        fixed[i] += f" {t}" if fixed[i] else t
-    stream, place = "", []
-    for i in body:
-        stream += text[i]
-        place += [i] * len(text[i])
-    repaired = {i: list(text[i]) for i in body}
-    start, at = {}, 0
-    for i in body:
-        start[i] = at
-        at += len(text[i])
-    for p, g in contexts(stream + after[:1]):
-        if p < len(place) and (y := decoder.han(g)):
-            misread.add(place[p])
-            repaired[place[p]][p - start[place[p]]] = y
-    for i in body:
-        if HAN.search(text[i]):
-            fixed[i] = "".join(repaired[i])
+    if build:
+        parts = defaultdict(list)
+        for i, t in flat:
+            parts[i].append(t)
+        fixed = {i: " ".join(parts[i]) for i in body}
+    if han:
+        begins = list(accumulate((len(text[i]) for i in body), initial=0))
+        repaired: dict[int, list[str]] = {}
+        for p, g in contexts("".join(text[i] for i in body) + after[:1]):
+            if p < begins[-1] and (y := decoder.han(g)):
+                k = bisect_right(begins, p) - 1
+                misread.add(body[k])
+                repaired.setdefault(body[k], list(text[body[k]]))[p - begins[k]] = y
+        if build:
+            for i in body:
+                if HAN.search(text[i]):
+                    fixed[i] = "".join(repaired.get(i, text[i]))
     out += [(i + 1, "misread") for i in misread]
     paragraphs, goes_on = _paragraphs(lines, body, fixed) if build else ([], False)
     small, ends = False, [None, None]
@@ -547,7 +574,7 @@ def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str]) -> tup
     return out, not ENDS.search(lines[body[-1]].strip())
 
 
-def _prepare(pages: DataFrame) -> tuple[DataFrame, Decoder]:
+def _prepare(pages: DataFrame, rate: float = RATE):
     """Pages with their volume's statistics, the top of the following and the bottom of the preceding page; and the decoder."""
     pages = pages.select("page_doc_id", "content", "source", "page_number")
     # a few short lines a page, made once and read four times
@@ -579,7 +606,7 @@ def _prepare(pages: DataFrame) -> tuple[DataFrame, Decoder]:
     following = narrow.select("source", (F.col("page_number") - 1).alias("page_number"), F.col("top").alias("next_top")).dropDuplicates(["source", "page_number"])
     beside = this.join(following, ["source", "page_number"], "left").join(preceding, ["source", "page_number"], "left").join(stats, "source", "left").drop("source", "page_number")
     joined = pages.join(beside, "page_doc_id", "left")
-    model = pages.sparkSession.sparkContext.broadcast(language_model(pages))
+    model = pages.sparkSession.sparkContext.broadcast(language_model(pages, rate=rate))
     return joined, model
 
 
@@ -597,19 +624,19 @@ def _reader(model, build: bool):
     return read
 
 
-def found(pages: DataFrame) -> DataFrame:
+def found(pages: DataFrame, rate: float = RATE) -> DataFrame:
     """One row per noisy line of a page and kind of noise; repeated pages count once.
 
     Null or empty content gives no rows; a null page number leaves page numbers undetected; a null
     source takes part in no volume, so only ``hyphen`` and ``misread`` are found."""
-    joined, model = _prepare(pages)
+    joined, model = _prepare(pages, rate)
     read = _reader(model, False)
     return map_rows(joined, COLUMNS, lambda d, *a: [(d, n, w) for n, w in read(*a)[0]], "page_doc_id string, line_no int, noise string").distinct()
 
 
-def repair(pages: DataFrame) -> DataFrame:
+def repair(pages: DataFrame, rate: float = RATE) -> DataFrame:
     """Readable paragraphs of each page, with ``goes_on`` for one that continues on the following page."""
-    joined, model = _prepare(pages)
+    joined, model = _prepare(pages, rate)
     read = _reader(model, True)
 
     def rows(d, *a):
@@ -620,13 +647,13 @@ def repair(pages: DataFrame) -> DataFrame:
     return map_rows(joined, COLUMNS, rows, "page_doc_id string, paragraph_no int, text string, goes_on boolean").dropDuplicates(["page_doc_id", "paragraph_no"])
 
 
-def continuous(pages: DataFrame) -> DataFrame:
+def continuous(pages: DataFrame, rate: float = RATE) -> DataFrame:
     """Readable paragraphs of each volume, whole also where they run over pages, by the page on which they begin.
 
     ``paragraph_no`` counts on that page. A paragraph goes on over pages without text, but not over missing
     ones; pages without source or number stand alone. Only flags of the pages are sorted by volume, and only
     paragraphs that run on are gathered."""
-    joined, model = _prepare(pages.dropDuplicates(["page_doc_id"]))
+    joined, model = _prepare(pages.dropDuplicates(["page_doc_id"]), rate)
     read = _reader(model, True)
 
     def rows(d, s, *a):

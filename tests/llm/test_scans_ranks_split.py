@@ -54,6 +54,22 @@ def test_words_split_and_merged_by_blanks(page, text, noise):
     assert got == noise and paragraphs == [text]
 
 
+def test_very_long_tokens_and_words_with_two_confusions():
+    d = scans.Decoder({"collateral": 300.0, "handling": 90.0})
+    assert d.word("co1latera|") == "collateral" and d.word("haridlinq") == "handling"
+    # no variant of such a token is a word, and none is made that no word begins with
+    assert d.word("l1" * 50_000) is None and scans.read_page(d, "l1" * 50_000, 1, None, [], [], [])[0] == []
+
+
+def test_a_corpus_many_times_as_large_is_read_alike(spark):
+    rows = [tuple(r) for r in volume(12)]
+    kinds = "page_doc_id string, content string, source string, page_number int"
+    once = {tuple(r) for r in scans.found(spark.createDataFrame(rows, kinds), rate=4e-3).collect()}
+    more = [(f"{k}/{a}", b, f"{k}/{c}", d) for k in range(10) for a, b, c, d in rows]
+    tenfold = [tuple(r) for r in scans.found(spark.createDataFrame(more, kinds), rate=4e-3).collect()]
+    assert once and sorted(tenfold) == sorted((f"{k}/{a}", n, w) for k in range(10) for a, n, w in once)
+
+
 def test_long_paragraphs_stay_whole():
     page = "\n".join(["the margin desk records the collateral ratio of each"] * 150)
     assert len(scans.read_page(scans.Decoder({}), page, 1, None, [], [], [])[1]) == 1
