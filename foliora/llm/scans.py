@@ -51,6 +51,7 @@ NUMBER = re.compile(
     re.I,
 )
 RUN_NUMBER = re.compile(r"^\s*[0-9lO]{1,4}\s{2,}|\s{2,}[0-9lO]{1,4}\s*$")
+UNKEYED = re.compile(r"[^\w@†|$]+|_+")
 DIGITS = str.maketrans({"l": "1", "I": "1", "|": "1", "O": "0"})
 
 
@@ -70,7 +71,7 @@ def page_value(line: str) -> int | None:
 def edge_key(line: str) -> str:
     """A line's form for comparison over pages: no page number, case, spacing, signs or look-alikes."""
     s = RUN_NUMBER.sub("", line).casefold()
-    s = "".join(c for c in s if c.isalnum() or c in "@†|$")
+    s = UNKEYED.sub("", s)
     for a, b in FOLD:
         s = s.replace(a, b)
     return s.translate(FOLD_ONE)
@@ -158,6 +159,7 @@ class Decoder:
         self.seen: dict[str, tuple] = {}
         self.quiet: set[tuple[str, str]] = set()  # neighbours that were looked at before and are words on their own
         self.begun: dict[str, bool] = {}
+        self.read: dict[tuple[str, ...], list] = {}
         words = {w.casefold() for w, n in model.items() if n >= KNOWN and not HAN.search(w)}
         self.words = sorted(words)  # asked by their beginnings
         self.all = log(max(2, sum(n for w, n in model.items() if not HAN.search(w))))
@@ -235,10 +237,11 @@ class Decoder:
                 if x:
                     todo.append((p + 1, x, blanks + 1, edits))
                 continue
-            if self._begins(x + s[p]):
-                todo.append((p + 1, x + s[p], blanks, edits))
-            if len(edits) < 2:
-                for a, b in self.by_first.get(s[p], ()):
+            c = s[p]
+            if self._begins(x + c):
+                todo.append((p + 1, x + c, blanks, edits))
+            if c in self.by_first and len(edits) < 2:
+                for a, b in self.by_first[c]:
                     if s.startswith(a, p) and self._begins(x + b):
                         todo.append((p + len(a), x + b, blanks, (*edits, p)))
 
@@ -261,7 +264,12 @@ class Decoder:
                 else:
                     spots.pop(0)
             upto = hi
-            out += self._search(tokens, [self._token(t) for t in tokens[lo:hi]], lo, hi)
+            window = tuple(tokens[lo:hi])
+            if (got := self.read.get(window)) is None:
+                if len(self.read) > MEMO:
+                    self.read.clear()
+                got = self.read[window] = self._search(window)
+            out += [(a + lo, b + lo, t, [k + lo for k in bad]) for a, b, t, bad in got]
         return out
 
     def _joint(self, t: str, u: str) -> bool:
@@ -278,10 +286,11 @@ class Decoder:
         self.quiet.add(pair)
         return False
 
-    def _search(self, tokens: list[str], known: list[tuple], lo: int, hi: int) -> list[tuple[int, int, str, list[int]]]:
+    def _search(self, tokens: tuple[str, ...]) -> list[tuple[int, int, str, list[int]]]:
+        known = [self._token(t) for t in tokens]
         s = " ".join(x[0] for x in known)
         starts, of = {}, []
-        for k, x in enumerate(known, lo):
+        for k, x in enumerate(known):
             starts[len(of)] = k
             of += [k] * (len(x[0]) + 1)
         best: dict[int, tuple] = {0: (0.0, 0, None, ())}
@@ -296,11 +305,11 @@ class Decoder:
                     best[end] = (cost + c, p, word, edits)
 
             if k is not None:
-                w, n = known[k - lo][0], known[k - lo][3]
+                w, n = known[k][0], known[k][3]
                 offer(p + len(w), self.all - log(max(n, 0.4)) + (0 if n else ODD * len(w)), None, ())
             if p < len(s):
                 for end, word, n, blanks, edits in self._arcs(s, p, k is None):
-                    if k is None or blanks or end - p != len(known[k - lo][0]):
+                    if k is None or blanks or end - p != len(known[k][0]):
                         offer(end, self.all - log(n) + (MISREAD if edits else 0) + MERGE * blanks + (SPLIT if k is None else 0), word, edits)
         path, p = [], len(s)
         while p:
@@ -315,11 +324,11 @@ class Decoder:
                 continue
             if not words:
                 first = of[a]
-            words.append(known[of[a] - lo][0] if word is None else word)
+            words.append(known[of[a]][0] if word is None else word)
             bad += [of[e] for e in edits]
             if b == len(s) or b in starts:
                 end = of[b - 1] + 1
-                head, tail = tokens[first].partition(known[first - lo][0])[0], tokens[end - 1].rpartition(known[end - 1 - lo][0])[2]
+                head, tail = tokens[first].partition(known[first][0])[0], tokens[end - 1].rpartition(known[end - 1][0])[2]
                 out.append((first, end, head + " ".join(words) + tail, bad))
                 words, bad = [], []
         return out
@@ -574,25 +583,31 @@ def _paragraphs(lines: list[str], body: list[int], fixed: dict[int, str]) -> tup
     return out, not ENDS.search(lines[body[-1]].strip())
 
 
+def _edge_row(d, source, page, content):
+    """A page's lines at its edges, and what is counted of them over its volume: their forms by side, and page numbers less the page's place."""
+    top, bottom = edges(content or "")
+    keys, values = [], {}
+    for side, ls in (("t", top), ("b", bottom)):
+        forms = {}
+        for x in ls:
+            v = page_value(x)
+            if v is None:
+                forms[edge_key(x)] = None
+            elif page is not None:
+                values[v - page, side] = None
+        keys += [(side, k) for k in forms if k]
+    return [(d, source, page, top, bottom, keys + [("n", str(v)) for v, _ in values])]
+
+
 def _prepare(pages: DataFrame, rate: float = RATE):
     """Pages with their volume's statistics, the top of the following and the bottom of the preceding page; and the decoder."""
     pages = pages.select("page_doc_id", "content", "source", "page_number")
     # a few short lines a page, made once and read four times
     narrow = cut(map_rows(
-        spread(pages), ["page_doc_id", "source", "page_number", "content"],
-        lambda d, s, p, c: [(d, s, p, *edges(c or ""))],
-        "page_doc_id string, source string, page_number int, top array<string>, bottom array<string>",
+        spread(pages), ["page_doc_id", "source", "page_number", "content"], _edge_row,
+        "page_doc_id string, source string, page_number int, top array<string>, bottom array<string>, keys array<struct<kind:string,val:string>>",
     ).dropDuplicates(["page_doc_id"]))
-
-    def facts(s, p, top, bottom):
-        for side, ls in (("t", top), ("b", bottom)):
-            for x in {edge_key(x) for x in ls if page_value(x) is None} - {""}:
-                yield s, side, x
-            for v in {page_value(x) for x in ls} - {None}:
-                if p is not None:
-                    yield s, "n", str(v - p)
-
-    counted = map_rows(narrow, ["source", "page_number", "top", "bottom"], facts, "source string, kind string, val string").groupBy("source", "kind", "val").agg(F.count("*").alias("n"))
+    counted = narrow.select("source", F.explode("keys").alias("k")).select("source", "k.kind", "k.val").groupBy("source", "kind", "val").agg(F.count("*").alias("n"))
     totals = narrow.groupBy("source").agg(F.count("*").alias("pages"))
     # at most EDGE / EDGE_SHARE keys a side and volume pass this filter
     kept = counted.join(totals, "source").where((F.col("n") >= F.greatest(F.lit(2), F.ceil(F.col("pages") * EDGE_SHARE))))
