@@ -518,7 +518,7 @@ def _read(decoder: Decoder, content: str, page, offset, tops, bottoms, next_top,
 
 def _stray(line: str) -> bool:
     """Figures from the margin or a table that interrupt a sentence."""
-    return not any(c.isalpha() for c in line)
+    return not (line[:1].isalpha() or any(c.isalpha() for c in line))
 
 
 ENDS = re.compile(r"[.!?。！？…:：][\"'”’»」』）)]*$")
@@ -628,13 +628,14 @@ def _prepare(pages: DataFrame, rate: float = RATE):
 COLUMNS = ["page_doc_id", "content", "page_number", "off", "tops", "bottoms", "next_top", "last_bottom"]
 
 
-def _reader(model, build: bool):
-    decoder: list[Decoder] = []
+_LAST: list[Decoder] = []  # a worker's decoder with its memos, kept over tasks that share a model
+
 
+def _reader(model, build: bool):
     def read(content, page, off, tops, bottoms, next_top, last_bottom):
-        if not decoder:
-            decoder.append(Decoder(model.value))
-        return _read(decoder[0], content or "", page, None if off is None else int(off), tops or [], bottoms or [], next_top or [], last_bottom or [], build)
+        if not _LAST or _LAST[0].n is not model.value:
+            _LAST[:] = [Decoder(model.value)]
+        return _read(_LAST[0], content or "", page, None if off is None else int(off), tops or [], bottoms or [], next_top or [], last_bottom or [], build)
 
     return read
 
