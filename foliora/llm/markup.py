@@ -9,6 +9,8 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 from pyspark.sql import DataFrame
@@ -36,6 +38,8 @@ IMPLIED = {
     "tr": ({"tr", "td", "th", "p"}, {"table"}),
     "option": ({"option"}, {"select"}),
 }
+TIGHT = frozenset("ul ol dl div html body dt dd".split())  #: blocks without an empty line around them
+KEEPING = frozenset("html body div pre #root".split())  #: blocks that keep the space within them as it is
 P_ENDS = BLOCKS - {"li", "dt", "dd", "html", "body"}
 
 # Commands of LaTeX whose braces hold text to keep, and those whose argument is not text.
@@ -86,13 +90,15 @@ INLINE = r"""
 |\[(?P<ext>https?://[^\s\[\]]+)(?:[ ](?P<etext>(?:[^\[\]\n]|\n(?!\s*\n))*))?\](?!\()
 |(?P<fref>\[\^[\w-]+\])
 |(?P<bt>`+)(?P<btext>(?:[^`\n]|\n(?!\s*\n))+)(?P=bt)
-|(?P<strong>\*\*)(?P<sb>(?=\n?[^\s*])(?:[^*\n]|\*(?!\*)|\n(?!\s*\n)){1,400}?)\*\*(?!\*)
-|(?P<under>__)(?P<ub>(?=\n?[^\s_])(?:[^_\n]|_(?!_)|\n(?!\s*\n)){1,400}?)__
+|(?P<strong>\*\*)(?P<sb>(?=\n?[^\s*])(?:[^*\n]|\*(?!\*)|\n(?!\s*\n))++)\*\*(?!\*)
+|(?P<under>__)(?P<ub>(?=\n?[^\s_])(?:[^_\n]|_(?!_)|\n(?!\s*\n))++)__
 |~~(?P<del>(?=\n?\S)(?:[^~\n]|\n(?!\s*\n))+?)~~
 |(?<![\w*])\*(?P<emph>[^\s*](?:[^*\n]*[^\s*])?)\*(?![\w*])
 |(?P<tie>~)(?=\\cite|\\ref)
 """
 SCAN = re.compile(rf"(?:^(?:{LINE})|(?=[<&\\$`*_~\[{{'!])(?:{INLINE}))", re.X | re.M | re.S)
+#: The same where only inline markup counts, as within a heading; its groups are those of SCAN.
+SCAN_INLINE = re.compile(rf"(?:(?!)(?:{LINE})|(?=[<&\\$`*_~\[{{'!])(?:{INLINE}))", re.X | re.M | re.S)
 #: No event of SCAN can begin in a text in which this finds nothing.
 HINT = re.compile(r"[<&\\$`*_~\[{]|''|^(?:[=#|>+\-:;]|\d{1,3}\. )|^[=\-]{3,}", re.M)
 #: Table environments of LaTeX and the number of their arguments; what bounds cells and rows, or keeps them together; rules between rows; cells over several columns or rows.
@@ -100,6 +106,8 @@ TEX_TABLES = {"tabular": 1, "tabular*": 2, "tabularx": 2, "longtable": 1}
 TEX_CELL = re.compile(r"(?P<row>\\\\\*?(?:\[[^\]\n]*\])?|\\tabularnewline\b)|(?P<env>\\(?:begin|end)\{[^{}\n]*\})|\\.|(?P<entity>&(?:\#\d{1,7}|\#[xX][0-9A-Fa-f]{1,6}|[A-Za-z][A-Za-z0-9]{1,24});)|(?P<sign>[{}&])", re.S)
 TEX_RULE = re.compile(r"\s*\\(?:hline|toprule|midrule|bottomrule|endhead|endfoot|endfirsthead|endlastfoot|(?:cline|cmidrule)(?:\([a-z]*\))?\{[^{}\n]*\})(?![A-Za-z])(?:\[[^\]\n]*\])?")
 TEX_SPAN = re.compile(r"\s*\\multi(?P<kind>column|row)\{(?P<n>\d+)\}\{[^{}\n]*\}(?=\{)")
+ATTRIBUTE = re.compile(r"([^\s=/>\"']+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+))?")
+WIDE = 120  #: widest cell that the others of its column are aligned with
 FILE_PATH = re.compile(r"[A-Za-z]:$|[A-Za-z]:(?:\\\w+)+$")
 
 
@@ -113,10 +121,11 @@ class Node:
 
 
 class Tree:
-    """Builder with implied end tags; ``stack[0]`` is the root."""
+    """Builder with implied end tags; ``stack[0]`` is the root, ``at`` has the places of the open elements of each tag."""
 
     def __init__(self):
         self.stack = [Node("#root")]
+        self.at: defaultdict[str, list[int]] = defaultdict(list)
 
     def text(self, s: str) -> None:
         if s:
@@ -129,35 +138,44 @@ class Tree:
         node.kids.append((s,))
         self.stack[-1].kids.append(node)
 
+    def push(self, node: Node) -> None:
+        self.stack[-1].kids.append(node)
+        self.at[node.tag].append(len(self.stack))
+        self.stack.append(node)
+
+    def cut(self, size: int) -> None:
+        """Close all but the first ``size`` open elements."""
+        while len(self.stack) > size:
+            self.at[self.stack.pop().tag].pop()
+
+    def _top(self, tags) -> int:
+        """Place of the innermost open element of these tags; 0 for none."""
+        return max((self.at[t][-1] for t in tags if self.at[t]), default=0)
+
     def open(self, tag: str, attr: str = "") -> None:
         if tag in IMPLIED:
             ends, stop = IMPLIED[tag]
-            for k in range(len(self.stack) - 1, 0, -1):
-                if self.stack[k].tag in stop:
-                    break
-                if self.stack[k].tag in ends:
-                    del self.stack[k:]
+            floor = self._top(stop)
+            inner = [places[k] for t in ends if (k := bisect_right(places := self.at[t], floor)) < len(places)]
+            if inner:
+                self.cut(min(inner))
         elif tag in P_ENDS:
             self.end("p")
         node = Node(tag, attr)
-        self.stack[-1].kids.append(node)
-        if tag not in VOID:
-            self.stack.append(node)
+        if tag in VOID:
+            self.stack[-1].kids.append(node)
+        else:
+            self.push(node)
 
     def end(self, tag: str) -> None:
-        for k in range(len(self.stack) - 1, 0, -1):
-            if self.stack[k].tag == tag:
-                del self.stack[k:]
-                return
-            if self.stack[k].tag in ("table", "#line") and tag not in ("table", "#line", "#root"):
-                return
+        """Close the innermost ``tag``; from within a table or line only what was opened there."""
+        if self.at[tag] and (tag in ("table", "#line") or self._top(("table", "#line")) < self.at[tag][-1]):
+            self.cut(self.at[tag][-1])
 
     def line_end(self) -> None:
         """Close what a line-based syntax opened."""
-        for k in range(1, len(self.stack)):
-            if self.stack[k].tag == "#line":
-                del self.stack[k:]
-                return
+        if self.at["#line"]:
+            self.cut(self.at["#line"][0])
 
 
 def parse(text: str) -> tuple[Node, set[str]]:
@@ -174,9 +192,9 @@ def parse(text: str) -> tuple[Node, set[str]]:
     return tree.stack[0], kinds
 
 
-def _scan(tree: Tree, kinds: set[str], text: str, wlist: bool) -> None:
+def _scan(tree: Tree, kinds: set[str], text: str, wlist: bool, scan: re.Pattern = SCAN) -> None:
     pos, braces = 0, []
-    search = SCAN.search
+    search = scan.search
     while True:
         m = search(text, pos)
         if m is None:
@@ -328,7 +346,7 @@ def _put(tree: Tree, s: str, braces: list[str]) -> None:
             else:
                 kept.append(part)
         s = "".join(kept)
-    if "\n" in s and any(n.tag == "#line" for n in tree.stack):
+    if "\n" in s and tree.at["#line"]:
         head, _, rest = s.partition("\n")
         tree.text(head)
         tree.line_end()
@@ -339,18 +357,16 @@ def _put(tree: Tree, s: str, braces: list[str]) -> None:
 def _line(tree: Tree, kind: str, depth: int) -> None:
     tree.line_end()
     tree.open("#line")
-    node = Node("li", f"{kind} {depth}")
-    tree.stack[-1].kids.append(node)
-    tree.stack.append(node)
+    tree.push(Node("li", f"{kind} {depth}"))
 
 
 def _inline(tree: Tree, tag: str, s: str, kinds: set[str]) -> None:
     """An element whose content is scanned for inline markup only."""
     tree.open(tag)
-    here = tree.stack[-1]
-    _scan(tree, kinds, s, False) if s and not s.isspace() else tree.text(s)
-    while tree.stack[-1] is not here and len(tree.stack) > 1 and here in tree.stack:
-        tree.stack.pop()
+    size, here = len(tree.stack), tree.stack[-1]
+    _scan(tree, kinds, s, False, SCAN_INLINE) if s and not s.isspace() else tree.text(s)
+    if len(tree.stack) > size and tree.stack[size - 1] is here:
+        tree.cut(size)
     tree.end(tag)
 
 
@@ -433,8 +449,7 @@ def _tabular(tree: Tree, kinds: set[str], text: str, m: re.Match) -> int:
                 cell = cell[span.end() :]
                 more += int(span["n"]) - 1 if span["kind"] == "column" else 0
             cell = cell if TEX_SPAN.match(cell) or re.match(r"\s*\{\\[a-z]", cell) else _bare(cell)
-            # behind a blank nothing counts as the beginning of a line
-            _inline(tree, "td", f" {' '.join(cell.split())}", kinds)
+            _inline(tree, "td", " ".join(cell.split()), kinds)
             for _ in range(min(more, 100)):
                 _inline(tree, "td", "", kinds)
         tree.end("tr")
@@ -497,19 +512,32 @@ def _command(tree: Tree, kinds: set[str], text: str, m: re.Match, braces: list[s
 
 
 def _hidden(node: Node) -> bool:
-    a = node.attr.lower()
-    return node.tag in HIDDEN or bool(a) and ("hidden" in a.split() or "display:none" in (b := a.replace(" ", "")) or "visibility:hidden" in b)
+    if node.tag in HIDDEN:
+        return True
+    for name, value in ATTRIBUTE.findall(node.attr) if node.attr else ():
+        if (name := name.lower()) == "hidden":
+            return True
+        if name == "style" and re.search(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*hidden)\b", value.strip("\"'").lower()):
+            return True
+    return False
 
 
 def render(root: Node) -> str:
-    """All visible text of a tree."""
+    """All visible text of a tree, however deep."""
     out: list[str] = []
-    _layout(root, out, "", True)
+    open_: list[Iterator] = [_layout(root, out, "", True)]
+    while open_:
+        inner = next(open_[-1], None)
+        if inner is None:
+            open_.pop()
+        else:
+            open_.append(inner)
     lines = [x.rstrip() for x in "".join(out).split("\n")]
     return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip("\n")
 
 
-def _layout(node: Node, out: list[str], indent: str, keep: bool) -> None:
+def _layout(node: Node, out: list[str], indent: str, keep: bool) -> Iterator[Iterator]:
+    """Render the children of ``node`` into ``out``; yields the layouts to be run before it goes on."""
     number = 0
     for kid in node.kids:
         if isinstance(kid, str):
@@ -523,49 +551,57 @@ def _layout(node: Node, out: list[str], indent: str, keep: bool) -> None:
         elif kid.tag == "hr":
             out.append("\n\n")
         elif kid.tag == "#line":
-            _layout(kid, out, indent, keep)
+            yield _layout(kid, out, indent, keep)
         elif kid.tag == "table":
-            out += ["\n\n", _cells(kid), "\n\n"]
+            out.append("\n\n")
+            yield _cells(kid, out)
+            out.append("\n\n")
         elif kid.tag == "li":
             kind, _, depth = kid.attr.partition(" ") if kid.attr[:3] in ("ul ", "ol ", "dl ") else (node.tag, "", "1")
             number += 1
             pad = indent + "  " * (int(depth) - 1 if depth.isdigit() else 0)
             inner: list[str] = []
-            _layout(kid, inner, pad + "  ", False)
+            yield _layout(kid, inner, pad + "  ", False)
             mark = "" if kind == "dl" else f"{number}. " if kind == "ol" and node.tag == "ol" else "1. " if kind == "ol" else "- "
             gap = "" if node.tag == "#line" or (out and out[-1].endswith("\n")) else "\n"
             out.append(f"{gap}{pad}{mark}{''.join(inner).strip()}\n")
         elif kid.tag in BLOCKS:
-            gap = "\n" if kid.tag in ("ul", "ol", "dl", "div", "html", "body", "dt", "dd") else "\n\n"
+            gap, kept = "\n" if kid.tag in TIGHT else "\n\n", keep
+            # of a block that holds nothing but another block only the outer space is seen
+            while len(kid.kids) == 1 and isinstance(only := kid.kids[0], Node) and only.tag in BLOCKS and only.tag not in ("li", "table", "pre", "hr") and kid.tag != "pre" and not _hidden(only):
+                kept, kid = kept and kid.tag in KEEPING, only
             inner = []
-            _layout(kid, inner, indent, keep if kid.tag in ("html", "body", "div", "pre", "#root") else False)
+            yield _layout(kid, inner, indent, kept and kid.tag in KEEPING)
             body = "".join(inner)
             out += [gap, body if kid.tag == "pre" else body.strip(), gap]
         else:
-            _layout(kid, out, indent, keep)
+            yield _layout(kid, out, indent, keep)
 
 
-def _cells(table: Node) -> str:
-    """A table with the cells of each column aligned."""
+def _cells(table: Node, out: list[str]) -> Iterator[Iterator]:
+    """Render a table with the cells of each column aligned, as far as they aren't wider than ``WIDE``."""
     rows: list[list[str]] = []
-
-    def walk(n: Node) -> None:
-        for k in n.kids:
-            if isinstance(k, Node):
-                if k.tag == "tr":
-                    rows.append([])
-                if k.tag in ("td", "th", "caption"):
-                    inner: list[str] = []
-                    _layout(k, inner, "", False)
-                    if not rows:
-                        rows.append([])
-                    rows[-1].append(" ".join("".join(inner).split()))
-                elif not _hidden(k):
-                    walk(k)
-
-    walk(table)
-    widths = [max(len(r[i]) for r in rows if len(r) > i) for i in range(max(map(len, rows), default=0))]
-    return "\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows if r)
+    todo: list[Node] = [table]
+    while todo:
+        n = todo.pop()
+        if n is not table and _hidden(n):
+            continue
+        if n.tag == "tr":
+            rows.append([])
+        if n.tag in ("td", "th", "caption"):
+            inner: list[str] = []
+            yield _layout(n, inner, "", False)
+            if not rows:
+                rows.append([])
+            rows[-1].append(" ".join("".join(inner).split()))
+        else:
+            todo += [k for k in reversed(n.kids) if isinstance(k, Node)]
+    widths = [0] * max(map(len, rows), default=0)
+    for r in rows:
+        for i, c in enumerate(r):
+            if widths[i] < len(c) <= WIDE:
+                widths[i] = len(c)
+    out.append("\n".join("  ".join(c.ljust(w) for c, w in zip(r, widths)).rstrip() for r in rows if r))
 
 
 def clean(text: str | None) -> tuple[str | None, list[str]]:

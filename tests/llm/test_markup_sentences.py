@@ -101,3 +101,27 @@ def test_sentence_tables(spark):
     assert sorted(map(tuple, sentences.found(docs, sample).collect())) == [(1, 3), (1, 7)]
     assert sentences.found(docs.limit(0), sample).count() == 0
     assert sentences.sentences(docs, "doc_id", "text").where("doc_id = 3").first()["sentence"] == "C."
+
+
+@pytest.mark.parametrize(
+    "text, clean",
+    [
+        ("<div>" * 100_000 + "deep text" + "</div>" * 100_000, "deep text"),
+        ("<b>" * 20_000 + "<ul><li>one</ul>", "\n- one"),
+        ("<table><tr><td>" * 3000 + "x", "x"),
+        ("**" + "bold text " * 500 + "**", "bold text " * 499 + "bold text"),
+        ("__" + "under text " * 500 + "__", "under text " * 499 + "under text"),
+        ('<p title="a hidden fee">Visible text</p>', "Visible text"),
+        ("<p data-x='display:none'>Visible</p><p hidden>no</p><p HIDDEN=''>no</p><p style='color:red; Display : none'>no</p>", "Visible"),
+        ("# " * 20_000 + "title", "# " * 19_999 + "title"),
+        ("= " * 2000 + "title" + " =" * 2000, "= " * 1999 + "title" + " =" * 1999),
+    ],
+)
+def test_deep_long_and_hidden_markup(text, clean):
+    got, kinds = markup.clean(text)
+    assert got.strip("\n") == clean.strip("\n") and kinds
+
+
+def test_a_very_wide_cell_does_not_widen_its_column():
+    got = markup.clean(f"<table><tr><td>{'w' * 5000}</td><td>a</td></tr><tr><td>n</td><td>b</td></tr></table>")[0]
+    assert got.split("\n") == ["w" * 5000 + "  a", "n  b"]
