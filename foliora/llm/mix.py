@@ -47,8 +47,14 @@ def targets(tokens: DataFrame, recipes: DataFrame) -> DataFrame:
 
 
 def found(documents: DataFrame, recipes: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
-    """Rows of the recipes whose target can't be reached within the repeat cap."""
-    return targets(document_tokens(documents, folder), recipes).where("unreachable").select("recipe_id", "source").distinct()
+    """Rows of the recipes whose target can't be reached within the repeat cap.
+
+    They come from the draws of the mix: a source whose drawn slots run through its blocks as often as the cap
+    allows, or come as close to it as rounding may make them, is held against its target in tokens."""
+    t = cut(targets(document_tokens(documents, folder), recipes))
+    drawn = _draws(t).groupBy("recipe_id", "source").agg(F.sum("n").alias("n"), F.sum("spare").alias("spare"), F.max(F.col("blocks") * F.col("cap")).alias("most"))
+    full = drawn.where(F.col("n") + F.col("spare") >= F.col("most")).select("recipe_id", "source")
+    return t.where("unreachable").join(full, ["recipe_id", "source"], "left_semi").select("recipe_id", "source").distinct()
 
 
 def place(tokens: DataFrame) -> DataFrame:
@@ -88,14 +94,13 @@ def permuted(i: int, n: int, seed: int) -> int:
             return x
 
 
-def slots(tokens: DataFrame, recipes: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
-    """The plan of every recipe: recipe, shard, slot, source, block of the source and round (from 0).
+def _draws(t: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
+    """How many slots of every shard of every recipe each source gets, from the rows of ``targets``.
 
-    A source is drawn by the slots that its target fills with its mean block, since its last block, perhaps
-    its only one, holds what is left. A slot whose source has run through its blocks as often as the cap allows stays out of the plan;
-    the shortfall shows in ``shares``."""
-    t = targets(tokens, recipes).where("target_tokens is not null and source is not null")
-    t = t.withColumn("blocks", F.ceil(F.col("source_tokens") / block).cast("bigint"))
+    A source is drawn by the slots that its target fills with its mean block, since its last block, perhaps its
+    only one, holds what is left. The whole part of what a shard owes a source is given; the rest of its slots are
+    drawn (multinomial, no source twice), so that sums over shards stay near the targets; ``spare`` bounds how far a shard is off."""
+    t = t.where("target_tokens is not null and source is not null").withColumn("blocks", F.ceil(F.col("source_tokens") / block).cast("bigint"))
     t = t.withColumn("want", F.col("target_tokens") / F.when(F.col("blocks") > 0, F.col("source_tokens") / F.col("blocks")).otherwise(F.lit(block)))
     size = t.groupBy("recipe_id").agg(
         F.ceil(F.sum("want")).cast("bigint").alias("slots"),
@@ -107,26 +112,39 @@ def slots(tokens: DataFrame, recipes: DataFrame, block: int = BLOCK, shard: int
         rng = np.random.default_rng(_seed(seed, recipe, s))
         p = np.array([max(0.0, x["want"]) for x in of])
         if p.sum() > 0:
-            counts = rng.multinomial(min(shard, n - s * shard), p / p.sum())
+            total = min(shard, n - s * shard)
+            owed = total * p / p.sum()
+            whole = np.floor(owed)
+            left = int(total - whole.sum())
+            counts = whole
+            if left:
+                counts[rng.choice(len(of), left, replace=False, p=(owed - whole) / (owed - whole).sum())] += 1
             for x, c in zip(of, counts):
-                yield recipe, s, x["source"], int(c), x["blocks"], x["cap"]
+                yield recipe, s, x["source"], int(c), x["blocks"], x["cap"], total, 1
+
+    return map_rows(shards, ["recipe_id", "slots", "of", "shard"], draw, "recipe_id string, shard int, source string, n bigint, blocks bigint, cap int, size int, spare bigint")
+
+
+def slots(tokens: DataFrame, recipes: DataFrame, block: int = BLOCK, shard: int = SHARD, seed: int = 1) -> DataFrame:
+    """The plan of every recipe: recipe, shard, slot, source, block of the source and round (from 0).
 
-    drawn = map_rows(shards, ["recipe_id", "slots", "of", "shard"], draw, "recipe_id string, shard int, source string, n bigint, blocks bigint, cap int")
+    A slot whose source has run through its blocks as often as the cap allows stays out of the plan; the
+    shortfall shows in ``shares``. The slots of a shard are numbered from 0 without gaps but for those."""
+    drawn = _draws(targets(tokens, recipes), block, shard, seed)
     # a row for each shard and source here, a small part of the slots
     upto = F.coalesce(F.sum("n").over(W.partitionBy("recipe_id", "source").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     ahead = F.coalesce(F.sum("n").over(W.partitionBy("recipe_id", "shard").orderBy("source").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     placed = drawn.withColumn("first", upto).withColumn("ahead", ahead)
 
-    def fill(recipe, s, source, n, blocks, cap, first, ahead):
-        total = shard
+    def fill(recipe, s, source, n, blocks, cap, size, first, ahead):
         order = _seed(seed, recipe, s, "order")
         for j in range(n):
             index = first + j
-            if blocks and index < blocks * cap:
+            if blocks and cap and index < blocks * cap:
                 rnd = index // blocks
-                yield recipe, s, permuted(ahead + j, total, order), source, permuted(index % blocks, blocks, _seed(seed, source, rnd)), int(rnd)
+                yield recipe, s, permuted(ahead + j, size, order), source, permuted(index % blocks, blocks, _seed(seed, source, rnd)), int(rnd)
 
-    return map_rows(placed, ["recipe_id", "shard", "source", "n", "blocks", "cap", "first", "ahead"], fill, "recipe_id string, shard int, slot bigint, source string, block bigint, round int")
+    return map_rows(placed, ["recipe_id", "shard", "source", "n", "blocks", "cap", "size", "first", "ahead"], fill, "recipe_id string, shard int, slot bigint, source string, block bigint, round int")
 
 
 def shares(documents: DataFrame, recipes: DataFrame, folder: str = TOKENIZERS, block: int = BLOCK) -> DataFrame:
@@ -155,4 +173,5 @@ def mixed(documents: DataFrame, recipes: DataFrame, folder: str = TOKENIZERS, bl
         (F.greatest(F.col("start_token"), F.col("block") * block) - F.col("start_token")).alias("from_token"),
         (F.least(F.col("end_token"), (F.col("block") + 1) * block) - F.col("start_token")).alias("to_token"),
     )
-    return slots(tokens, recipes, block).join(parts, ["source", "block"]).select("recipe_id", "shard", "slot", "round", "source", "block", "doc_id", "from_token", "to_token")
+    # both sides grow with the corpus
+    return slots(tokens, recipes, block).join(parts.hint("merge"), ["source", "block"]).select("recipe_id", "shard", "slot", "round", "source", "block", "doc_id", "from_token", "to_token")

@@ -84,7 +84,29 @@ def test_sources_smaller_than_a_block_reach_their_targets(spark):
     t = spark.createDataFrame([(i, "big", 2000) for i in range(400)] + [(1000, "small", 300)], "doc_id bigint, source string, n_tokens bigint")
     r = spark.createDataFrame([("r", "big", 0.9, 2, 1.0), ("r", "small", 0.1, 400, 1.0)], "recipe_id string, source string, target_share double, max_repeats int, mix_factor double")
     used = sum(x["source"] == "small" for x in mix.slots(t, r, block=2048).collect()) * 300
-    assert abs(used / (0.1 * 800_300) - 1) < 0.2
+    assert abs(used / (0.1 * 800_300) - 1) < 0.02
+
+
+def test_slots_of_the_last_shard_have_no_gaps(spark, corpus):
+    t, r = corpus
+    plan = [x for x in mix.slots(t, r, block=50, shard=64).collect() if x["recipe_id"] == "r"]
+    last = max(x["shard"] for x in plan)
+    for k in range(last + 1):
+        numbers = sorted(x["slot"] for x in plan if x["shard"] == k)
+        assert numbers == list(range(len(numbers))) and (len(numbers) == 64 or k == last)
+
+
+@needs_files
+def test_every_reachable_source_comes_near_its_target(spark):
+    word = " margin"  # one token
+    docs = spark.createDataFrame([(i, word * 2000, "big") for i in range(300)] + [(1000, word * 101, "tiny"), (1001, word * 5000, "mid"), (1002, word * 10, "short")], "doc_id bigint, text string, source string")
+    r = spark.createDataFrame(
+        [("r", "big", 0.5, 2, 1.0), ("r", "tiny", 0.2, 2000, 1.0), ("r", "mid", 0.2, 40, 1.0), ("r", "short", 0.1, 3, 1.0), ("r", "none", 0.05, 3, 1.0)], "recipe_id string, source string, target_share double, max_repeats int, mix_factor double"
+    )
+    rows = {x["source"]: x for x in mix.shares(docs, r).collect()}
+    assert {k for k, x in rows.items() if x["unreachable"]} == {"short", "none"} == {x["source"] for x in mix.found(docs, r).collect()}
+    assert all(abs(rows[k]["of_target"] - 1) <= 0.02 for k in ("big", "tiny", "mid"))
+    assert rows["short"]["actual_tokens"] == 30 and rows["none"]["actual_tokens"] == 0
 
 
 @needs_files
