@@ -11,6 +11,7 @@ import re
 import unicodedata
 from collections import Counter
 
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +20,7 @@ from foliora.functions.rows import map_rows, spread
 # Phrases by which a response declines, in several languages.
 REFUSALS = """
 i cannot answer|i can't answer|cannot answer this|can't answer|unable to answer|not able to answer|i cannot help|i can't help|i won't help|won't help with|not able to comment|cannot comment|can't comment|i do not know|i don't know|have no information|no information about|not enough information|insufficient information|
-do not cover this|does not cover this|have to decline|must decline|i decline|outside of what i may|outside my scope|beyond my scope|cannot determine|can't determine|unable to determine|cannot assist|can't assist|unable to assist|not permitted to|prefer not to|cannot provide|can't provide|unable to provide|as an ai|i'm not sure|
+do not cover this|does not cover this|have to decline|must decline|i decline|outside of what i may|outside my scope|beyond my scope|not in a position to|not at liberty to|decline to answer|refuse to answer|against my guidelines|unable to comment|unable to say|cannot say|can't say|cannot tell you|can't tell you|cannot discuss|can't discuss|cannot share|can't share|do not have enough|don't have enough|don't have that information|do not have that information|cannot determine|can't determine|unable to determine|cannot assist|can't assist|unable to assist|not permitted to|prefer not to|cannot provide|can't provide|unable to provide|as an ai|i'm not sure|
 无法从当前知识库中确定|无法确定|无法判断|无法回答|不能回答|没法回答|无法提供|不能提供|无法给出|恕不作答|恕不|恕难|不便就此|不便回答|不便提供|没有相关内容|没有相关信息|没有相关资料|没有找到|未找到相关|资料不足|信息不足|不知道|不清楚|不了解|超出了我的|无可奉告|拒绝回答|爱莫能助|
 kann ich leider nicht|leider nicht beantworten|kann ich nicht beantworten|keine angaben|keine informationen|keine auskunft|weiß ich nicht|weiss ich nicht|darf dazu nichts|darf ich nichts|nicht in der lage|möchte ich nichts|kann nicht helfen|nicht genügend informationen|
 ne peux pas répondre|ne peux pas vous|ne permettent pas de|ne permet pas de répondre|préfère ne pas|je ne sais pas|pas d'information|pas assez d'information|informations insuffisantes|impossible de répondre|ne suis pas en mesure|ne peux pas aider|
@@ -29,13 +30,18 @@ no puedo responder|no puedo contestar|no puedo ayudar|no dispongo de informació
 لا أستطيع الإجابة|لا يمكنني الإجابة|لا أعرف|لا توجد معلومات|لا تتوفر معلومات|أعتذر عن|لا أعلم|لا يمكنني المساعدة|
 ไม่สามารถตอบ|ไม่ทราบ|ไม่มีข้อมูล|ขออภัย|ไม่สามารถให้|
 उत्तर नहीं दे सकता|जवाब नहीं दे सकता|जानकारी नहीं है|पता नहीं|क्षमा करें|उत्तर देने में असमर्थ|मैं नहीं जानता|
-답변할 수 없|알 수 없|모르겠|정보가 없|도와드릴 수 없
+답변할 수 없|알 수 없|모르겠|정보가 없|도와드릴 수 없|
+não posso responder|não sei|não tenho informaç|não posso ajudar|não há informaç|prefiro não|non posso rispondere|non lo so|non ho informazioni|non posso aiutar|preferisco non|informazioni insufficienti|kan ik niet beantwoorden|weet ik niet|geen informatie|tidak dapat menjawab|tidak bisa menjawab|tidak tahu|tidak memiliki informasi
 """
 # Frequent function words by language, and words of assent that alone make an answer.
 STOPWORDS = {
     "en": "the a an of and to in is for with on by that this each every before after under if when once all per at as it be are was or not yes no from which what who how why where does do did has have will would can should its their there these those into over about than",
     "de": "der die das den dem des und in zu ist für mit auf bei nach vor ohne gemäß jede jeden jeder einmal pro alle ein eine einen nicht ja nein im am von wie wer wann wird während innerhalb welche welcher welches was warum wo sind hat haben kann soll werden durch über unter gegen",
     "fr": "le la les l un une des de du d et à en est pour avec sur par que qui chaque sans après avant pendant selon dès fois oui non au aux ce cette quand comment s sous deux quel quelle quels quelles où pourquoi sont ont peut doit dans ne pas se",
+    "pt": "o a os as um uma de do da dos das e em no na nos nas é para com por pelo pela que cada sem após antes durante segundo vez ao à não sim se quando como quem qual quais onde são tem pode deve seu sua seus suas mais pelos pelas este esta isso foi ser há",
+    "it": "il lo la i gli le un uno una di del della dei delle degli e è in nel nella per con su sul sulla che ogni senza dopo prima durante secondo volta al alla non sì no si quando come chi quale quali dove sono ha può deve suo sua più dal dalla questo questa da ai",
+    "nl": "de het een en van in is voor met op bij na voordat zonder volgens elke iedere per alle niet ja nee wordt worden tijdens binnen welke wie wat waarom waar wanneer hoe zijn heeft hebben kan moet door over onder tegen dat die aan om te naar",
+    "id": "yang dan di ke dari untuk dengan pada adalah ini itu tidak atau oleh setiap sebelum setelah selama akan dapat harus telah sudah dalam jika bila siapa apa kapan bagaimana berapa mengapa mana oleh para sebagai karena juga lebih",
     "es": "el la los las un una de del y a en es para con por que cada sin tras antes durante según vez al sí no se cuándo cómo quién ocupa superar qué cuál dónde son tiene puede debe su sus lo más",
 }
 STOPS = {w: [k for k, v in STOPWORDS.items() if w in v.split()] for k in STOPWORDS for w in STOPWORDS[k].split()}
@@ -59,7 +65,11 @@ QUOTED = re.compile(r"“[^“”]*”|«[^«»]*»|「[^「」]*」|„[^„“
 LABEL = re.compile(r"^\W*(?:answer|antwort|réponse|respuesta|ответ|response|回答|答案|答|回覆|返答|الإجابة|उत्तर|คำตอบ)\W*[:：]\W*$", re.I)
 NOTHING = frozenset("null none n/a na nil nan undefined tbd - -- ... … 。 无 なし".split())
 TERMINAL = re.compile(r"[.!?。！？।؟۔…]['\"”’»」』）)\]】*_`]*$")
-PAIRED = {"“": "”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "{": "}"}
+PAIRED = {"“": "”", "„": "“”", "«": "»", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "《": "》", "{": "}"}
+HAN = re.compile("[぀-ヿ㐀-鿿]")
+OPEN_END = re.compile(r"(?:^|[\s(（,;，；])((?:[^\W\d_]{1,5}\.[ \u00a0]?)?[^\W\d_]{1,5})\.$")
+# Abbreviations that lead on to something, so that a text that ends with one is cut short.
+LEADING = frozenset("e.g i.e cf vs viz no nos sec fig vol ch pp mr mrs ms dr prof z.b d.h u.a bzw vgl nr abs kap abb fr hr p.ex c.-à-d p.ej pág págs núm sra sr dra m mme см т.е п стр напр рис табл гл г-н".split())
 VALUE = re.compile(r"^\W*[\w.%$€°+/=:<>@#-]*\W*$")
 
 
@@ -94,9 +104,9 @@ class SuffixAutomaton:
                     self.link[q] = self.link[cur] = clone
             last = cur
 
-    def coverage(self, s: str, least: int) -> int:
-        """Characters of ``s`` that lie in a common substring of at least ``least`` characters."""
-        state = length = covered = upto = 0
+    def coverage(self, s: str, least: int) -> tuple[int, int]:
+        """Characters of ``s`` that lie in a common substring of at least ``least`` characters, and the length of the longest one."""
+        state = length = covered = upto = longest = 0
         for i, c in enumerate(s):
             while state and c not in self.next[state]:
                 state = self.link[state]
@@ -104,16 +114,29 @@ class SuffixAutomaton:
             if c in self.next[state]:
                 state = self.next[state][c]
                 length += 1
+            longest = max(longest, length)
             if length >= least:
                 start = max(upto, i + 1 - length)
                 covered += i + 1 - start
                 upto = i + 1
-        return covered
+        return covered, longest
+
+
+NO_LETTERS = regex.compile(r"[^\p{L}\p{M}\p{N}]+")
+# Words that introduce a question which is given back.
+LEADS = frozenset(
+    plain_lead
+    for plain_lead in (
+        "question yourquestion yourquestionis youasked youaskedabout youareasking youwanttoknow regarding about thequestionis query frage ihrefrage ihrefragelautet siefragten siefragen zu zurfrage question votrequestion votrequestionest "
+        "vousavezdemandé vousdemandez concernant sur ausujetde pregunta supregunta supreguntaes ustedpreguntó ustedpregunta sobre pergunta suapergunta vocêperguntou domanda lasuadomanda haichiesto vraag uwvraag pertanyaan pertanyaananda вопрос вашвопрос выспросили выспрашиваете поповоду "
+        "问题 您的问题是 你的问题是 您问的是 你问的是 您的问题 您问 关于 提问 您想知道 质问 質問 ご質問 ご質問は お問い合わせ سؤال سؤالك प्रश्न आपकाप्रश्न คำถาม คำถามของคุณ คำถามของคุณคือ 질문 answer antwort réponse respuesta ответ 回答 答案 答"
+    ).split()
+)
 
 
 def plain(s: str) -> str:
     """Letters, marks and digits in one form, for comparing prompt and response."""
-    return "".join(c for c in unicodedata.normalize("NFKC", s).casefold() if unicodedata.category(c)[0] in "LMN")
+    return NO_LETTERS.sub("", unicodedata.normalize("NFKC", s).casefold())
 
 
 def language(s: str) -> str | None:
@@ -204,12 +227,16 @@ def is_truncated(answer: str) -> bool:
         return False
     stack: list[str] = []
     for c in bare:
-        if c in PAIRED:
-            stack.append(PAIRED[c])
-        elif stack and c == stack[-1]:
+        if stack and c in stack[-1]:
             stack.pop()
+        elif c in PAIRED:
+            stack.append(PAIRED[c])
     if any(x not in "}]" for x in stack):
         return True
+    if re.search(r"\n[ \t]*(?:[-*•]|\d{1,3}[.)])$", bare.rstrip()):  # an item that was only begun
+        return True
+    if m := OPEN_END.search(bare.rstrip()):
+        return m[1].casefold().replace(" ", "") in LEADING
     if s.endswith(("```", "~~~", "`")) or TERMINAL.search(bare.rstrip()):
         return False
     if VALUE.match(bare) and not bare.rstrip().endswith((",", "，", ":", "：", "、", "-")):
@@ -222,19 +249,32 @@ def is_truncated(answer: str) -> bool:
     return last.rstrip()[-1:] in ":：,，、;；" or han >= 6 or (letters - han) >= 12 and len(bare.split()) >= 3
 
 
+def is_copied(query: str, answer: str) -> bool:
+    """Whether a response gives back the question, once or repeatedly, with nothing new but words that introduce it.
+
+    Nearly all of the question must stand in the response at one piece: a response that takes up its words to
+    answer (with a value, or in another order) isn't a copy."""
+    q, a = plain(query), plain(answer)
+    rim = len(q) // 10
+    if not q or q[rim : len(q) - rim] not in a:
+        return False
+    cjk = HAN.search(q) is not None
+    covered, longest = SuffixAutomaton(q).coverage(a, min(len(q), 4 if cjk else 10))
+    if longest < 0.9 * len(q):
+        return False
+    head, _, tail = a.partition(q)
+    new = len(a) - covered
+    return new <= (2 if cjk else 3) and not any(c.isdigit() and c not in q for c in a) or head in LEADS and len(tail.replace(q, "")) <= 2
+
+
 def defects(query: str | None, answer: str | None) -> list[str]:
     """Kinds of defect of a pair, sorted; empty for a sound one."""
     if is_empty(answer):
         return ["empty"]
     if is_refusal(answer):
         return ["refusal"]
-    q, a = plain(query or ""), plain(answer)
-    if q and a:
-        cjk = bool(re.search("[぀-ヿ㐀-鿿]", q))
-        least = min(len(q), 4 if cjk else 10)
-        covered = SuffixAutomaton(q).coverage(a, least)
-        if covered >= 0.75 * min(len(q), len(a)) and len(a) - covered <= max(3 if cjk else 24, 0.15 * len(a)) and not re.search(r"\d", a if a not in q and len(a) < 4 else ""):
-            return ["copied_question"]
+    if is_copied(query or "", answer):
+        return ["copied_question"]
     out = ["truncated"] if is_truncated(answer) else []
     text = QUOTED.sub(lambda m: m[0] if len(m[0]) > 60 else " ", CODE.sub(" ", answer))
     if any(c.isalpha() for c in text) and not (VALUE.match(text.strip()) and not ASSENT.match(text.strip())):

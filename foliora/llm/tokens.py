@@ -20,8 +20,9 @@ TOKENIZERS = os.environ.get("FOLIORA_TOKENIZERS", "/opt/tokenizers")
 PART = 20_000
 # Fixed value: the published pre-tokenization pattern of this vocabulary.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: A token always begins at a single space between two characters that aren't white space.
-SAFE = re.compile(r"(?<=\S) (?=\S)")
+#: A token always begins where white space follows something else, and where a letter is followed by a sign other than
+#: the apostrophe: no token of the pattern runs over such a place, whatever stands around it.
+SAFE = re.compile(r"(?<=\S)(?=[ \n\t])|(?<=[A-Za-zÀ-ÖØ-öø-ÿА-яぁ-ゖァ-ヺ一-龥가-힣ก-ฮ])(?=[。，、；：！？「」『』（）《》【】—…,.;:!?()\[\]\"<>/])")
 
 _LOADED: dict = {}
 

@@ -38,6 +38,19 @@ GOOD = "The margin desk reviews the collateral ratio each day. It sends a notice
         ("如何？", "1. col_a\n2. col_b", []),
         (None, GOOD, []),
         ("Is it so?", "Yes.", []),
+        ("如何合并质押股份明细？", "您的问题是：如何合并质押股份明细？", ["copied_question"]),
+        ("Qual è il rapporto di margine?", "Il rapporto di margine è del 130 per cento.", []),
+        ("How high is the margin ratio of account A?", "The margin ratio of account A is high.", []),
+        ("Is it the desk or the branch?", "The branch", []),
+        ("Wer prüft?", "„Der Nachtlauf prüft alle Anträge. Er meldet sie“, schrieb Fr. Harnic. Der Dienst sperrt sie.", []),
+        ("Wer prüft?", "„Der Nachtlauf prüft alle Anträge. Er meldet sie", ["truncated"]),
+        ("Wer prüft?", "Der Nachtlauf prüft alle Anträge innerhalb von zwei Arbeitstagen, z. B.", ["truncated"]),
+        ("How?", "The desk locks it once per quarter, as defined in No.", ["truncated"]),
+        ("How?", "The desk locks it once per quarter for Orbal Corp., Tand Ltd., etc.", []),
+        ("How?", "The desk does this:\n1. It locks the account.\n2.", ["truncated"]),
+        ("¿Quién revisa los contratos y cómo se archivan?", "A mesa de garantias compara os contratos vencidos e não libera as ações antes da abertura do mercado.", ["other_language"]),
+        ("Who checks the contracts and when is it done?", "Petugas memeriksa kontrak yang jatuh tempo dan tidak akan melepaskan saham sebelum pasar dibuka.", ["other_language"]),
+        ("Who checks the contracts?", "I am not in a position to say.", ["refusal"]),
     ],
 )
 def test_defects(query, answer, want):
@@ -51,7 +64,7 @@ def test_suffix_automaton_against_brute_force():
         for j in range(i + least, len(t) + 1):
             if t[i:j] in s:
                 inside |= set(range(i, j))
-    assert pairs.SuffixAutomaton(s).coverage(t, least) == len(inside)
+    assert pairs.SuffixAutomaton(s).coverage(t, least)[0] == len(inside)
 
 
 def test_pair_tables(spark):

@@ -30,6 +30,15 @@ def test_long_texts_in_parts_are_as_the_whole(monkeypatch):
         assert np.concatenate([tokens.encoder().encode_to_numpy(p) for p in tokens.parts(text, size)]).tolist() == whole
 
 
+@needs_files
+@pytest.mark.parametrize("unit", ["保证金比例由风控系统每季度复核，", "証拠金の比率は、毎日確認します。", "margin\n\n  call", "ab's,it's;x"])
+def test_long_texts_without_blanks_are_cut_too(unit):
+    text = unit * (200_000 // len(unit))
+    cuts = list(tokens.parts(text))
+    assert "".join(cuts) == text and max(map(len, cuts)) <= tokens.PART + 100
+    assert tokens.encode(text).tolist() == tokens.encoder().encode_ordinary(text)
+
+
 @needs_files
 def test_tables_of_ids(spark):
     df = spark.createDataFrame([(1, None, 5), (2, "", 5), (3, "margin", 5), (3, "margin", 5)], "doc_id bigint, text string, ids int")
