@@ -10,28 +10,54 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import regex
 from pyspark.sql import DataFrame
 
 from foliora.functions.rows import map_rows, spread
+from foliora.llm.pairs import language
 
-# Characters by their role (Unicode's Sentence_Terminal, Close and quotation classes).
-STRONG = "!?。！？।॥؟۔։።፧፨၊။።᠃᠉܀܁܂‼⁇⁈⁉︒﹒﹗？｡．꓿꘎꘏꛳꩝꩞꯫𑁇𑁈។៕៚᙮"
-SOFT = ".…"
+
+
+def _having(*properties: str) -> str:
+    """All characters with one of some Unicode properties, in order."""
+    every = "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000))))
+    return "".join(regex.findall("[" + "".join(rf"\p{{{p}}}" for p in properties) + "]", every))
+
+
+def _ranges(characters: str) -> str:
+    """The inside of a character class."""
+    out, points = [], sorted(set(map(ord, characters)))
+    for k, n in enumerate(points):
+        if k and n == points[k - 1] + 1:
+            out[-1][1] = n
+        else:
+            out.append([n, n])
+    return "".join(f"{re.escape(chr(a))}-{re.escape(chr(b))}" if a < b else re.escape(chr(a)) for a, b in out)
+
+
+#: Terminators of all scripts: those of the property, and full stops of wide and small form, of Khmer and of syllabics.
+STRONG = _having("Sentence_Break=STerm") + "．﹒៕៚᙮܀"
+SOFT = ".…․"
+#: What goes on with the sentence right behind a terminator; marks that belong to the character before them.
+CONTINUE = frozenset(_having("Sentence_Break=SContinue"))
+ATTACHED = _ranges(_having("Sentence_Break=Extend", "Sentence_Break=Format"))
 OPEN = {"“": "”", "«": "»", "‹": "›", "「": "」", "『": "』", "（": "）", "(": ")", "[": "]", "【": "】", "〔": "〕", "《": "》", "〈": "〉", "„": "“”", "‚": "‘’", "｢": "｣", "{": "}"}
-CLOSE = "”»›」』）)]】〕》〉’｣\"'"
+CLOSE = "".join(dict.fromkeys("”»›」』）)]】〕》〉’｣\"'" + _having("Pe", "Pf")))
 BRACKETS = "（([【〔《〈{"
 
-# Abbreviations that never end a sentence, and those that do before a new one begins.
-NEVER = frozenset(
-    """mr mrs ms dr prof st sen gen col capt lt rev hon vs cf e.g i.e viz p pp vol ed eds sec secs ch fig figs eq no nos approx dept art arts par al jan feb mar apr jun jul aug sept oct nov dec
-    z b u a d h bzw vgl abs nr s ca hr fr frl hrn str evtl ggf inkl zzgl max min tel abb kap bd aufl hrsg mio mrd
-    m mm mme mlle me dr pr av bd env ex fig chap sect réf tél ste éd
-    sr sra srta dra ud uds d dña pág págs núm art cap fig ee ej p. av prof
-    г гг т е п см с ст стр рис табл гл им ул д кв обл р руб коп тыс млн млрд напр проф акад г-н
-    डॉ सं श्री श्रीमती प्रो पृ रु क्र ص د أ م ج ت س أ.د""".split()
-)
+# Abbreviations that never end a sentence, by language (of the script, for others than Latin), and those that do before a new one begins.
+ABBREVIATIONS = {
+    "en": "mr mrs ms dr prof st sen gen col capt lt rev hon vs cf e.g i.e viz p pp vol ed eds sec secs ch fig figs eq no nos approx dept art arts par al jan feb mar apr jun jul aug sept oct nov dec",
+    "de": "dr prof st vs z b u a d h bzw vgl abs nr s ca hr fr frl hrn str evtl ggf inkl zzgl max min tel abb kap bd aufl hrsg mio mrd art fig p m",
+    "fr": "dr prof st vs cf p pp vol no m mm mme mlle me pr av bd env ex fig chap sect réf tél ste éd art par",
+    "es": "dr prof sr sra srta dra ud uds d dña pág págs núm art cap fig ee ej p av vs vol no etc",
+}
+SCRIPTED = frozenset("г гг т е п см с ст стр рис табл гл им ул д кв обл р руб коп тыс млн млрд напр проф акад г-н डॉ सं श्री श्रीमती प्रो पृ रु क्र ص د أ م ج ت س أ.د".split())
+BY_LANGUAGE = {k: SCRIPTED | frozenset(v.split()) - {"etc"} for k, v in ABBREVIATIONS.items()}
+#: Those of all languages, for texts whose language isn't known.
+NEVER = frozenset().union(*BY_LANGUAGE.values())
 #: These are words too, and abbreviations only before a number or in small letters.
-NUMBERED = frozenset("no max min ed me par al mar".split())
+NUMBERED = frozenset("no max min ed me par al mar art arts cap fig sec ch".split())
 MAYBE = frozenset("etc inc corp ltd co a.m p.m usw u.a uu u.s jr sr. др пр т.д т.п руб млн jh chr i.d.r ff etc. bros llc gmbh ag sa".split())
 MONTHS = frozenset("januar februar märz april mai juni juli august september oktober november dezember jan feb".split())
 STARTERS = frozenset(
@@ -40,8 +66,9 @@ STARTERS = frozenset(
 )
 THAI = r"฀-๿຀-໿ក-៿"
 MARK = re.compile(
-    rf"(?P<para>\r?\n[^\S\n]*\n\s*)|(?P<item>\n[ \t]*(?=(?:[•·*\-–]|\d{{1,3}}[.)]|[（(]\d{{1,3}}[）)])\s))|(?P<term>[{re.escape(STRONG + SOFT)}]+)|(?P<open>[{re.escape(''.join(OPEN))}])|(?P<close>[{re.escape(CLOSE)}“])|(?P<thai>(?<=[{THAI}])[ 　]+(?=[{THAI}]))"
+    rf"(?P<para>\r?\n[^\S\n]*\n\s*)|(?P<item>\n[ \t]*(?=(?:[•·*\-–]|\d{{1,3}}[.)]|[（(]\d{{1,3}}[）)])\s))|(?P<term>[{_ranges(STRONG + SOFT)}](?:[{ATTACHED}]*[{_ranges(STRONG + SOFT)}])*[{ATTACHED}]*)|(?P<open>[{re.escape(''.join(OPEN))}])|(?P<close>[{_ranges(CLOSE)}“])|(?P<thai>(?<=[{THAI}])[ 　]+(?=[{THAI}]))"
 )
+IS_ATTACHED = re.compile(f"[{ATTACHED}]+")
 PARA = re.compile(r"\r?\n[^\S\n]*\n\s*")
 WORD = re.compile(r"[^\s“”«»„‘\"'’(（\[「『。，、：；！？぀-ヿ㐀-鿿豈-﫿가-힯]+$")
 QUOTES = "“„«‹「『\"'‘(（[¿¡*_"
@@ -52,8 +79,23 @@ HAN = re.compile(r"[぀-ヿ㐀-鿿豈-﫿가-힯]")
 REPORTING = re.compile(r"\s*(?:と|って|ऐसा|說道?|说道?|道，|写道|ने कहा)")
 
 
-def _suppressed(text: str, at: int, end: int, start: int) -> bool:
-    """Whether the full stop at ``at`` belongs to an abbreviation, a number or a name."""
+class _Paragraph:
+    """The abbreviations of a paragraph's language, asked for where one may stand."""
+
+    def __init__(self, text: str, start: int, end: int):
+        self.text, self.start, self.end = text, start, end
+        self.known: frozenset | None = None
+
+    def __contains__(self, word: str) -> bool:
+        if word not in NEVER:
+            return False
+        if self.known is None:
+            self.known = BY_LANGUAGE.get(language(self.text[self.start : self.end]), NEVER)
+        return word in self.known
+
+
+def _suppressed(text: str, at: int, end: int, start: int, never: _Paragraph) -> bool:
+    """Whether the full stop at ``at`` belongs to an abbreviation (of less than 24 characters), a number or a name."""
     m = WORD.search(text, max(start, at - 24), at)
     word = m[0] if m else ""
     after = NEXT.search(text, end)
@@ -72,7 +114,7 @@ def _suppressed(text: str, at: int, end: int, start: int) -> bool:
             # "window.When": a missing space; "U.S", "e.g" and names of files are no boundaries
             return not (first.isupper() and len(last) > 1 and (len(nxt) == 1 or nxt[1:2].islower() or not nxt[1:2].isalnum()))
         if HAN.match(first) or nxt[0] in "“„«「『（":
-            return low in NEVER
+            return low in never
         return True
     if not word and HAN.match(text[at - 1 : at]):
         return False
@@ -86,7 +128,7 @@ def _suppressed(text: str, at: int, end: int, start: int) -> bool:
         return bare.rstrip(",.;:!?").lower() not in STARTERS and not re.match(r"[a-z]+[A-Z]", bare)
     if low in NUMBERED:
         return first.isdigit() or not first.isupper()
-    if low in NEVER or "." in low and last in NEVER:
+    if low in never or "." in low and last in never:
         return True
     return not new and not first.isdigit() and not nxt[0].isdigit() and first.isalpha()
 
@@ -112,6 +154,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
     pos, n = 0, len(text)
     para = PARA.search(text)
     limit = para.start() if para else n
+    never = _Paragraph(text, 0, limit)
     while m := MARK.search(text, pos):
         at, end = m.span()
         pos = end
@@ -121,6 +164,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
             begin = end
             para = PARA.search(text, end)
             limit = para.start() if para else n
+            never = _Paragraph(text, end, limit)
         elif kind == "item":
             cut(at)
         elif kind == "thai":
@@ -147,12 +191,12 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                             cut(end)
                     break
         elif kind == "term":
-            mark = m[0]
+            mark = IS_ATTACHED.sub("", m[0]) if len(m[0]) > 1 else m[0]
             if not stack:
                 after = text[end : end + 1]
                 if set(mark) <= set(SOFT):
                     if mark == ".":
-                        if _suppressed(text, at, end, begin):
+                        if _suppressed(text, at, end, begin, never):
                             continue
                     else:  # an ellipsis ends a sentence only before a capital letter or a break
                         nxt = NEXT.search(text, end)
@@ -162,7 +206,7 @@ def spans(text: str | None) -> list[tuple[int, int]]:
                     continue
                 pos = end = _closers(text, end, limit)
                 nxt = text[end : end + 1]
-                if nxt in ",，、;；" and nxt:
+                if nxt in CONTINUE:
                     continue
                 cut(end)
     cut(n)

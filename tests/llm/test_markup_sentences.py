@@ -125,3 +125,29 @@ def test_deep_long_and_hidden_markup(text, clean):
 def test_a_very_wide_cell_does_not_widen_its_column():
     got = markup.clean(f"<table><tr><td>{'w' * 5000}</td><td>a</td></tr><tr><td>n</td><td>b</td></tr></table>")[0]
     assert got.split("\n") == ["w" * 5000 + "  a", "n  b"]
+
+
+def test_every_terminator_of_unicode_ends_a_sentence():
+    import regex
+
+    every = regex.findall(r"\p{Sentence_Break=STerm}", "".join(map(chr, (*range(0xD800), *range(0xE000, 0x110000)))))
+    assert len(every) > 150
+    for c in every:
+        text = f"क ख{c} ग घ{c}"
+        assert sentences.spans(text) == [(0, 4), (5, 9)], hex(ord(c))
+
+
+@pytest.mark.parametrize(
+    "text, units",
+    [
+        ("The art. It is good.", ["The art.", "It is good."]),
+        ("It is under art. 5 and fig. 3 of the rules. Then it ends.", ["It is under art. 5 and fig. 3 of the rules.", "Then it ends."]),
+        ("We saw the desk at the rue. Then it was closed.", ["We saw the desk at the rue.", "Then it was closed."]),
+        ("Das ist bzw. Der Wert ist es und die Zahl.", ["Das ist bzw. Der Wert ist es und die Zahl."]),
+        ("This is what the hr. Then the desk is in it.", ["This is what the hr.", "Then the desk is in it."]),
+        ("Really?‍́ Yes.", ["Really?‍́", "Yes."]),
+        ("ꦲꦤꦕꦫꦏ꧉ ꦢꦠꦱꦮꦭ꧉", ["ꦲꦤꦕꦫꦏ꧉", "ꦢꦠꦱꦮꦭ꧉"]),
+    ],
+)
+def test_rules_of_languages_and_scripts(text, units):
+    assert [text[a:b] for a, b in sentences.spans(text)] == units
