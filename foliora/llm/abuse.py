@@ -38,11 +38,13 @@ idiota imbécil cabrón pendejo puta hijoputa gilipollas mierda escoria basura m
 傻逼 白痴 脑残 废物 蠢货 贱人 畜生 垃圾人 狗嘴 去死 该死 滚出去 人渣 杂种 婊子 妓女 操你 妈的 害虫 寄生虫 蟑螂 就是垃圾 都是垃圾 裸照 上床 骚样 脱光 强奸 淫荡 不配做人 打断你的腿 赶出去
 كلب حقير غبي أحمق عاهرة حيوان قذر حثالة متخلف साला कुत्ता कमीना हरामी मूर्ख गधा ไอ้โง่ ควาย เหี้ย สัตว์ อีตัว ขยะ
 """.split()
-# Words by which a text speaks about such language, or uses such words technically.
+# General words of talk about conduct and language, and of computing, where the first list's words are mentioned or technical.
 MENTION = """
-report reported policy forbids forbidden compliance harassment anti colleague messages committee process processes thread table terminal pointer core dump script rows database replica node module server brute force penetration test screening claims field birth collection
-melden zu prüfstelle prozess tabelle beendet nachrichten beleidigende processus table rechargée propos injurieux signalé comité proceso tabla recarga mensaje ofensivo comunicarse
-сообщать отдел контроля процесс таблица завершается сообщения 进程 指针 信号 线图 清理 禁止 字段 上报 合规 报告 举报 政策 规定 性别 信息 プロセス 再起動 報告 監査 表現 不適切
+policy policies rule rules forbid forbids forbidden prohibit prohibits prohibited report reports reported reporting complaint complaints compliance harassment moderation insult insulting offensive inappropriate language wording quote quoted term
+process processes thread pointer terminal server database table memory kernel module node replica script test screening medical health
+richtlinie verbietet melden meldung beschwerde beleidigung beleidigend beleidigende wortlaut prozess tabelle speicher datenbank politique interdit signaler signalé plainte injure injurieux propos processus table mémoire base
+política prohíbe denunciar denuncia queja insulto ofensivo ofensiva lenguaje proceso tabla memoria servidor политика запрещает сообщать жалоба оскорбление оскорбительный процесс таблица память сервер
+政策 规定 禁止 举报 上报 报告 投诉 合规 侮辱 措辞 进程 线程 指针 内存 数据 プロセス 禁止 規定 報告 通報 不適切 表現 メモリ
 """.split()
 _PRIOR = 3.5  #: prior weight of a word of the first list; the second has its negative half
 
@@ -126,12 +128,16 @@ MENTION_FEATURES = frozenset(f for w in MENTION for f in _as_features(w)) - STRO
 
 def _chance(k: int, n: int, p: float) -> float:
     """Probability of at least ``k`` in ``n``, each with probability ``p``."""
-    total, term = 0.0, 1.0
-    for i in range(n + 1):
-        term = math.comb(n, i) * p**i * (1 - p) ** (n - i) if n <= 60 else 0.0
-        if i >= k:
-            total += term
-    return total if n <= 60 else math.exp(-2 * n * max(0.0, k / n - p) ** 2)
+    if k <= 0 or not 0 < p < 1:
+        return 1.0 if k <= 0 or p >= 1 else 0.0
+    term = math.exp(math.lgamma(n + 1) - math.lgamma(k + 1) - math.lgamma(n - k + 1) + k * math.log(p) + (n - k) * math.log1p(-p))
+    total = term
+    for i in range(k, n):
+        term *= (n - i) / (i + 1) * p / (1 - p)
+        total += term
+        if term < total * 1e-12:
+            break
+    return min(1.0, total)
 
 
 class Model:
@@ -155,7 +161,8 @@ class Model:
             self._automaton = ahocorasick.Automaton()
             for f, w in self.weights.items():
                 if w > EVIDENCE:
-                    self._automaton.add_word(f.strip(), (len(f.strip()), f[0] == " "))
+                    one = f.split()[0]  # of a pair of words the first
+                    self._automaton.add_word(one, (len(one), f[0] == " "))
             self._automaton.make_automaton()
         if not len(self._automaton):
             return False
@@ -184,11 +191,13 @@ class Model:
         return 1 - left, bad
 
 
-def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, flat: float = 0.004) -> Model:
+def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, flat: float = 0.004, prior_words: frozenset[str] = STRONG_FEATURES) -> Model:
     """Fit on texts and the share of their labels that call them unsafe.
 
     Maximises the likelihood of noisy labels: a share of either label is taken to be wrong. Weights are
-    drawn to zero, those of the prior's words to their prior; features of a single document carry none."""
+    drawn to zero, those of ``prior_words`` (none for a model of the labels alone) to their prior. Words,
+    pairs of words and sequences can be evidence; features of a single document carry no weight."""
+    priors = dict.fromkeys(prior_words, _PRIOR) | (dict.fromkeys(MENTION_FEATURES - prior_words, -_PRIOR / 2) if prior_words else {})
     seen: dict[str, int] = {}
     docs_with: Counter = Counter()
     positive_docs: Counter = Counter()
@@ -203,17 +212,19 @@ def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, fl
     n_pos, n_all = sum(y > 0.5 for _, y in rows), len(rows)
     base = n_pos / max(1, n_all)
     # only a feature over-represented in unsafe documents can be evidence; others weigh within such sentences
-    cand = {f for f, n in positive_docs.items() if n >= 3 and "    " not in f and n > 2 * base * docs_with[f] and _chance(n, docs_with[f], base) < 0.0005} | (STRONG_FEATURES & docs_with.keys())
+    # (pairs are many, and asked for more)
+    unlikely = lambda f, n: n >= 3 and n > 2 * base * docs_with[f] and _chance(n, docs_with[f], base) < (1e-7 if "    " in f else 0.0005)
+    cand = {f for f, n in positive_docs.items() if unlikely(f, n)} | (prior_words & docs_with.keys())
     kept: list[tuple[int, np.ndarray]] = []
     for d, sents in enumerate(bags):
         for s in sents:
             if s & cand:
-                ids = [seen.setdefault(f, len(seen)) for f in s if f in cand or f in MENTION_FEATURES or docs_with[f] - positive_docs[f] >= 2]
+                ids = [seen.setdefault(f, len(seen)) for f in s if f in cand or prior_words and f in MENTION_FEATURES or docs_with[f] - positive_docs[f] >= 2]
                 kept.append((d, np.array(ids, np.int64)))
     names = list(seen)
     if not kept:
-        return Model({f: _PRIOR for f in STRONG_FEATURES} | {f: -_PRIOR / 2 for f in MENTION_FEATURES}, -1.5)
-    prior = np.array([_PRIOR if f in STRONG_FEATURES else -_PRIOR / 2 if f in MENTION_FEATURES else 0.0 for f in names])
+        return Model(dict(priors), -1.5)
+    prior = np.array([priors.get(f, 0.0) for f in names])
     # what isn't over-represented in unsafe documents can only speak against
     most = np.array([np.inf if f in cand else 0.0 for f in names])
     # words found everywhere say little against a sentence
@@ -242,33 +253,34 @@ def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, fl
         w = np.maximum(np.minimum(w + step[:-1], most), least)
         b = min(-0.5, b + step[-1])
     weights = {f: float(x) for f, x in zip(names, w) if abs(x) > 0.02}
-    weights |= {f: _PRIOR for f in STRONG_FEATURES if f not in seen} | {f: -_PRIOR / 2 for f in MENTION_FEATURES if f not in seen}
+    weights |= {f: p for f, p in priors.items() if f not in seen}
     return Model(weights, float(b))
 
 
-def train(documents: DataFrame, labels: DataFrame) -> Model:
-    """Fit on a sample of at most ``SAMPLE`` labelled documents of either label, chosen by hash of their id.
+def train(documents: DataFrame, labels: DataFrame, size: int = SAMPLE, chars: int = SAMPLE_CHARS, prior_words: frozenset[str] = STRONG_FEATURES) -> Model:
+    """Fit on a sample of at most ``size`` labelled documents of either label, chosen by hash of their id, of at most ``chars`` characters.
 
-    Null labels are left out; several labels of a document count as shares."""
+    Both bounds hold for the sample only, which the driver fits on; all texts are scored whole. Null labels are
+    left out; several labels of a document count as shares."""
     votes = labels.where("toxic is not null").groupBy("doc_id").agg(F.avg("toxic").alias("y"))
-    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= SAMPLE_CHARS))
+    texts = documents.select("doc_id", "text").where(F.col("text").isNotNull() & (F.length("text") <= chars))
     order = F.xxhash64("doc_id")
-    unsafe = votes.where("y > 0").orderBy(order, "doc_id").limit(SAMPLE)
-    safe = votes.where("y = 0").orderBy(order, "doc_id").limit(SAMPLE)
+    unsafe = votes.where("y > 0").orderBy(order, "doc_id").limit(size)
+    safe = votes.where("y = 0").orderBy(order, "doc_id").limit(size)
     sample = texts.join(F.broadcast(unsafe.unionByName(safe)), "doc_id").select("doc_id", "text", "y")
-    return fit([(r["text"], r["y"]) for r in sorted(sample.collect(), key=lambda r: r["doc_id"])])
+    return fit([(r["text"], r["y"]) for r in sorted(sample.collect(), key=lambda r: r["doc_id"])], prior_words=prior_words)
 
 
-def _scorer(documents: DataFrame, labels: DataFrame):
-    held = documents.sparkSession.sparkContext.broadcast(train(documents, labels))
+def _scorer(documents: DataFrame, labels: DataFrame, **sample):
+    held = documents.sparkSession.sparkContext.broadcast(train(documents, labels, **sample))
     return lambda text: held.value.document(text)
 
 
-def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
+def score(documents: DataFrame, labels: DataFrame, **sample) -> DataFrame:
     """Score of each document in [0, 1] with its source and offending sentences (start, end, score).
 
-    Null, empty and blank texts score 0; repeated rows are kept; labels of unknown documents are ignored."""
-    run = _scorer(documents, labels)
+    ``sample`` as in ``train``. Null, empty and blank texts score 0; repeated rows are kept; labels of unknown documents are ignored."""
+    run = _scorer(documents, labels, **sample)
 
     def rows(i, source, text):
         p, bad = run(text)
@@ -277,9 +289,9 @@ def score(documents: DataFrame, labels: DataFrame) -> DataFrame:
     return map_rows(spread(documents.select("doc_id", "source", "text")), ["doc_id", "source", "text"], rows, "doc_id bigint, source string, score double, offending array<struct<start_char:int,end_char:int,score:double>>")
 
 
-def found(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """Documents scored at ``THRESHOLD`` or above."""
-    run = _scorer(documents, labels)
+def found(documents: DataFrame, labels: DataFrame, **sample) -> DataFrame:
+    """Documents scored at ``THRESHOLD`` or above; ``sample`` as in ``train``."""
+    run = _scorer(documents, labels, **sample)
 
     def rows(i, text) -> Iterator[tuple]:
         if run(text)[0] >= THRESHOLD:

@@ -180,3 +180,27 @@ def test_abuse_tables(spark):
     assert {r["doc_id"]: r["score"] for r in abuse.score(docs, labels).collect()}[900] == 0.0
     assert sum(r["documents"] for r in abuse.rates(docs, labels).collect()) == 92
     assert abuse.found(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def test_chances_are_those_of_the_binomial_at_any_size():
+    import math
+
+    for n, k, p in ((5, 2, 0.3), (60, 10, 0.1), (61, 10, 0.1), (500, 70, 0.1), (400, 0, 0.2), (300, 300, 0.9)):
+        exact = sum(math.comb(n, i) * p**i * (1 - p) ** (n - i) for i in range(k, n + 1))
+        assert abuse._chance(k, n, p) == pytest.approx(exact, rel=1e-9)
+    assert abuse._chance(100_000, 1_000_000, 0.09) < 1e-100
+
+
+def test_two_harmless_words_can_be_evidence_together():
+    import random
+
+    rng = random.Random(5)
+    rows = []
+    for i in range(300):
+        sents = [f"The {rng.choice(['desk', 'worm', 'indexer'])} {rng.choice(['records', 'slimy', 'checks'])} the {rng.choice(['ratio', 'form', 'batch'])}." for _ in range(8)]
+        bad = i % 3 == 0
+        if bad:
+            sents.insert(rng.randrange(8), "Go slimy worm now.")
+        rows.append((" ".join(sents), float(bad)))
+    model = abuse.fit(rows, prior_words=frozenset())
+    assert model.document("The slimy desk checks the form. The worm records the ratio.")[0] < 0.5 <= model.document("The desk records it. Go slimy worm now.")[0]
