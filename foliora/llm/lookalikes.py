@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from functools import lru_cache
+from functools import lru_cache, reduce
 
 import xxhash
 from pyspark.sql import DataFrame
@@ -25,25 +25,29 @@ HYPHENS = "‐‑﹣－"
 CYRILLIC = {"А": "A", "В": "B", "Е": "E", "Ѕ": "S", "І": "I", "Ј": "J", "К": "K", "М": "M", "Н": "H", "О": "O", "Р": "P", "С": "C", "Т": "T", "Х": "X", "У": "Y", "Ү": "Y", "Ғ": "F", "Ԍ": "G", "Ԛ": "Q", "Ԝ": "W",
             "а": "a", "е": "e", "ѕ": "s", "і": "i", "ј": "j", "о": "o", "р": "p", "с": "c", "х": "x", "у": "y", "һ": "h", "ԁ": "d", "ԛ": "q", "ԝ": "w", "ӏ": "l", "ѵ": "v", "Ӏ": "I", "Ѵ": "V", "ё": "ë", "Ё": "Ë", "ї": "ï", "Ї": "Ï"}
 GREEK = {"Α": "A", "Β": "B", "Ε": "E", "Ζ": "Z", "Η": "H", "Ι": "I", "Κ": "K", "Μ": "M", "Ν": "N", "Ο": "O", "Ρ": "P", "Τ": "T", "Υ": "Y", "Χ": "X", "ο": "o", "ν": "v", "ό": "ó", "Ό": "Ó", "ϳ": "j", "Ϳ": "J", "ι": "i", "α": "a", "ρ": "p", "υ": "u", "ϲ": "c", "Ϲ": "C"}
-OTHERS = {"օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ո": "n", "Տ": "S", "Լ": "L", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ǀ": "l", "ℓ": "l", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮇ": "M", "Ꮲ": "P", "Ꭲ": "T", "Ꮃ": "W", "Ꮓ": "Z"}
+# Letters of Cherokee, Lisu, Coptic, Carian, Lycian, Deseret and small capitals, and the Latin letters they look like.
+SCRIPTS = "ᎠᎡᏀᏂᏏᏒᏔᏕᏙᏚᏞᏳ" "ꓐꓑꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ" "ⲂⲎⲒⲔⲘⲚⲞⲢⲤⲦⲨⲬⲟⲣⲥ" "𐊠𐊡𐊢𐊥𐊫𐊱𐊲𐊇𐊗𐐄𐐬" "ᴄᴏꜱᴜᴠᴡᴢ"
+LATIN = "DRGhbRWSVSLG" "BPDTGKJCZFMNLSRVHWXYAEIOU" "BHIKMNOPCTYXopc" "ABCFOXFFTOo" "cosuvwz"
+OTHERS = dict(zip(SCRIPTS, LATIN)) | {"օ": "o", "Օ": "O", "ս": "u", "հ": "h", "ո": "n", "Տ": "S", "Լ": "L", "ց": "g", "ɑ": "a", "ɡ": "g", "ı": "i", "ɩ": "i", "ǀ": "l", "ℓ": "l", "Ꭺ": "A", "Ᏼ": "B", "Ꮯ": "C", "Ꭼ": "E", "Ꮋ": "H", "Ꭻ": "J", "Ꮶ": "K", "Ꮇ": "M", "Ꮲ": "P", "Ꭲ": "T", "Ꮃ": "W", "Ꮓ": "Z"}
 #: Compatibility decompositions that don't show: widths, ligatures, radicals, presentation forms, mathematical letters.
 UNSEEN = ("<wide>", "<narrow>", "<font>", "<initial>", "<medial>", "<final>", "<isolated>", "<noBreak>", "<vertical>")
+#: Of these styles a reader sees the difference.
+STYLED = ("DOUBLE-STRUCK", "FRAKTUR", "BLACK-LETTER", "SCRIPT")
 BLANK = re.compile(r"[\s" + INVISIBLE + r"]*\Z")
 
 
 def _single(c: str) -> str | None:
-    """What a character becomes in the canonical form, or None if it stays as it is."""
+    """What a character becomes in the canonical form whatever stands around it, or None if it stays as it is."""
     if c in INVISIBLE:
         return ""
     if c in SPACES:
         return " "
     if c in HYPHENS:
         return "-"
-    for table in (CYRILLIC, GREEK, OTHERS):
-        if c in table:
-            return table[c]
     n = ord(c)
     tag, _, _ = unicodedata.decomposition(c).partition(" ")
+    if tag == "<font>" and any(w in unicodedata.name(c) for w in STYLED):
+        return None
     if tag in UNSEEN and not (0xFF00 <= n <= 0xFF60 and unicodedata.category(c)[0] not in "LN"):
         return unicodedata.normalize("NFKC", c)
     if tag == "<compat>" and (0x2E80 <= n <= 0x2FDF or 0xFB00 <= n <= 0xFB06 or 0xFB13 <= n <= 0xFB17 or 0x2160 <= n <= 0x217F or 0xFE00 <= n <= 0xFEFF):
@@ -56,7 +60,7 @@ def _tables() -> tuple[re.Pattern, dict[int, str]]:
     """Pattern of unstable segments and the map of single characters, from the properties above."""
     table: dict[int, str] = {}
     marks: list[int] = []
-    for n in [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20), *range(0x1E00, 0x2000)]:
+    for n in [*range(0x80, 0x3400), *range(0xA000, 0xAC00), *range(0xF900, 0x10000), *range(0x1D400, 0x1D800), *range(0x2F800, 0x2FA20)]:
         c = chr(n)
         if 0xD800 <= n < 0xE000:
             continue
@@ -83,21 +87,74 @@ def _tables() -> tuple[re.Pattern, dict[int, str]]:
     return re.compile(f"[\\s\\S]?[{single}]*(?:[{mark}]+[{single}]*)+|[{single}]+"), table
 
 
-def canonical(text: str) -> str:
-    """The consistent form of a text; idempotent."""
-    if text.isascii():
-        return text.replace("\t", " ") if "\t" in text else text
+def _normal(text: str) -> str:
+    """The text in normal form: its unstable segments normalised and spliced back."""
     pattern, table = _tables()
+    return pattern.sub(lambda m: unicodedata.normalize("NFC", m[0].translate(table)), text).replace("\t", " ")
+
 
-    def segment(m: re.Match) -> str:
-        return unicodedata.normalize("NFC", m[0].translate(table))
+ALIKE = CYRILLIC | GREEK | OTHERS
+TO_LATIN = str.maketrans(ALIKE)
+FROM_LATIN = {"cyrillic": str.maketrans({v: k for k, v in reversed(CYRILLIC.items())}), "greek": str.maketrans({v: k for k, v in reversed(GREEK.items())})}
+TWINS = frozenset(ALIKE)
+SUSPECT = re.compile("[Ͱ-Ͽἀ-῿Ѐ-ԯ" + "".join(sorted(TWINS)) + "]")
+WORD = re.compile(r"[^\W\d_]+")
+SCRIPT = re.compile("(?P<latin>[A-Za-zÀ-ÖØ-öø-ɏ])|(?P<greek>[Ͱ-Ͽἀ-῿])|(?P<cyrillic>[Ѐ-ԯ])")
+OWN = {"latin": re.compile(r"[A-Za-zÀ-ÖØ-öø-ɏ]"), "greek": re.compile("[Ͱ-Ͽἀ-῿]"), "cyrillic": re.compile("[Ѐ-ԯ]")}
 
-    return pattern.sub(segment, text).replace("\t", " ")
+
+def _anchors(word: str) -> set[str]:
+    """Scripts of which a word has letters that look like no letter of another script."""
+    return {m.lastgroup for m in SCRIPT.finditer(word) if m[0] not in TWINS and not (m.lastgroup == "latin" and any(ord(m[0]) in t for t in FROM_LATIN.values()))}
+
+
+def canonical(text: str) -> str:
+    """The consistent form of a text, to be read on; idempotent.
+
+    Beyond the normal form, look-alike letters come out in the script of their word: that of its letters which
+    look like none of another script. A word without such letters takes the script of most words that have
+    some, if it isn't in one script already that the text has words of, and else Latin. A Russian or Greek
+    word so stays what it is; texts are compared by ``comparison_form``."""
+    if text.isascii():
+        return text.replace("\t", " ") if "\t" in text else text
+    s = _normal(text)
+    if not SUSPECT.search(s):
+        return s
+    words = [(m.span(), m[0], _anchors(m[0])) for m in WORD.finditer(s)]
+    votes: dict[str, int] = {}
+    for _, _, of in words:
+        if len(of) == 1:
+            votes[next(iter(of))] = votes.get(next(iter(of)), 0) + 1
+    most = max(sorted(votes), key=votes.get) if votes else "latin"
+    out, at = [], 0
+    for (a, b), w, of in words:
+        if not SUSPECT.search(w):
+            continue
+        if len(of) == 1:
+            script = next(iter(of))
+        elif of:
+            continue  # letters of several scripts that all belong there
+        else:
+            own = {m.lastgroup for m in SCRIPT.finditer(w)}
+            script = next(iter(own)) if len(own) == 1 and next(iter(own)) in votes else most
+        if script == "latin":
+            fixed = w.translate(TO_LATIN)
+        else:
+            fixed = "".join(c if OWN[script].match(c) else c.translate(TO_LATIN).translate(FROM_LATIN[script]) for c in w)
+        out += [s[at:a], fixed]
+        at = b
+    return unicodedata.normalize("NFC", "".join(out) + s[at:])
+
+
+def skeleton(text: str) -> str:
+    """The normal form with all look-alike letters as Latin ones: equal for texts that look the same, not to be read."""
+    s = text.replace("\t", " ") if text.isascii() else _normal(text)
+    return unicodedata.normalize("NFC", unicodedata.normalize("NFD", s).translate(TO_LATIN)) if SUSPECT.search(s) else s
 
 
 def comparison_form(text: str) -> str:
-    """The canonical form without space that can't be seen: at the ends, at line ends and repeated."""
-    return re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", canonical(text).replace("\r\n", "\n"))).strip()
+    """The skeleton without space that can't be seen: at the ends, at line ends and repeated."""
+    return re.sub(r" *\n *", "\n", re.sub(r" {2,}", " ", skeleton(text).replace("\r\n", "\n"))).strip()
 
 
 def is_blank(text: str | None) -> bool:
@@ -105,16 +162,16 @@ def is_blank(text: str | None) -> bool:
 
 
 def normalize(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per input row: key, canonical text, and whether it differs from the input.
+    """One row per input row: key, canonical text, whether it differs from the input, and the form to compare by.
 
-    Null gives null and false; empty and blank texts stay; only ``key`` and ``text`` are read."""
+    Null gives nulls and false; empty and blank texts stay; only ``key`` and ``text`` are read."""
     kind = df.schema[key].dataType.simpleString()
 
     def rows(k, t):
         c = None if t is None else canonical(t)
-        yield k, c, c != t
+        yield k, c, c != t, None if t is None else comparison_form(t)
 
-    return map_rows(spread(df.select(key, text)), [key, text], rows, f"`{key}` {kind}, canonical string, changed boolean")
+    return map_rows(spread(df.select(key, text)), [key, text], rows, f"`{key}` {kind}, canonical string, changed boolean, compared string")
 
 
 def _hash(s: str) -> bytes:
@@ -131,6 +188,17 @@ def classes(df: DataFrame, kind: str, key: str, text: str) -> DataFrame:
     return map_rows(spread(df.select(key, text)), [key, text], rows, "kind string, item string, form binary, raw binary")
 
 
+def grouped(*members: DataFrame) -> DataFrame:
+    """One row per item of ``classes``: kind, item, the least item that looks the same (its class), the least one that is
+    also spelt the same (the representative of its spelling), and the number of spellings and items of the class.
+
+    Linear in the items however many look the same; pairs of representatives of a class are all the links there are."""
+    rows = cut(reduce(DataFrame.unionByName, members).groupBy("kind", "form", "item").agg(F.min("raw").alias("raw")))
+    spelt = rows.groupBy("kind", "form", "raw").agg(F.min("item").alias("representative"), F.count("*").alias("n"))
+    seen = spelt.groupBy("kind", "form").agg(F.min("representative").alias("class"), F.count("*").alias("spellings"), F.sum("n").alias("items"))
+    return rows.join(spelt.drop("n"), ["kind", "form", "raw"]).join(seen, ["kind", "form"]).select("kind", "item", "class", "representative", "spellings", "items")
+
+
 def found(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """Pairs of different keys whose texts look the same and differ in their characters.
 

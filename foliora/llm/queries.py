@@ -31,7 +31,7 @@ def _forms(cases: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every query and chunk in its consistent form."""
     a = lookalikes.normalize(cases.select("id", "query").distinct(), "id", "query")
     b = lookalikes.normalize(chunks.select("chunk_id", "content").distinct(), "chunk_id", "content")
-    return a.select(F.lit("eval_case").alias("kind"), F.col("id").alias("item"), "canonical", "changed").unionByName(b.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item"), "canonical", "changed"))
+    return a.select(F.lit("eval_case").alias("kind"), F.col("id").alias("item"), "canonical", "changed", "compared").unionByName(b.select(F.lit("chunk").alias("kind"), F.col("chunk_id").alias("item"), "canonical", "changed", "compared"))
 
 
 def _ranked(results: DataFrame) -> DataFrame:
@@ -50,6 +50,7 @@ QUERIES: dict[str, Query] = {
     "p5_found": _on(lambda r: ranks.first(r, "query_id", "id", ranks.SEARCH_SCORES), "search_results"),
     "p5_ranking": _on(_ranked, "search_results"),
     "p6_found": _on(lookalikes.found, "eval_cases", "chunks"),
+    "p6_classes": _on(lambda q, c: lookalikes.grouped(lookalikes.classes(q, "eval_case", "id", "query"), lookalikes.classes(c, "chunk", "chunk_id", "content")), "eval_cases", "chunks"),
     "p6_forms": _on(_forms, "eval_cases", "chunks"),
     "p7_found": _on(split.found, "documents", "chunks", "chunk_limits"),
     "p7_pieces": _on(split.all_pieces, "documents", "chunks", "chunk_limits"),

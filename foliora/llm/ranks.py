@@ -52,6 +52,21 @@ def _large(df: DataFrame, names: list[str]) -> DataFrame:
     return out
 
 
+def _large_groups(rows: DataFrame) -> list:
+    """Groups (``_g``) of more than ``LARGE_GROUP`` items (``_i``), at most one in so many rows.
+
+    Found before the plan is made: rows are counted by group, within each task first; only where a group has
+    so many rows are its distinct items counted."""
+    over = lambda df: [r["_g"] for r in df.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_GROUP).select("_g").collect()]
+    rows = rows.select("_g", "_i").where("_i is not null")
+    return over(rows.where(_among(F.col("_g"), full)).distinct()) if (full := over(rows)) else []
+
+
+def _among(group: Column, some: list) -> Column:
+    """Whether a group is one of ``some``; null is a group too."""
+    return F.coalesce(group.isin([g for g in some if g is not None]), F.lit(False)) | (group.isNull() & F.lit(None in some))
+
+
 def weighted_median(values: list[Column], weights: list[float]) -> Column:
     """The least value at which the weights of all values up to it reach half of the total."""
     half = sum(weights) / 2
@@ -70,14 +85,13 @@ def fuse(df: DataFrame, group: str, item: str, scores: Mapping[str, str], weight
     names = [f"_l{i}" for i in range(len(scores))]
     losses = df.select(F.col(f"`{group}`").alias("_g"), F.col(f"`{item}`").alias("_i"), *(_loss(n, o).alias(k) for k, (n, o) in zip(names, scores.items()))).where("_i is not null")
     items = losses.groupBy("_g", "_i").agg(*(F.min(k).alias(k) for k in names))
-    large = losses.groupBy("_g").agg(F.count("*").alias("n")).where(F.col("n") > LARGE_GROUP).select("_g")
-    if large.isEmpty():
+    large = _large_groups(losses)
+    if not large:
         ranked = _small(items, names)
     else:
-        apart = F.col("a._g").eqNullSafe(F.col("b._g"))
-        a, b = items.alias("a"), large.alias("b")
-        hot = a.join(b, apart, "left_semi").withColumn("_g", F.struct("_g"))
-        ranked = _small(a.join(b, apart, "left_anti").withColumn("_g", F.struct("_g")), names).unionByName(_large(hot, names)).withColumn("_g", F.col("_g")["_g"])
+        hot = _among(F.col("_g"), large)
+        apart = lambda d: d.withColumn("_g", F.struct("_g"))  # a null group is equal to itself
+        ranked = _small(apart(items.where(~hot)), names).unionByName(_large(apart(items.where(hot)), names)).withColumn("_g", F.col("_g")["_g"])
     w = [float((weights or {}).get(n, 1.0)) for n in scores]
     columns = [F.col(f"{k}_r") for k in names]
     mean = sum((c * x for c, x in zip(columns, w)), F.lit(0.0)) / sum(w)
@@ -86,8 +100,22 @@ def fuse(df: DataFrame, group: str, item: str, scores: Mapping[str, str], weight
 
 def ranking(df: DataFrame, group: str, item: str, scores: Mapping[str, str], weights: Mapping[str, float] | None = None) -> DataFrame:
     """``fuse`` with the place of each item in its group: by median rank, mean rank, identifier."""
+    fused = fuse(df, group, item, scores, weights)
+    names = [group, item, "median_rank", "mean_rank"]
+    large = _large_groups(df.select(F.col(f"`{group}`").alias("_g"), F.col(f"`{item}`").alias("_i")))
     order = W.partitionBy(group).orderBy("median_rank", "mean_rank", item)
-    return fuse(df, group, item, scores, weights).withColumn("place", F.row_number().over(order))
+    if not large:
+        return fused.withColumn("place", F.row_number().over(order))
+    # places in a large group: within slices of its median ranks, shifted by the sizes of the slices before
+    hot = _among(F.col(f"`{group}`"), large)
+    small, rows = fused.where(~hot).withColumn("place", F.row_number().over(order)), fused.where(hot).withColumn("_g", F.struct(F.col(f"`{group}`").alias("_g")))
+    counts = rows.groupBy("_g", "median_rank").agg(F.count("*").alias("n"))
+    bounds = rows.groupBy("_g").agg(F.percentile_approx("median_rank", [i / SLICES for i in range(1, SLICES)], 10_000).alias("b"))
+    sliced = lambda d: d.join(bounds, "_g").withColumn("_s", F.size(F.filter("b", lambda x: x < F.col("median_rank")))).drop("b")
+    before = sliced(counts).groupBy("_g", "_s").agg(F.sum("n").alias("m")).withColumn("_m", F.coalesce(F.sum("m").over(W.partitionBy("_g").orderBy("_s").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("m")
+    within = W.partitionBy("_g", "_s").orderBy("median_rank", "mean_rank", item)
+    placed = sliced(rows).withColumn("_r", F.row_number().over(within)).join(before, ["_g", "_s"]).withColumn("place", F.col("_r") + F.col("_m"))
+    return small.unionByName(placed.select(*names, "place"))
 
 
 def first(df: DataFrame, group: str, item: str, scores: Mapping[str, str], weights: Mapping[str, float] | None = None) -> DataFrame:

@@ -13,9 +13,11 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliora.errors import ConfigurationError
 from foliora.functions.rows import map_rows
 
 WINDOW = 16  #: letters and digits under the rolling hash
+MOST_LIMITS = 10_000  #: rows that a table of limits may have
 LEAST = 0.4  #: least size of a piece's new part, as a share of the greatest
 # Natural boundaries with their rank, the end of the match being the place to cut.
 BOUNDARIES = [
@@ -120,7 +122,10 @@ def split(df: DataFrame, key: str, text: str, max_size: str = "max_size", overla
 def limited(df: DataFrame, limits: DataFrame, item_table: str) -> DataFrame:
     """Rows of ``df`` with their limit: that of their file type, or else the table's row for all types; rows without either are left out.
 
-    ``limits`` has a row for each table and file type, a handful whatever the size of the data."""
+    ``limits`` has a row for each table and file type, a handful whatever the size of the data; its size is checked
+    before it is broadcast."""
+    if limits.limit(MOST_LIMITS + 1).count() > MOST_LIMITS:
+        raise ConfigurationError(f"more than {MOST_LIMITS} rows of limits")
     mine = limits.where(F.col("item_table") == item_table).select("file_type", "max_size", "overlap_size").dropDuplicates(["file_type"])
 
     def by(name: str) -> DataFrame:

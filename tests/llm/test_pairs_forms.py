@@ -74,8 +74,8 @@ def test_pair_tables(spark):
     assert {r["defect"]: (r["pairs"], r["with_fallback_reason"]) for r in pairs.report(df).collect()} == {"empty": (1, 0), "none": (1, 1)}
 
 
-SAME = [("RX-0001", "RХ-0001"), ("ratio", "rаtiо"), ("ＫＢ１", "KB1"), ("a b", "a\u00a0b"), ("é", "e\u0301"), ("fi", "ﬁ"), ("口", "⼝"), ("re-only", "re‑only"), ("de\u200bsk", "desk"), ("が", "か\u3099"), ("理", "\uf9e4"), ("so\u00adft", "soft")]
-OTHER = [("a", "A"), ("e", "é"), ("1", "2"), ("0", "⁰"), ("1", "①"), ("a", "a."), ("（", "("), ("l", "1")]
+SAME = [("RX-0001", "RХ-0001"), ("ratio", "rаtiо"), ("ＫＢ１", "KB1"), ("a b", "a\u00a0b"), ("é", "e\u0301"), ("fi", "ﬁ"), ("口", "⼝"), ("re-only", "re‑only"), ("de\u200bsk", "desk"), ("が", "か\u3099"), ("理", "\uf9e4"), ("so\u00adft", "soft"), ("ä", "\u04d3"), ("S", "\ua4e2"), ("A", "\ua4ee"), ("v", "\u1d20"), ("o", "\u2c9f"), ("A", "\U000102a0")]
+OTHER = [("a", "A"), ("e", "é"), ("1", "2"), ("0", "⁰"), ("1", "①"), ("a", "a."), ("（", "("), ("l", "1"), ("R", "ℝ"), ("A", "𝔄")]
 
 
 @pytest.mark.parametrize("a, b", SAME)
@@ -95,6 +95,25 @@ def test_canonical_is_idempotent_and_leaves_stable_text_alone():
     assert lookalikes.canonical("Größe 文本。हिन्दी") == "Größe 文本。हिन्दी"
 
 
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Москва", "Москва"), ("Αθήνα", "Αθήνα"), ("M\u006fcквa", "Москва"), ("\u0430pple", "apple"), ("marg\u0456n \u0441all", "margin call"), ("Ответ: да, \u0441\u043e\u0440", "Ответ: да, \u0441\u043e\u0440"),
+        ("ratio \u0420\u0425 1", "ratio PX 1"), ("коэффициент PX", "коэффициент PX"), ("ℝ", "ℝ"), ("ＫＢ", "KB"),
+    ],
+)
+def test_words_come_out_in_their_own_script(text, want):
+    assert lookalikes.canonical(text) == want == lookalikes.canonical(want)
+
+
+def test_classes_without_pairs(spark):
+    texts = ["RX 1", "R\u0425 1", "RX 1", "rx 1", None, " ", "ab", "\u0430b"]
+    df = spark.createDataFrame([(f"c{i}", t, 1) for i, t in enumerate(texts)] + [("c0", "RX 1", 1)], "id string, query string, item int")
+    got = {r["item"]: tuple(r)[2:] for r in lookalikes.grouped(lookalikes.classes(df, "eval_case", "id", "query")).collect()}
+    assert got == {"c0": ("c0", "c0", 2, 3), "c1": ("c0", "c1", 2, 3), "c2": ("c0", "c0", 2, 3), "c3": ("c3", "c3", 1, 1), "c6": ("c6", "c6", 2, 2), "c7": ("c6", "c7", 2, 2)}
+    assert lookalikes.grouped(lookalikes.classes(df.limit(0), "eval_case", "id", "query")).count() == 0
+
+
 def test_pairs_of_forms_against_brute_force(spark):
     texts = ["RX 1", "RХ 1", "RX\u00a01", "RX 1", "rx 1", None, "", " ", "ab", "а b", "a b"]
     cases = spark.createDataFrame([(f"c{i:02d}", t, 1) for i, t in enumerate(texts)] + [("c01", "RХ 1", 1)], "id string, query string, form int")
