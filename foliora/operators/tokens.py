@@ -110,19 +110,19 @@ def query_tokens(q: Column) -> Column:
     """Tokens of a query before classification."""
     base = distinct_nonempty(F.concat(special_tokens(q), F.transform(_all(q, "[A-Za-z0-9]+"), F.lower), known_terms(q)))
     more = F.filter(tokenize(q), lambda t: ~is_ignored(t))
-    return F.when(F.exists(base, is_required), base).otherwise(F.array_distinct(F.concat(base, more)))
+    return let(base, lambda b: F.when(F.exists(b, is_required), b).otherwise(F.array_distinct(F.concat(b, more))))
 
 
 def analyze(queries: DataFrame, query: str = "query") -> DataFrame:
     """Adds ``required``, ``optional`` and ``ignored`` token arrays; all empty for a null query."""
-    t = F.col("_tokens")
-    return (
-        queries.withColumn("_tokens", query_tokens(F.coalesce(F.col(query), F.lit(""))))
-        .withColumn("required", F.filter(t, is_required))
-        .withColumn("optional", F.filter(t, lambda x: ~is_required(x) & ~is_ignored(x)))
-        .withColumn("ignored", F.filter(t, lambda x: ~is_required(x) & is_ignored(x)))
-        .drop("_tokens")
-    )
+
+    def classes(ts: Column) -> Column:
+        return F.struct(
+            F.filter(ts, is_required).alias("required"), F.filter(ts, lambda x: ~is_required(x) & ~is_ignored(x)).alias("optional"), F.filter(ts, lambda x: ~is_required(x) & is_ignored(x)).alias("ignored")
+        )
+
+    made = let(query_tokens(F.coalesce(F.col(query), F.lit(""))), classes)
+    return queries.select("*", F.inline_outer(F.array(made))) if not {"required", "optional", "ignored"} & set(queries.columns) else analyze(queries.drop("required", "optional", "ignored"), query)
 
 
 def matched(tokens: Column, content_tokens: Column) -> Column:
