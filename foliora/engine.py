@@ -18,8 +18,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliora.errors import JobError, RegistryError
-from foliora.operators import answer, catalog, chunking, evaluate, hybrid, keyword, vector
+from foliora.errors import ConfigurationError, DocumentError, JobError, RegistryError
+from foliora.functions.lineage import cut
+from foliora.functions.text import has_content
+from foliora.operators import answer, catalog, chunking, evaluate, hybrid, keyword, tokens, vector
 from foliora.providers import ExtractiveChat, HashingEmbedder
 from foliora.settings import Settings
 from foliora.sources import loaders
@@ -31,7 +33,9 @@ TABLES = {
     "registry": [("file_id", S), ("collection_id", S), ("index_status", S), ("indexed_chunk_count", I), ("indexed_at", TS), ("last_error", S), ("recorded_at", TS)],
     "jobs": [("job_id", S), ("job_type", S), ("file_id", S), ("collection_id", S), ("status", S), ("error", S), ("created_at", TS), ("ended_at", TS)],
 }
-CHUNK = "chunk_id string, content string, source string, file_id string, collection_id string, chunk_index int, chunk_count int, start_char int, end_char int, page_start int, page_end int, hard_break_key string, semantic_score double"
+CHUNK = "chunk_id string, content string, source string, file_id string, collection_id string, chunk_index int, chunk_count int, start_char int, end_char int, page_start int, page_end int, hard_break_key string, semantic_score double, doc_len int"
+
+RULES = "Answer from the context only, briefly, and name no source that isn't in it. If the context doesn't hold the answer, say that it can't be determined from the knowledge base."
 
 
 def _now() -> datetime:
@@ -39,8 +43,9 @@ def _now() -> datetime:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, settings: Settings | None = None, embed: Callable | None = None, chat: Callable | None = None):
+    def __init__(self, spark: SparkSession, settings: Settings | None = None, embed: Callable | None = None, chat: Callable | None = None, vision: Callable | None = None, render: Callable | None = None):
         self.spark, self.settings = spark, settings or Settings()
+        self.vision, self.render = vision, render  # a model that reads images, and what makes the images of a PDF's pages
         self.embed = embed or HashingEmbedder(self.settings.embedding_size)
         self.chat = chat or ExtractiveChat()
         self.root = Path(self.settings.root)
@@ -159,18 +164,36 @@ class Engine:
     def chunk(self, documents: DataFrame) -> DataFrame:
         """Chunks of loaded documents (file_id, source, file_type, content, and for pages page_doc_id and page_number)."""
         s = self.settings
+        how = {"size": s.chunk_size, "least": s.chunk_min_chars, "threshold": s.breakpoint_threshold, "max_units": s.max_units, "embed": self.embed}
         if "page_number" in documents.columns:
-            c = chunking.page_chunks(documents, size=s.chunk_size, least=s.chunk_min_chars, threshold=s.breakpoint_threshold, max_units=s.max_units)
+            c = chunking.page_chunks(documents, page_merge=s.page_merge_min_score, **how)
             return c.select("source", "content", "chunk_index", "chunk_count", "start_char", "end_char", "page_start", "page_end", "hard_break_key", "semantic_score")
         none = F.lit(None).cast("int")
         if chunking.strategy(s.chunk_strategy) == "character":
             c = chunking.character_chunks(documents, "source", "content", s.chunk_size, s.chunk_overlap).withColumn("chunk_count", none).withColumn("hard_break_key", F.lit(None).cast("string")).withColumn("semantic_score", F.lit(None).cast("double"))
         else:
-            c = chunking.semantic_chunks(documents, "source", "content", size=s.chunk_size, least=s.chunk_min_chars, threshold=s.breakpoint_threshold, max_units=s.max_units)
+            c = chunking.semantic_chunks(documents, "source", "content", **how)
         return c.select("source", "content", "chunk_index", "chunk_count", "start_char", "end_char", none.alias("page_start"), none.alias("page_end"), "hard_break_key", "semantic_score")
 
+    def _load(self, file: dict, reader: Callable | None) -> DataFrame:
+        """A file's documents, or pages: text as it is, pages by their text or image as the load strategy says, images by the vision model."""
+        path, kind = file["storage_path"], file["file_type"]
+        source = F.lit(f"{file['file_id']}/{file['original_name']}")
+        if kind == loaders.PDF:
+            pages = loaders.read_pages(self.spark, path, reader, self.settings.load_strategy, self.render, self.vision)
+            return pages.withColumn("file_type", F.lit(loaders.PDF)).withColumn("source", source).withColumn("page_doc_id", F.concat_ws(":page:", "source", F.format_string("%04d", "page_number")))
+        if kind in loaders.IMAGES:
+            if self.vision is None:
+                raise DocumentError(f"An image needs a vision model: {file['original_name']}")
+            return loaders.read_images(self.spark, path, self.vision).withColumn("source", source)
+        if kind not in loaders.TEXT:
+            raise DocumentError(f"Unsupported file type: {kind}")
+        return loaders.read_texts(self.spark, path).withColumn("source", source)
+
     def ingest(self, file_id: str, collection_id: str, reader: Callable | None = None) -> dict:
-        """Load, chunk and index a file in a collection; the entry ends as indexed or failed."""
+        """Load, chunk and index a file in a collection; the entry ends as indexed or failed.
+
+        Returns the entry with the numbers of loaded and skipped documents (or pages) and why they were skipped."""
         file = self.get_file(file_id)
         self.get_collection(collection_id)
         old = self._one("registry", file_id=file_id, collection_id=collection_id)
@@ -179,26 +202,24 @@ class Engine:
         self._register(file_id, collection_id, catalog.INDEXING)
         place = self._index(collection_id, file_id)
         try:
-            source = f"{file_id}/{file['original_name']}"
-            path = file["storage_path"]
-            if file["file_type"] == loaders.PDF:
-                docs = loaders.read_pages(self.spark, path, reader).withColumn("file_type", F.lit(loaders.PDF)).withColumn("source", F.lit(source)).withColumn("page_doc_id", F.concat_ws(":page:", "source", F.format_string("%04d", "page_number")))
-            else:
-                docs = loaders.read_texts(self.spark, path).withColumn("source", F.lit(source))
+            docs = cut(self._load(file, reader))
+            name = F.concat_ws(", page ", "source", "page_number") if "page_number" in docs.columns else F.col("source")
+            skipped = docs.where(~has_content(F.col("content"))).select(F.concat(F.lit("empty document: "), name).alias("m"))
             made = self.chunk(loaders.loaded(docs, "content"))
             chunk_id = F.format_string("%s:%s:chunk:%04d", F.lit(collection_id), F.lit(file_id), "chunk_index")
-            full = made.withColumn("chunk_id", chunk_id).withColumn("file_id", F.lit(file_id)).withColumn("collection_id", F.lit(collection_id))
+            full = made.withColumn("chunk_id", chunk_id).withColumn("file_id", F.lit(file_id)).withColumn("collection_id", F.lit(collection_id)).withColumn("doc_len", tokens.term_count(F.col("content")))
             shutil.rmtree(place, ignore_errors=True)
             full.write.mode("overwrite").parquet(str(place / "chunks"))
             stored = self.spark.read.parquet(str(place / "chunks"))
-            keyword.postings(stored).write.mode("overwrite").parquet(str(place / "postings"))
+            keyword.write_postings(stored, str(place / "postings"))
             vector.embed(stored, "chunk_id", "content", self.embed).write.mode("overwrite").parquet(str(place / "vectors"))
-            n = stored.count()
+            n, loaded, empty = stored.count(), docs.count(), skipped.count()
+            report = {"loaded": loaded - empty, "skipped": empty, "messages": [r["m"] for r in skipped.orderBy("m").limit(100).collect()]}
         except Exception as e:
             shutil.rmtree(place, ignore_errors=True)
             self._register(file_id, collection_id, catalog.FAILED, error=str(e)[:500])
             raise
-        return self._register(file_id, collection_id, catalog.INDEXED, n)
+        return {**self._register(file_id, collection_id, catalog.INDEXED, n), **report}
 
     def de_ingest(self, file_id: str, collection_id: str) -> dict:
         """Take a file out of a collection's indexes."""
@@ -251,16 +272,27 @@ class Engine:
         c = self._part(collection_id, "chunks")
         return c if c is not None else self.spark.createDataFrame([], CHUNK)
 
+    def _asked(self, top_k: int | None, strategy: str | None) -> tuple[int, str]:
+        k = self.settings.top_k if top_k is None else top_k
+        how = (strategy or self.settings.retrieval_strategy).strip().lower()
+        if k <= 0:
+            raise ConfigurationError("top_k must be above 0")
+        if how not in ("vector", "keyword", "hybrid"):
+            raise ConfigurationError(f"Unknown retrieval strategy: {strategy}")
+        return k, how
+
     def search_many(self, queries: DataFrame, collection_id: str, top_k: int | None = None, strategy: str | None = None) -> DataFrame:
         """Results of every query (query_id, query) in one plan: rank, id, score, both branches' evidence, content and source."""
-        k = top_k or self.settings.top_k
-        how = strategy or self.settings.retrieval_strategy
+        k, how = self._asked(top_k, strategy)
         fetch = k * self.settings.candidate_multiplier if how == "hybrid" else k
         chunks = self.chunks(collection_id)
         q = queries.select(F.col("query_id").cast("string"), "query").withColumn("collection_id", F.lit(collection_id)).withColumn("top_k", F.lit(fetch))
         kw = vec = None
         if how in ("keyword", "hybrid"):
-            kw = keyword.search(q, chunks).select("query_id", F.col("chunk_id").alias("id"), "keyword_score", "raw_bm25", "keyword_rank", "bm25_rank", "matched_tokens")
+            q = keyword.analysed(q)
+            stored = self._part(collection_id, "postings")
+            index = None if stored is None else keyword.stored_index(stored, chunks.select("collection_id", "chunk_id", "doc_len"), q)
+            kw = keyword.search(q, chunks, index=index).select("query_id", F.col("chunk_id").alias("id"), "keyword_score", "raw_bm25", "keyword_rank", "bm25_rank", "matched_tokens")
         if how in ("vector", "hybrid"):
             vectors = self._part(collection_id, "vectors")
             vec = self._vector(q, vectors, fetch)
@@ -286,6 +318,16 @@ class Engine:
         public = ("id", "content", "score", "source", "file_id", "collection_id", "page_start", "page_end")
         return [{k: v for k, v in r.asDict().items() if debug or k in public} for r in rows]
 
+    def debug_search(self, query: str, collection_id: str, top_k: int | None = None, strategy: str | None = None) -> dict:
+        """One query with what led to its results: weights, how many candidates were fetched, and those of either branch in their order."""
+        k, how = self._asked(top_k, strategy)
+        fetch = k * self.settings.candidate_multiplier if how == "hybrid" else k
+        branch = {b: self.search(query, collection_id, fetch, b, debug=True) if how in (b, "hybrid") else [] for b in ("vector", "keyword")}
+        return {
+            "query": query, "collection_id": collection_id, "strategy": how, "top_k": k, "candidate_k": fetch, "vector_weight": self.settings.vector_weight, "keyword_weight": 1.0 - self.settings.vector_weight,
+            "vector_candidates": branch["vector"], "keyword_candidates": branch["keyword"], "results": self.search(query, collection_id, k, how, debug=True),
+        }
+
     # --- answers -------------------------------------------------------------------------------
 
     def ask(self, query: str, collection_id: str, top_k: int | None = None, careful: bool = False) -> dict:
@@ -293,7 +335,7 @@ class Engine:
         asked = [query]
         if careful:
             asked = self._queries(query)
-        k = top_k or self.settings.top_k
+        k, _ = self._asked(top_k, None)
         qs = self.spark.createDataFrame([(str(i), q) for i, q in enumerate(asked)], "query_id string, query string")
         found = self.search_many(qs, collection_id, k).withColumn("page_label", answer.page_label(F.col("page_start"), F.col("page_end"))).cache()
         merged = answer.merge_queries(found.select(F.lit("q").alias("g"), F.col("query_id").cast("int").alias("query_no"), "rank", "id", "score"), "g", k)
@@ -311,7 +353,7 @@ class Engine:
         if sufficient:
             packed = answer.pack(typed, self.settings.context_max_chars).first()
             try:
-                text = self.chat([{"role": "user", "content": f"{query}\n\nContext:\n{packed['context'] if packed else ''}"}]).strip() or answer.FALLBACK
+                text = self.chat([{"role": "system", "content": RULES}, {"role": "user", "content": f"{query}\n\nContext:\n{packed['context'] if packed else ''}"}]).strip() or answer.FALLBACK
             except Exception:
                 failed, text, reason = True, answer.FALLBACK, "generation_failed"
         if careful and not failed and sufficient and any(p in text.lower() for p in answer.UNSUPPORTED):
@@ -341,7 +383,17 @@ class Engine:
         return {**n, "active_files": len(self.list_files()), "indexed_chunks": sum(r["indexed_chunk_count"] or 0 for r in self._rows("registry") if r["index_status"] == catalog.INDEXED), "settings": self.settings}
 
     def ready(self) -> dict:
-        checks = {"storage": self.root.is_dir(), "catalog": (self.root / "catalog").is_dir(), "index": (self.root / "index").is_dir(), "spark": self.spark.range(1).count() == 1, "embedding": len(self.embed(["x"])[0]) > 0}
+
+        def works(check: Callable[[], bool]) -> bool:
+            try:
+                return bool(check())
+            except Exception:
+                return False
+
+        checks = {
+            "storage": self.root.is_dir(), "catalog": works(lambda: all(self._rows(t) is not None for t in TABLES)), "files": (self.root / "files").is_dir(), "index": (self.root / "index").is_dir(), "spark": works(lambda: self.spark.range(1).count() == 1),
+            "jobs": works(lambda: not any(r["status"] == catalog.RUNNING for r in self._rows("jobs"))), "embedding": works(lambda: len(self.embed(["x"])[0]) > 0), "chat": works(lambda: isinstance(self.chat([{"role": "user", "content": "ready?"}]), str)),
+        }
         return {**checks, "ready": all(checks.values())}
 
     def check_indexes(self, collection_id: str) -> None:

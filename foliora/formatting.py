@@ -8,6 +8,20 @@ from typing import Any
 PREVIEW = 160
 
 
+#: What of an item's metadata is shown.
+PUBLIC = ("source", "file_id", "collection_id", "file_name", "file_type", "page_start", "page_end", "chunk_index")
+
+
+def public(value: Any) -> Any:
+    """A result as it is shown: without evidence of retrieval, and with public metadata only, at every depth."""
+    if isinstance(value, Mapping):
+        shown = {k: public(v) for k, v in value.items() if k != "retrieval"}
+        if isinstance(shown.get("metadata"), Mapping):
+            shown["metadata"] = {k: v for k, v in shown["metadata"].items() if k in PUBLIC}
+        return shown
+    return [public(v) for v in value] if isinstance(value, list | tuple) else value
+
+
 def score(value: float | None) -> str:
     return "n/a" if value is None else f"{value:.3f}"
 

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from foliora.functions.lineage import cut
+
 ACTIVE, DELETED = "active", "deleted"
 INDEXING, INDEXED, FAILED, DE_INGESTED = "indexing", "indexed", "failed", "de_ingested"
 QUEUED, RUNNING, SUCCEEDED = "queued", "running", "succeeded"
@@ -87,5 +89,10 @@ def interrupt(jobs: DataFrame) -> DataFrame:
 
 
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
-    """Rows with their place in a catalog listing. Catalogs are listed in one task."""
-    return df.withColumn("place", F.row_number().over(W.orderBy(*order)))
+    """Rows with their place in a listing: ranges of the order are numbered apart and shifted by the sizes of those before."""
+    parts = df.sparkSession.sparkContext.defaultParallelism
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_p", F.spark_partition_id()))
+    # a row for each range
+    before = ranged.groupBy("_p").agg(F.count("*").alias("_n")).withColumn("_m", F.coalesce(F.sum("_n").over(W.orderBy("_p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_n")
+    placed = ranged.withColumn("_r", F.row_number().over(W.partitionBy("_p").orderBy(*order))).join(before, "_p")
+    return placed.withColumn("place", (F.col("_r") + F.col("_m")).cast("int")).drop("_p", "_r", "_m")

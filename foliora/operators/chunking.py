@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from foliora.errors import ConfigurationError
 from foliora.functions.lineage import cut
-from foliora.functions.rows import map_rows, schema_of, spread, unnest
+from foliora.functions.rows import map_rows, spread, unnest
 from foliora.functions.text import WORD, chars, has_content, let
 
 SIZE, OVERLAP, LEAST, MAX_UNITS, BREAK, PAGE_MERGE = 800, 120, 120, 12, 0.35, 0.55
@@ -328,17 +328,11 @@ def merge_pages(d: DataFrame, size: int = SIZE, least_score: float = PAGE_MERGE,
         "source", F.col("page_number").alias("page_start"), F.col("page_number").alias("page_end"), "hard_break_key", F.col("score").alias("semantic_score"), "start_char", "end_char", "content"
     )
 
-    schema = schema_of(MERGED)
-
-    def fold(key, table):
-        import pyarrow as pa
-        from pyspark.sql.pandas.types import to_arrow_schema
-
-        rows = sorted(table.to_pylist(), key=lambda r: (r["page_number"], r["section_no"], r["draft_no"]))
+    def fold(source, rows):
         out: list[dict] = []
         for r in rows:
             p = out[-1] if out else None
-            new = {"source": r["source"], "page_start": r["page_number"], "page_end": r["page_number"], "hard_break_key": r["hard_break_key"], "semantic_score": r["score"], "start_char": r["start_char"], "end_char": r["end_char"], "content": r["content"]}
+            new = {"source": source, "page_start": r["page_number"], "page_end": r["page_number"], "hard_break_key": r["hard_break_key"], "semantic_score": r["score"], "start_char": r["start_char"], "end_char": r["end_char"], "content": r["content"]}
             fits = (
                 p is not None and p["page_end"] is not None and r["page_number"] is not None and r["page_number"] == p["page_end"] + 1
                 and (r["hard_break_key"] is None or r["hard_break_key"] == p["hard_break_key"]) and words(p["content"]) + words(r["content"]) <= size
@@ -347,14 +341,17 @@ def merge_pages(d: DataFrame, size: int = SIZE, least_score: float = PAGE_MERGE,
                 p |= {"content": _paragraph(p["content"], r["content"]), "page_end": r["page_number"], "end_char": r["end_char"], "hard_break_key": p["hard_break_key"] or r["hard_break_key"], "semantic_score": s}
             else:
                 out.append(new)
-        return pa.Table.from_pylist(out, schema=to_arrow_schema(schema))
+        return [tuple(x.values()) for x in out]
 
-    folded = keyed.where("of > 1").select("source", "run", "page_number", "section_no", "draft_no", "hard_break_key", "content", "start_char", "end_char", "score").groupBy("source", "run").applyInArrow(fold, schema)
-    return alone.unionByName(folded)
+    # a run a row, so that many runs share a batch
+    drafts_of = F.struct("page_number", "section_no", "draft_no", "hard_break_key", "content", "start_char", "end_char", "score")
+    gathered = keyed.where("of > 1").groupBy("source", "run").agg(F.array_sort(F.collect_list(drafts_of)).alias("rows"))
+    return alone.unionByName(map_rows(gathered, ["source", "rows"], fold, MERGED))
 
 
-def page_chunks(pages: DataFrame, **parameters) -> DataFrame:
-    """Semantic chunks of paged sources, joined over page ends, with ids and numbers within their source."""
+def page_chunks(pages: DataFrame, page_merge: float = PAGE_MERGE, **parameters) -> DataFrame:
+    """Semantic chunks of paged sources, joined over page ends that are alike from ``page_merge`` on, with ids and numbers within their source."""
+    check_parameters(page_merge=page_merge)
     from foliora.operators import sections
     from foliora.operators.clean import clean_pages
 
@@ -363,7 +360,7 @@ def page_chunks(pages: DataFrame, **parameters) -> DataFrame:
     built = sections.build(cleaned, "page_doc_id", "cleaned", least=least, most=size)
     # the narrow columns of the pages come back by key, without cleaning them again
     where = pages.select("page_doc_id", "source", "page_number").where("source is not null and page_number is not null").dropDuplicates(["page_doc_id"])
-    merged = merge_pages(cut(drafts(built, "page_doc_id", **parameters).join(where, "page_doc_id")), size=size)
+    merged = merge_pages(cut(drafts(built, "page_doc_id", **parameters).join(where, "page_doc_id")), size=size, least_score=page_merge, embed=parameters.get("embed"))
     order = W.partitionBy("source").orderBy("page_start", "start_char")
     numbered = merged.withColumn("chunk_index", F.row_number().over(order)).withColumn("chunk_count", F.count("*").over(W.partitionBy("source")).cast("int"))
     return numbered.withColumn("chunk_id", F.format_string("%s:chunk:%04d", "source", "chunk_index"))

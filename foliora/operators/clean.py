@@ -63,7 +63,7 @@ def page_edges(pages: DataFrame) -> DataFrame:
     ``pages`` needs page_doc_id, source, page_number, content and file_type; only paged PDF sources of
     three pages or more have any. Repeated rows of a page count once. Pages are counted by key before
     the exchange; no source is gathered."""
-    pdf = pages.where((F.col("file_type") == ".pdf") & F.col("source").isNotNull() & F.col("page_number").isNotNull())
+    pdf = spread(pages.where((F.col("file_type") == ".pdf") & F.col("source").isNotNull() & F.col("page_number").isNotNull()).select("page_doc_id", "source", "content"))
     candidates = F.filter(F.transform(lines(F.coalesce("content", F.lit(""))), clean_line), lambda x: (x != "") & (F.length(x) <= EDGE_CHARS))
     per_page = pdf.select("page_doc_id", "source", candidates.alias("c")).dropDuplicates(["page_doc_id"])
     keys = F.concat(_side_keys("top"), _side_keys("bottom"))
@@ -81,14 +81,21 @@ def clean_content(content: Column, is_pdf: Column, tops: Column, bottoms: Column
         def kept(clean: Column) -> Column:
             full = F.filter(F.transform(clean, lambda x, i: F.when(x != "", i)), lambda i: i.isNotNull())
 
-            def keep(x: Column, i: Column) -> Column:
-                c = F.get(clean, i)
-                at_top = (F.array_position(F.slice(full, 1, EDGE_LINES), i) > 0) & F.array_contains(tops, edge_key(c))
-                at_bottom = (F.array_position(F.slice(F.reverse(full), 1, EDGE_LINES), i) > 0) & F.array_contains(bottoms, edge_key(c))
-                dropped = is_decorative(c) | (is_pdf & is_marker(c)) | is_bare_number(c) | (is_pdf & F.coalesce(at_top | at_bottom, F.lit(False)))
-                return (c == "") | ~dropped
+            def repeated(places: Column, keys: Column) -> Column:
+                return F.filter(F.slice(places, 1, EDGE_LINES), lambda i: F.coalesce(F.array_contains(keys, edge_key(F.get(clean, i))), F.lit(False)))
 
-            return F.filter(raw, keep)
+            # keys are made of the lines at the edges only, once a page
+            edges = F.when(is_pdf & ((F.size(tops) > 0) | (F.size(bottoms) > 0)), let(full, lambda f: F.concat(repeated(f, tops), repeated(F.reverse(f), bottoms)))).otherwise(F.array().cast("array<int>"))
+
+            def filtered(edge: Column) -> Column:
+                def keep(x: Column, i: Column) -> Column:
+                    c = F.get(clean, i)
+                    dropped = is_decorative(c) | (is_pdf & is_marker(c)) | is_bare_number(c) | F.array_contains(edge, i)
+                    return (c == "") | ~dropped
+
+                return F.filter(raw, keep)
+
+            return let(edges, filtered)
 
         return let(F.transform(raw, clean_line), kept)
 

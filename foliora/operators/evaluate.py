@@ -83,3 +83,27 @@ def spread(rows: DataFrame, group: str, order: list[str], count: int) -> DataFra
         return numbered.where("_i = 0").drop("_i", "_n")
     wanted = F.transform(F.sequence(F.lit(0), F.lit(count - 1)), lambda j: F.bround(j * (F.col("_n") - 1) / F.lit(float(count - 1)), 0).cast("int"))
     return numbered.where((F.col("_n") <= count) | F.array_contains(wanted, F.col("_i"))).drop("_i", "_n")
+
+
+def select(rows: DataFrame, key: str, group: str, order: list[str], count: int, each: int = 6) -> DataFrame:
+    """``count`` rows: evenly spread ones of every group, filled up with evenly spread ones of the rest.
+
+    Groups come in order, and the rest only where they don't give enough; each row of ``rows`` has its own key."""
+    from foliora.operators.catalog import numbered
+
+    chosen = spread(rows, group, order, each)
+    missing = max(0, count - chosen.count())
+    rest = rows.join(chosen.select(key), key, "left_anti") if missing else rows.where("false")
+    fill = numbered(rest, group, *order)
+    n = fill.count()
+    if missing and missing < n:
+        # row i of n is the j-th of m evenly spread ones if some j has round(j * (n - 1) / (m - 1)) = i
+        i, m = F.col("place") - 1, F.lit(missing)
+        if missing == 1:
+            fill = fill.where(i == 0)
+        else:
+            step = (n - 1) / (missing - 1)
+            near = F.floor(i / F.lit(step))
+            fill = fill.where((F.bround(near * F.lit(step), 0) == i) | (F.bround((near + 1) * F.lit(step), 0) == i) & (near + 1 < m))
+    both = chosen.withColumn("_late", F.lit(0)).unionByName(fill.drop("place").withColumn("_late", F.lit(1)))
+    return both.orderBy("_late", group, *order).limit(count).drop("_late")

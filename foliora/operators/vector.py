@@ -12,6 +12,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window as W
 
 from foliora.errors import VectorStoreError
+from foliora.functions.lineage import cut
 from foliora.functions.rows import schema_of
 from foliora.functions.vectors import distance_score
 
@@ -27,8 +28,10 @@ def upsert(stored: DataFrame, new: DataFrame, key: str = "vec_id") -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    lists = column.to_pylist()
-    return np.array(lists, float) if lists else np.empty((0, 0))
+    """Lists of one length as the rows of a matrix."""
+    if not len(column):
+        return np.empty((0, 0))
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
 
 
 def _nearest(ids: list, vectors: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, list]]:
@@ -49,53 +52,56 @@ def _nearest(ids: list, vectors: np.ndarray, queries: np.ndarray, k: int) -> Ite
 def search(queries: DataFrame, vectors: DataFrame, top_k: int = 5, query_id: str = "query_id", vec_id: str = "vec_id", group: str | None = None) -> DataFrame:
     """The ``top_k`` vectors nearest each query by squared distance, against all vectors, or those of its ``group``.
 
-    Both sides have a key (``query_id``, ``vec_id``) and an embedding; rows with null key or embedding
-    or another length than the first query's are left out. Queries go in blocks of ``BLOCK``; each partition
-    of the vectors returns its nearest few of each query, so what is shuffled is partitions x queries x top_k."""
+    Both sides have a key (``query_id``, ``vec_id``) and an embedding; rows with null key or embedding are left
+    out. A query is compared with the vectors of its own width. Queries go in blocks of about ``BLOCK``, by hash
+    of their key; each partition of the vectors returns its nearest few of each query, so what is shuffled is
+    partitions x queries x top_k."""
     if top_k <= 0:
         raise VectorStoreError("top_k must be above 0.")
     kinds = f"query_id {queries.schema[query_id].dataType.simpleString()}, vec_id {vectors.schema[vec_id].dataType.simpleString()}, distance double"
     part = F.col(group) if group else F.lit(None).cast("string")
-    rows = queries.select(F.col(query_id).alias("query_id"), "embedding", part.alias("part")).where("embedding is not null and query_id is not null").orderBy("query_id")
-    rounds, offset = [], 0
-    while block := rows.offset(offset).limit(BLOCK).collect():
-        rounds.append(_round(block, vectors.select(F.col(vec_id).alias("vec_id"), "embedding", part.alias("part")), top_k, schema_of(kinds)))
-        offset += BLOCK
-        if len(block) < BLOCK:
-            break
-    if not rounds:
-        return vectors.sparkSession.createDataFrame([], schema_of(kinds + ", vector_rank int, vector_score double"))
-    near = rounds[0]
-    for r in rounds[1:]:
-        near = near.unionByName(r)
+    rows = queries.select(F.col(query_id).alias("query_id"), "embedding", part.alias("part")).where("embedding is not null and query_id is not null")
+    sides = vectors.select(F.col(vec_id).alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding"), part.alias("part")).where("embedding is not null and vec_id is not null")
+    count = rows.count()
+    blocks = -(-count // BLOCK)
+    numbered = rows if blocks <= 1 else cut(rows.withColumn("block", F.pmod(F.xxhash64("query_id"), F.lit(blocks))))
+    near = vectors.sparkSession.createDataFrame([], schema_of(kinds))
+    for b in range(blocks):
+        block = (numbered if blocks == 1 else numbered.where(F.col("block") == b)).collect()
+        near = _round(block, sides, top_k, schema_of(kinds)) if b == 0 else near.unionByName(_round(block, sides, top_k, schema_of(kinds)))
     order = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return near.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= top_k).withColumn("vector_score", distance_score(F.col("distance")))
 
 
 def _round(block, vectors: DataFrame, k: int, schema) -> DataFrame:
-    width = len(block[0]["embedding"])
     parts: dict = {}
     for r in block:
-        if len(r["embedding"]) == width:
-            parts.setdefault(r["part"], []).append(r)
-    held = vectors.sparkSession.sparkContext.broadcast({p: ([r["query_id"] for r in rs], np.array([r["embedding"] for r in rs], float)) for p, rs in parts.items()})  # at most BLOCK queries
+        parts.setdefault((r["part"], len(r["embedding"])), []).append(r)
+    # about BLOCK queries
+    held = vectors.sparkSession.sparkContext.broadcast({p: ([r["query_id"] for r in rs], np.array([r["embedding"] for r in rs], float)) for p, rs in parts.items()})
 
     def run(batches):
+        import pyarrow.compute as pc
+
         arrow = to_arrow_schema(schema)
         best: dict[tuple, list] = {}
         for b in batches:
-            ids, matrix, of = b.column(0).to_pylist(), _matrix(b.column(1)), np.array(b.column(2).to_pylist(), object)
-            for p, (_, q) in held.value.items():
-                here = np.flatnonzero(of == p) if p is not None else np.arange(len(ids))
-                if len(here):
-                    for i, found in _nearest([ids[x] for x in here], matrix[here], q, k):
-                        best[p, i] = sorted([*best.get((p, i), []), *found])[:k]
+            ids, widths, of = b.column(0).to_pylist(), pc.list_value_length(b.column(1)).to_numpy(zero_copy_only=False), np.array(b.column(2).to_pylist(), object)
+            for w in set(widths.tolist()):
+                of_width = np.flatnonzero(widths == w)
+                matrix = _matrix(b.column(1).take(pa.array(of_width)))
+                for p, (_, q) in held.value.items():
+                    if p[1] != w:
+                        continue
+                    here = np.arange(len(of_width)) if p[0] is None else np.flatnonzero(of[of_width] == p[0])
+                    if len(here):
+                        for i, found in _nearest([ids[of_width[x]] for x in here], matrix[here], q, k):
+                            best[p, i] = sorted([*best.get((p, i), []), *found])[:k]
         rows = [(held.value[p][0][i], v, d) for (p, i), found in best.items() for d, v in found]
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*rows), arrow)], schema=arrow)
 
-    sound = vectors.where((F.size("embedding") == width) & F.col("vec_id").isNotNull()).select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"), "part")
-    return sound.mapInArrow(run, schema)
+    return vectors.mapInArrow(run, schema)
 
 
 def fit_cells(vectors: DataFrame, cells: int = 16, rounds: int = 10, seed: int = 7) -> np.ndarray:
@@ -129,16 +135,22 @@ def index(vectors: DataFrame, centres: np.ndarray) -> DataFrame:
 
 def search_index(queries: DataFrame, indexed: DataFrame, centres: np.ndarray, top_k: int = 5, probes: int = 8) -> DataFrame:
     """Nearest vectors among the ``probes`` cells nearest each query; queries as in ``search``."""
-    held = queries.sparkSession.sparkContext.broadcast(centres)
+    from foliora.functions.vectors import squared_distance
 
-    @F.udf("array<int>")
-    def near(v):
-        d = ((held.value - np.array(v)) ** 2).sum(1)
-        return [int(i) for i in np.argsort(d)[:probes]]
+    held = queries.sparkSession.sparkContext.broadcast(centres)
+    schema = schema_of("query_id bigint, q array<double>, cell int")
 
-    from foliora.functions.vectors import squared_distance
+    def near(batches):
+        arrow = to_arrow_schema(schema)
+        c = held.value
+        for b in batches:
+            if len(b):
+                v = _matrix(b.column(1))
+                cells = np.argsort((c**2).sum(1) - 2 * v @ c.T, axis=1, kind="stable")[:, :probes]
+                row = pa.array(np.repeat(np.arange(len(v)), cells.shape[1]))
+                yield pa.RecordBatch.from_arrays([b.column(0).take(row), b.column(1).take(row), pa.array(cells.ravel(), pa.int32())], schema=arrow)
 
-    asked = queries.select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("q")).withColumn("cell", F.explode(near("q")))
+    asked = queries.where("embedding is not null").select(F.col("query_id").cast("bigint"), F.col("embedding").cast("array<double>").alias("q")).mapInArrow(near, schema)
     pairs = indexed.join(asked, "cell").select("query_id", "vec_id", squared_distance(F.col("q"), F.col("embedding")).alias("distance"))
     order = W.partitionBy("query_id").orderBy("distance", "vec_id")
     return pairs.withColumn("vector_rank", F.row_number().over(order)).where(F.col("vector_rank") <= top_k).withColumn("vector_score", distance_score(F.col("distance")))

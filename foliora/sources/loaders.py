@@ -75,8 +75,14 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return rows.where(F.col("file_type").isin(*TEXT))
 
 
-def read_pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]] | None = None) -> DataFrame:
-    """Pages of the PDF files under a path; ``reader`` gives the texts of a file's pages (pypdf if none is given)."""
+def read_pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[str]] | None = None, strategy: str = "text", render: Callable[[bytes], list[bytes]] | None = None, model: Callable[[bytes, str], str] | None = None) -> DataFrame:
+    """Pages of the PDF files under a path; ``reader`` gives the texts of a file's pages (pypdf if none is given).
+
+    By the strategies ``visual`` and ``auto`` all pages, or those with hardly any text, are read by the vision
+    ``model`` from the images (PNG) that ``render`` makes of a file's pages; without both they are refused."""
+    how = load_strategy(strategy)
+    if how != "text" and (render is None or model is None):
+        raise ConfigurationError(f"The load strategy {how} needs a renderer and a vision model.")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.pdf").load(path)
     read = reader or _pypdf
 
@@ -87,6 +93,11 @@ def read_pages(spark: SparkSession, path: str, reader: Callable[[bytes], list[st
             rows = []
             for source, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 texts = read(data)
+                if how != "text":
+                    poor = [i for i, t in enumerate(texts) if how == "visual" or len((t or "").strip()) < MIN_VISION_CHARS]
+                    images = render(bytes(data)) if poor else []
+                    for i in poor:
+                        texts[i] = model(images[i], "image/png")
                 rows += [(source, i, len(texts), t) for i, t in enumerate(texts, 1)]
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.int32()), pa.array([r[3] for r in rows], pa.string())], names=["source", "page_number", "page_count", "content"])
@@ -105,15 +116,19 @@ def _pypdf(data: bytes) -> list[str]:
 
 
 def read_images(spark: SparkSession, path: str, model: Callable[[bytes, str], str]) -> DataFrame:
-    """Texts of the images under a path, by a vision model."""
+    """Texts of the images under a path, by a vision model that is called in the workers."""
     name = F.regexp_replace("path", r"\A.*/", "")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).where(suffix(name).isin(*IMAGES))
 
-    @F.udf("string")
-    def text(data, mime):
-        return model(bytes(data), mime)
+    def read(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            texts = pa.array([model(data, mime) for data, mime in zip(b.column(3).to_pylist(), b.column(4).to_pylist())], pa.string())
+            yield pa.RecordBatch.from_arrays([*b.columns[:3], texts], names=["source", "file_name", "file_type", "content"])
 
-    return files.select(F.col("path").alias("source"), name.alias("file_name"), suffix(name).alias("file_type"), text("content", mime_type(name)).alias("content"))
+    rows = files.select(F.col("path").alias("source"), name.alias("file_name"), suffix(name).alias("file_type"), "content", mime_type(name).alias("mime"))
+    return rows.mapInArrow(read, "source string, file_name string, file_type string, content string")
 
 
 CASE = T.StructType(
@@ -125,16 +140,25 @@ CASE = T.StructType(
 
 
 def read_cases(spark: SparkSession, path: str) -> DataFrame:
-    """Evaluation cases, one JSON object a line; adds ``error`` to lines that can't be used."""
-    lines = spark.read.text(path)
-    parsed = lines.select("value", F.from_json("value", CASE, {"mode": "PERMISSIVE"}).alias("c"))
-    empty = lambda c: F.col(c).isNull() | (F.col(c) == "")
-    error = (
-        F.when(strip(F.col("value")) == "", "empty line").when(~F.col("value").rlike(r"\A\s*\{"), "not an object").when(empty("c.id"), "missing id").when(empty("c.query"), "missing query")
-        .when(empty("c.collection_id"), "missing collection_id").when(F.col("c.top_k") <= 0, "top_k must be above 0")
-    )
+    """Evaluation cases, one JSON object a line, with the ``line`` of each; adds ``error`` to lines that can't be used.
+
+    A file of cases is read whole, since its lines are numbered."""
+    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n", -1)).alias("_i", "value"))
+    parsed = lines.select((F.col("_i") + 1).alias("line"), "value", F.from_json("value", CASE, {"mode": "PERMISSIVE"}).alias("c"), F.try_parse_json("value").alias("j"))
+    kind = lambda n: F.schema_of_variant(F.try_variant_get("j", f"$.{n}", "variant"))
+    error = F.when(strip(F.col("value")) == "", "empty line").when(F.col("j").isNull(), "not valid JSON").when(~F.col("value").rlike(r"\A\s*\{"), "not an object")
+    for n in ("id", "query", "collection_id"):
+        error = error.when(F.coalesce(kind(n), F.lit("")) != "STRING", f"missing {n}").when(F.col(f"c.{n}") == "", f"missing {n}")
+    for n in ("expected_sources", "expected_file_ids", "expected_keywords"):
+        error = error.when(kind(n).isNotNull() & ~kind(n).isin("ARRAY<STRING>", "ARRAY<VOID>"), f"{n} must be a list of strings")
+    error = error.when(kind("top_k").isNotNull() & ~kind("top_k").isin("BIGINT", "VOID"), "top_k must be a whole number").when(F.col("c.top_k") <= 0, "top_k must be above 0")
     none = F.array().cast("array<string>")
-    return parsed.select("c.id", "c.query", "c.collection_id", *(F.coalesce(f"c.{n}", none).alias(n) for n in ("expected_sources", "expected_file_ids", "expected_keywords")), "c.top_k", error.alias("error"))
+    return parsed.select("line", "c.id", "c.query", "c.collection_id", *(F.coalesce(f"c.{n}", none).alias(n) for n in ("expected_sources", "expected_file_ids", "expected_keywords")), "c.top_k", error.alias("error"))
+
+
+def write_cases(cases: DataFrame, path: str) -> None:
+    """Cases as JSON, one object a line, into the folder ``path``."""
+    cases.select(F.to_json(F.struct(*cases.columns)).alias("value")).write.mode("overwrite").text(path)
 
 
 def write_report(report: DataFrame, path: str) -> None:

@@ -4,7 +4,7 @@ import pytest
 
 from foliora import cli
 from foliora.engine import Engine
-from foliora.errors import ConfigurationError, FolioraError, RegistryError
+from foliora.errors import ConfigurationError, DocumentError, FolioraError, RegistryError
 from foliora.settings import Settings
 from foliora.sources import loaders
 from foliora.streaming.ingest import ingest_stream
@@ -41,7 +41,7 @@ def test_ingest_search_ask_and_remove(engine, tmp_path):
     case = tmp_path / "cases.jsonl"
     case.write_text(json.dumps({"id": "1", "query": "margin call notice", "collection_id": col, "expected_sources": ["a.md"]}) + "\n{}\n\nnot json\n")
     cases = loaders.read_cases(engine.spark, str(case))
-    assert sorted(r["error"] or "" for r in cases.collect()) == ["", "empty line", "missing id", "not an object"]
+    assert sorted(r["error"] or "" for r in cases.collect()) == ["", "empty line", "missing id", "not valid JSON"]
     scored, report = engine.evaluate(cases, col, 3)
     assert scored.first()["source_hit"] is True and report.first()["recall_at_k"] == 1.0
     assert engine.inspect()["indexed_chunks"] >= 2 and engine.ready()["ready"]
@@ -80,6 +80,99 @@ def test_stream_ingests_each_file_once(engine, tmp_path):
         (inbox / "b.txt").write_text("Another file about margin loans and more.")
 
 
+def test_debug_errors_reports_and_stored_index(engine, tmp_path, monkeypatch):
+    (tmp_path / "a.md").write_text(TEXT)
+    (tmp_path / "empty.txt").write_text("  ")
+    (tmp_path / "i.png").write_bytes(b"png")
+    col = engine.create_collection("x")["collection_id"]
+    f = {n: engine.import_file(str(tmp_path / n))["file_id"] for n in ("a.md", "empty.txt", "i.png")}
+    assert engine.ingest(f["a.md"], col)["loaded"] == 1
+    report = engine.ingest(f["empty.txt"], col)
+    assert (report["loaded"], report["skipped"], report["indexed_chunk_count"]) == (0, 1, 0) and report["messages"][0].startswith("empty document: ")
+    with pytest.raises(DocumentError):
+        engine.ingest(f["i.png"], col)
+    assert engine._one("registry", file_id=f["i.png"], collection_id=col)["index_status"] == "failed"
+    seeing = Engine(engine.spark, engine.settings, vision=lambda data, mime: f"A scanned notice about margin tables, {mime}, {len(data)} bytes")
+    assert seeing.ingest(f["i.png"], col)["indexed_chunk_count"] == 1
+    for bad in ({"strategy": "none"}, {"top_k": 0}, {"top_k": -1}):
+        with pytest.raises(ConfigurationError):
+            engine.search("margin", col, **bad)
+    d = engine.debug_search("margin call notice", col, 2)
+    assert d["candidate_k"] == 2 * engine.settings.candidate_multiplier and d["vector_candidates"] and d["keyword_candidates"] and len(d["results"]) <= 2
+    assert [r["keyword_rank"] for r in d["keyword_candidates"]] == list(range(1, len(d["keyword_candidates"]) + 1))
+    ready = engine.ready()
+    assert ready["ready"] and len(ready) == 9
+    # a search never makes terms of texts but of its candidates: the stored index is read
+    from foliora.operators import keyword
+
+    monkeypatch.setattr(keyword, "text_index", None)
+    assert engine.search("margin call notice", col, 2, "keyword")[0]["file_id"] == f["a.md"]
+
+
+def test_pages_read_from_their_images(engine, tmp_path):
+    (tmp_path / "p.pdf").write_bytes(b"%PDF")
+    args = (engine.spark, str(tmp_path), lambda data: ["short", "text of a page that is long enough to be read as it is"])
+    render, model = lambda data: [b"1", b"22"], lambda image, mime: f"seen {len(image)}"
+    text = lambda how, *more: [r["content"][:6] for r in loaders.read_pages(*args, how, *more).orderBy("page_number").collect()]
+    assert text("text") == ["short", "text o"] and text("auto", render, model) == ["seen 1", "text o"] and text("visual", render, model) == ["seen 1", "seen 2"]
+    with pytest.raises(ConfigurationError):
+        loaders.read_pages(*args, "auto")
+
+
+def test_lines_of_cases(spark, tmp_path):
+    good = {"id": "1", "query": "q", "collection_id": "c"}
+    lines = [good, {**good, "top_k": 0}, {**good, "top_k": "x"}, {**good, "expected_sources": "a"}, {**good, "expected_keywords": [1]}, {**good, "id": 5}, {**good, "query": ""}, [1], {**good, "expected_file_ids": []}]
+    (tmp_path / "c.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\n")
+    got = {r["line"]: r["error"] for r in loaders.read_cases(spark, str(tmp_path / "c.jsonl")).collect()}
+    assert got == {
+        1: None, 2: "top_k must be above 0", 3: "top_k must be a whole number", 4: "expected_sources must be a list of strings", 5: "expected_keywords must be a list of strings", 6: "missing id", 7: "missing query", 8: "not an object", 9: None,
+    }
+
+
+def test_remote_models_and_public_results():
+    from foliora import formatting
+    from foliora.errors import ModelError
+    from foliora.providers import RemoteModel
+
+    said = {}
+    model = lambda dialect="openai", **k: RemoteModel("http://x/", "m", dialect, batch=2, post=lambda path, payload: said[path](payload), **k)
+    said["/embeddings"] = lambda p: {"data": [{"index": i, "embedding": [len(t), 1]} for i, t in reversed(list(enumerate(p["input"])))]}
+    said["/api/embed"] = lambda p: {"embeddings": [[len(t), 1] for t in p["input"]]}
+    assert model()(["a", "bb", "ccc"]) == model("ollama")(["a", "bb", "ccc"]) == [[1.0, 1.0], [2.0, 1.0], [3.0, 1.0]] and model()([]) == []
+    for bad in ({"data": []}, {}, {"data": [{"index": 0, "embedding": ["x"]}]}, {"data": [{"index": 3, "embedding": [1]}]}, {"data": [{"embedding": [True]}]}):
+        said["/embeddings"] = lambda p, bad=bad: bad
+        with pytest.raises(ModelError):
+            model()(["a"])
+    said["/chat/completions"] = lambda p: {"choices": [{"message": {"content": str(p["messages"][-1]["content"])}}]}
+    said["/api/chat"] = lambda p: {"message": {"content": p["messages"][-1]["images"][0]}}
+    assert model().chat([{"role": "user", "content": "hi"}]) == "hi" and "data:image/png;base64,YWI=" in model().read_image(b"ab", "image/png")
+    assert model("ollama").read_image(b"ab", "image/png") == "YWI=" and model().read_image(b"", "image/png") == ""
+    said["/chat/completions"] = lambda p: {"choices": []}
+    with pytest.raises(ModelError):
+        model().chat([])
+    with pytest.raises(ConfigurationError):
+        RemoteModel("", "m")
+    row = {"id": 1, "retrieval": {"x": 1}, "metadata": {"source": "s", "secret": 2}, "items": [{"retrieval": 1, "a": ({"metadata": {"secret": 1}},)}]}
+    assert formatting.public(row) == {"id": 1, "metadata": {"source": "s"}, "items": [{"a": [{"metadata": {}}]}]}
+
+
+def test_selection_fills_up_from_the_rest(spark):
+    from foliora.operators import evaluate
+
+    rows = [(f"{g}{i:02d}", g, i) for g, n in (("a", 20), ("b", 3), (None, 9)) for i in range(n)]
+    df = spark.createDataFrame([(str(k), g, i) for k, g, i in rows], "id string, file_id string, chunk_index int")
+
+    def even(xs, m):
+        return xs if len(xs) <= m else xs[:1] if m == 1 else [xs[round(j * (len(xs) - 1) / (m - 1))] for j in range(m)]
+
+    for count in (4, 15, 16, 17, 20, 27, 50):
+        groups = [[r for r in rows if r[1] == g] for g in (None, "a", "b")]
+        chosen = [x for g in groups for x in even(g, 6)]
+        rest = [x for g in groups for x in g if x not in chosen]
+        want = [str(x[0]) for x in (chosen + even(rest, max(0, count - len(chosen))) if count > len(chosen) else chosen)[:count]]
+        assert [r["id"] for r in evaluate.select(df, "id", "file_id", ["chunk_index", "id"], count).collect()] == want, count
+
+
 def test_command_line(engine, tmp_path, capsys):
     (tmp_path / "a.md").write_text(TEXT)
     p = cli.parser()

@@ -40,6 +40,20 @@ def test_exact_search_against_brute_force(spark, vectors, monkeypatch):
         vector.search(asked, vectors, 0)
 
 
+def test_queries_of_any_width_are_answered(spark, monkeypatch):
+    v = spark.createDataFrame([(1, [0.0]), (2, [5.0]), (3, [0.0, 1.0]), (4, [2.0, 2.0]), (5, None)], "vec_id bigint, embedding array<float>")
+    q = spark.createDataFrame([(10, [4.0]), (11, [0.0, 0.0]), (12, [1.0, 2.0, 3.0]), (13, None)], "query_id bigint, embedding array<float>")
+    for block in (1, 2, 4096):
+        monkeypatch.setattr(vector, "BLOCK", block)
+        assert sorted((r["query_id"], r["vec_id"]) for r in vector.search(q, v, 1).collect()) == [(10, 2), (11, 3)]
+
+
+def test_numbering_over_ranges(spark):
+    df = spark.range(1000).selectExpr("id", "id * 7919 % 1000 AS x", "id % 3 AS place")
+    rows = catalog.numbered(df.drop("place"), "x", "id").collect()
+    assert sorted((r["x"], r["place"]) for r in rows) == [(i, i + 1) for i in range(1000)] and catalog.numbered(df.drop("place").limit(0), "x").count() == 0
+
+
 def test_search_within_groups(spark):
     v = spark.createDataFrame([("a", [0.0], "x"), ("b", [1.0], "y"), ("c", [2.0], "x"), ("d", [2.0], "x"), ("e", [9.0], None)], "vec_id string, embedding array<double>, g string")
     q = spark.createDataFrame([("q", [1.9], "x"), ("r", [1.9], "y"), ("s", [0.0], "none")], "query_id string, embedding array<double>, g string")
