@@ -200,7 +200,11 @@ def hybrid_search(r):
 @query("eval_cases", "chunks")
 def hybrid_chunks(q, c):
     """Hybrid search from the texts themselves: both branches within each search's collection, fused."""
-    asked = _searches(q)
+    return hybrid_of(_searches(q), c)
+
+
+def hybrid_of(asked, c):
+    """The best chunks of every search (query_id, query, collection_id), from the texts of the chunks."""
     fetch = hybrid.candidate_k(TOP_K)
     model = HashingEmbedder()
     one = _chunks(c).select("chunk_id", "content", "collection_id")
