@@ -159,15 +159,22 @@ class Model:
             import ahocorasick
 
             self._automaton = ahocorasick.Automaton()
+            # by first word: whether it is evidence alone, within a word, and the second words of its pairs
+            known: dict[str, tuple[bool, bool, list[str]]] = {}
             for f, w in self.weights.items():
                 if w > EVIDENCE:
-                    one = f.split()[0]  # of a pair of words the first
-                    self._automaton.add_word(one, (len(one), f[0] == " "))
+                    one, *two = f.split()
+                    alone, inside, seconds = known.get(one, (False, False, []))
+                    known[one] = (alone or not two, inside or f[0] != " ", [*seconds, *two])
+            for one, (alone, inside, seconds) in known.items():
+                self._automaton.add_word(one, (len(one), alone, inside, tuple(seconds)))
             self._automaton.make_automaton()
         if not len(self._automaton):
             return False
-        for end, (n, word) in self._automaton.iter(text):
-            if not word or not (LETTER.match(text, end + 1) or end >= n and LETTER.match(text, end - n)):
+        for end, (n, alone, inside, seconds) in self._automaton.iter(text):
+            if inside or alone and not (LETTER.match(text, end + 1) or end >= n and LETTER.match(text, end - n)):
+                return True
+            if seconds and (m := LETTER.search(text, end + 1)) and m.start() > end + 1 and text.startswith(seconds, m.start()):
                 return True
         return False
 
@@ -212,9 +219,11 @@ def fit(rows: list[tuple[str, float]], rounds: int = 250, rate: float = 0.15, fl
     n_pos, n_all = sum(y > 0.5 for _, y in rows), len(rows)
     base = n_pos / max(1, n_all)
     # only a feature over-represented in unsafe documents can be evidence; others weigh within such sentences
-    # (pairs are many, and asked for more)
+    # (pairs are many, and asked for more: one of the words must not be found everywhere)
+    common = {f for f, n in docs_with.items() if n > 0.05 * n_all}
+    telling = lambda f: "    " not in f or not all(f" {w} " in common for w in f.split())
     unlikely = lambda f, n: n >= 3 and n > 2 * base * docs_with[f] and _chance(n, docs_with[f], base) < (1e-7 if "    " in f else 0.0005)
-    cand = {f for f, n in positive_docs.items() if unlikely(f, n)} | (prior_words & docs_with.keys())
+    cand = {f for f, n in positive_docs.items() if unlikely(f, n) and telling(f)} | (prior_words & docs_with.keys())
     kept: list[tuple[int, np.ndarray]] = []
     for d, sents in enumerate(bags):
         for s in sents:
